@@ -237,6 +237,8 @@ def rag_batch(
 ) -> DataFrame:
     """Retrieve, build one request per query and, with a generator, answer it."""
     if mode == "all":
+        if cap is None:
+            raise ValueError("a context of the whole table needs a cap")
         whole = R.context_string(
             query(table, queries, embedder, mode, k, cap).withColumn("query_id", F.lit(0)),
             order=KEY,
@@ -248,7 +250,8 @@ def rag_batch(
         )
     else:
         found = query(table, queries, embedder, mode, k, cap, **options)
-        context = R.context_string(found)
+        order = ["rank"] if "rank" in found.columns else ["metadata", *KEY]
+        context = R.context_string(found, order=order)
         bodies = prompt_batch(queries, system, model, context, P.chat_options())
     return bodies if start is None else answered(bodies, start)
 
