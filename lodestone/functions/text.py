@@ -10,9 +10,9 @@ from lodestone.schema import LANGUAGES
 
 def split_lines(text: Column) -> Column:
     """Lines of a text: cut at LF or CRLF, no empty line after a final newline."""
-    parts = F.split(text, r"\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(
-        parts
+    ended = F.regexp_replace(text, r"\r?\n\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(ended, r"\r?\n", -1)
     )
 
 

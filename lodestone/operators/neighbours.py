@@ -28,6 +28,8 @@ METRICS = ("cosine", "l2", "l2_squared")
 
 # Queries held by every task: vectors and running results stay below this.
 QUERY_BYTES = 64 << 20
+# Queries read before their width is known.
+FIRST_QUERIES = 1024
 # Rows of the result small enough to send to every task when joined back.
 BROADCAST_ROWS = 200_000
 # Queries compared with a block of rows at a time.
@@ -236,13 +238,17 @@ def collect_queries(
 ) -> QuerySet | None:
     """The query vectors on the driver, or None when they exceed ``max_bytes``.
 
-    At most one query beyond the bound is read.
+    A few queries are read in one go; only if there are more is the rest read,
+    and never more than one query beyond the bound.
     """
-    width = _width(queries, query_vector)
-    if width == 0:
+    asked = queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector)
+    table = asked.limit(FIRST_QUERIES + 1).toArrow()
+    if not table.num_rows:
         return QuerySet(pa.array([], pa.int64()), np.zeros((0, 0), np.float32))
+    width = len(table[query_vector][0])
     rows = max(1, max_bytes // (width * 16 + k * 64))
-    table = queries.select(query_id, query_vector).limit(rows + 1).toArrow()
+    if FIRST_QUERIES < table.num_rows <= rows:
+        table = asked.limit(rows + 1).toArrow()
     if table.num_rows > rows:
         return None
     usable, vectors = vectors_of(table[query_vector], width)
@@ -392,6 +398,7 @@ def nearest(
     min_distance: float | None = None,
     max_distance: float | None = None,
     max_query_bytes: int = QUERY_BYTES,
+    cell_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``table`` for every query.
 
@@ -405,7 +412,7 @@ def nearest(
     held = collect_queries(queries, query_id, query_vector, k, max_query_bytes)
     if held is None:
         found = grid_nearest(
-            table, queries, search, schema, keys, vector, query_id, query_vector, max_query_bytes
+            table, queries, search, schema, keys, vector, query_id, query_vector, cell_bytes
         )
     else:
         found = scan_nearest(table, held, search, schema, keys, vector, query_id)

@@ -39,8 +39,11 @@ def postings(
         .repartition(*keys)
         .select(*keys, terms(F.col("_text")).alias("_terms"))
     )
+    # Exploding an expression keeps Catalyst from adding a filter on the terms
+    # below the shuffle, which would take every text apart twice.
+    some = F.when(F.size("_terms") > 0, F.col("_terms"))
     exploded = split.select(
-        *keys, F.size("_terms").alias("row_terms"), F.posexplode("_terms").alias("_at", "term")
+        *keys, F.size("_terms").alias("row_terms"), F.posexplode(some).alias("_at", "term")
     )
     found = [F.count(F.lit(1)).alias("tf")]
     if positions:
@@ -93,9 +96,9 @@ def scores(
         here = here.join(F.broadcast(wanted), "term")
     else:
         here = here.join(wanted, "term")
-    rows, mean = corpus.select("rows").scalar(), corpus.select("mean_terms").scalar()
+    size = corpus.select(F.struct("rows", "mean_terms")).scalar()
     n = F.col("row_count")
-    idf = F.log(1 + (rows - n + 0.5) / (n + 0.5))
+    idf = F.log(1 + (size["rows"] - n + 0.5) / (n + 0.5))
     weighted = here.select(query_id, "term", idf.alias("_idf"))
     narrow = index.select(*keys, "term", "tf", "row_terms")
     if small:
@@ -106,7 +109,7 @@ def scores(
         weighted = weighted.select("*", every_salt)
         matched = narrow.withColumn("_salt", salt).join(weighted, ["term", "_salt"])
     tf = F.col("tf")
-    length = 1 - B + B * F.col("row_terms") / mean
+    length = 1 - B + B * F.col("row_terms") / size["mean_terms"]
     gain = F.col("_idf") * tf * (K1 + 1) / (tf + K1 * length)
     return (
         matched.withColumn("_gain", gain).groupBy(query_id, *keys).agg(F.sum("_gain").alias("score"))

@@ -9,7 +9,7 @@ from lodestone.operators import generation as G
 from lodestone.operators import prompts as P
 from lodestone.plans.jobs import answered, prompt_batch, prompt_only
 from lodestone.plans.registry import registered, table
-from lodestone.plans.vector_queries import JOINED, label_means, lines_with_vectors
+from lodestone.plans.vector_queries import JOINED, lines_with_vectors, mean_queries
 from lodestone.operators import retrieve as R
 from lodestone.schema import CONTEXT_WINDOW
 
@@ -286,7 +286,7 @@ def generate_stub(spark, folder):
 def rag_prompts(spark, folder):
     """Nearest content joined into one request per query, and answered."""
     lines = lines_with_vectors(spark, folder)
-    queries = label_means(table(spark, folder, "embeddings")).withColumn(
+    queries = mean_queries(table(spark, folder, "embeddings")).withColumn(
         "text", F.concat(F.lit("Label "), F.col("query_id"))
     )
     found = R.retrieve(lines, queries, "nearest", 5, key=["vec_id"], vector="embedding")

@@ -122,7 +122,11 @@ def load(
 def index_vectors(
     spark: SparkSession, rows: DataFrame, layout: Layout, partitions: int = PARTITIONS
 ) -> None:
-    """Write the lines by coarse partition, with their codes."""
+    """Write the lines by coarse partition, with their codes.
+
+    Rows are brought together by partition for files of even size; a partition
+    that holds far more than the others is split over several tasks.
+    """
     usable = rows.where(F.exists("vector", lambda x: x != 0))
     if usable.isEmpty():
         raise ValueError("no vectors to index")
@@ -131,7 +135,7 @@ def index_vectors(
     placed = ivf.encode_vectors(
         ivf.assign_partitions(rows, centroids, "vector", "part"), quantizer, "vector", "codes"
     )
-    create_table(spark, layout.lines, placed, ["part"])
+    create_table(spark, layout.lines, placed.hint("rebalance", "part"), ["part"])
     create_table(spark, layout.centroids, centroids.frame(spark))
     create_table(spark, layout.ranges, quantizer.frame(spark))
 
@@ -193,7 +197,7 @@ def query(
     """Content for each query text ``(query_id, text)``; all queries are answered."""
     if mode == "all":
         return R.retrieve(table, queries, mode, k, cap)
-    asked = R.query_vectors(queries, embedder).select("query_id", "vector")
+    asked = checkpointed(R.query_vectors(queries, embedder).select("query_id", "vector"))
     return R.retrieve(table, asked, mode, k, cap, **options)
 
 

@@ -16,6 +16,7 @@ from lodestone.operators import neighbours as nn
 from lodestone.operators import retrieve as R
 from lodestone.operators.filters import members
 from lodestone.plans.registry import registered, rounded, table
+from lodestone.session import checkpointed
 
 PARTS = 16
 
@@ -31,8 +32,13 @@ def label_means(embeddings: DataFrame) -> DataFrame:
     )
 
 
+def mean_queries(embeddings: DataFrame) -> DataFrame:
+    """The label means, computed once: searches read their queries several times."""
+    return checkpointed(label_means(embeddings))
+
+
 def overall_mean(embeddings: DataFrame) -> DataFrame:
-    return label_means(embeddings.withColumn("label", F.lit(0)))
+    return mean_queries(embeddings.withColumn("label", F.lit(0)))
 
 
 def _search(embeddings, queries, k, **options):
@@ -73,7 +79,7 @@ def _top(function: str, k: int, means: str = MEANS, source: str = "embeddings e"
 @registered(_top("list_cosine_distance", 30))
 def knn_cosine_batch(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = table(spark, folder, "embeddings")
-    return _shown(_search(embeddings, label_means(embeddings), 30))
+    return _shown(_search(embeddings, mean_queries(embeddings), 30))
 
 
 @registered(_top("list_cosine_distance", 30, ALL_MEAN))
@@ -85,15 +91,17 @@ def knn_cosine_single(spark, folder):
 @registered(_top("list_distance", 30))
 def knn_l2_batch(spark, folder):
     embeddings = table(spark, folder, "embeddings")
-    return _shown(_search(embeddings, label_means(embeddings), 30, metric="l2"))
+    return _shown(_search(embeddings, mean_queries(embeddings), 30, metric="l2"))
 
 
 @registered(_top("list_cosine_distance", 30))
 def knn_cosine_grid(spark, folder):
     """The way taken by query sets too large to hold in memory."""
     embeddings = table(spark, folder, "embeddings")
-    queries = label_means(embeddings)
-    return _shown(_search(embeddings, queries, 30, max_query_bytes=16 << 10))
+    queries = mean_queries(embeddings)
+    return _shown(
+        _search(embeddings, queries, 30, max_query_bytes=16 << 10, cell_bytes=1 << 20)
+    )
 
 
 GOOD = "embeddings e JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) g ON e.vec_id = g.doc_id"
@@ -114,7 +122,7 @@ def knn_postfilter(spark, folder):
         "left",
     )
     found = R.nearest_lines(
-        marked, label_means(embeddings), 30, key=["vec_id"], columns=["label"],
+        marked, mean_queries(embeddings), 30, key=["vec_id"], columns=["label"],
         vector="embedding", postfilter=F.col("good").isNotNull(),
     )
     return found.select("query_id", "vec_id", "label", rounded("_distance", "distance"), "rank")
@@ -125,7 +133,7 @@ def knn_prefilter(spark, folder):
     embeddings = table(spark, folder, "embeddings")
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
     kept = members(embeddings, "vec_id", good)
-    return _shown(_search(kept, label_means(embeddings), 30))
+    return _shown(_search(kept, mean_queries(embeddings), 30))
 
 
 @registered(
@@ -138,14 +146,14 @@ def knn_distance_range(spark, folder):
     embeddings = table(spark, folder, "embeddings")
     return _shown(
         _search(
-            embeddings, label_means(embeddings), 20, metric="l2",
+            embeddings, mean_queries(embeddings), 20, metric="l2",
             min_distance=0.95, max_distance=1.0,
         )
     )
 
 
-def _label_centroids(embeddings: DataFrame) -> ivf.Centroids:
-    means = label_means(embeddings).select(
+def _label_centroids(means: DataFrame) -> ivf.Centroids:
+    means = means.select(
         F.col("query_id").alias("part"), F.col("vector").alias("centroid")
     )
     return ivf.Centroids.from_frame(means)
@@ -162,7 +170,7 @@ PLACED = """
 @registered(f"WITH {MEANS}, {PLACED} SELECT vec_id, part FROM placed")
 def ivf_assign(spark, folder):
     embeddings = table(spark, folder, "embeddings")
-    placed = ivf.assign_partitions(embeddings, _label_centroids(embeddings), "embedding")
+    placed = ivf.assign_partitions(embeddings, _label_centroids(label_means(embeddings)), "embedding")
     return placed.select("vec_id", "part")
 
 
@@ -180,11 +188,12 @@ def ivf_assign(spark, folder):
 )
 def ivf_probe_search(spark, folder):
     embeddings = table(spark, folder, "embeddings")
-    centroids = _label_centroids(embeddings)
+    queries = mean_queries(embeddings)
+    centroids = _label_centroids(queries)
     placed = ivf.assign_partitions(embeddings, centroids, "embedding")
     return _shown(
         ivf.probed_nearest(
-            placed, centroids, label_means(embeddings), 10, 4,
+            placed, centroids, queries, 10, 4,
             key="vec_id", vector="embedding", metric="l2",
         )
     )
@@ -243,7 +252,7 @@ def knn_refine(spark, folder):
     coded = ivf.encode_vectors(embeddings, quantizer, "embedding")
     return _shown(
         ivf.refined_nearest(
-            coded, quantizer, label_means(embeddings), 10, 2, key="vec_id", vector="embedding"
+            coded, quantizer, mean_queries(embeddings), 10, 2, key="vec_id", vector="embedding"
         )
     )
 
@@ -258,7 +267,7 @@ def index_search(spark, folder):
     placed = ivf.encode_vectors(placed, quantizer, "embedding")
     return _shown(
         ivf.refined_nearest(
-            placed, quantizer, label_means(embeddings), 30, centroids=centroids, nprobes=6,
+            placed, quantizer, mean_queries(embeddings), 30, centroids=centroids, nprobes=6,
             key="vec_id", vector="embedding",
         )
     )
@@ -285,7 +294,7 @@ JOINED = f"""WITH {MEANS}, t AS (
 )
 def nearest_content(spark, folder):
     lines = lines_with_vectors(spark, folder)
-    queries = label_means(table(spark, folder, "embeddings"))
+    queries = mean_queries(table(spark, folder, "embeddings"))
     found = R.retrieve(lines, queries, "nearest", 30, key=["vec_id"], vector="embedding")
     return found.select("query_id", "rank", "metadata", "content")
 
@@ -297,7 +306,7 @@ def nearest_content(spark, folder):
 )
 def file_context(spark, folder):
     lines = lines_with_vectors(spark, folder)
-    queries = label_means(table(spark, folder, "embeddings"))
+    queries = mean_queries(table(spark, folder, "embeddings"))
     found = R.retrieve(
         lines, queries, "file", 4, cap=None, key=["vec_id"], vector="embedding"
     )
@@ -314,7 +323,7 @@ def file_context(spark, folder):
 )
 def file_context_capped(spark, folder):
     lines = lines_with_vectors(spark, folder)
-    queries = label_means(table(spark, folder, "embeddings"))
+    queries = mean_queries(table(spark, folder, "embeddings"))
     found = R.retrieve(lines, queries, "file", 4, key=["vec_id"], vector="embedding")
     return found.select("query_id", "metadata", "vec_id", "rank")
 
@@ -328,7 +337,7 @@ def file_context_capped(spark, folder):
 )
 def chunk_context(spark, folder):
     lines = lines_with_vectors(spark, folder)
-    queries = label_means(table(spark, folder, "embeddings"))
+    queries = mean_queries(table(spark, folder, "embeddings"))
     found = R.retrieve(
         lines, queries, "chunk", 10, cap=None, key=["vec_id"], vector="embedding",
         chunk=["metadata", "label"],
@@ -343,6 +352,6 @@ def chunk_context(spark, folder):
 )
 def context_string(spark, folder):
     lines = lines_with_vectors(spark, folder)
-    queries = label_means(table(spark, folder, "embeddings"))
+    queries = mean_queries(table(spark, folder, "embeddings"))
     found = R.retrieve(lines, queries, "nearest", 30, key=["vec_id"], vector="embedding")
     return R.context_string(found)
