@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import trim_space
+from lodestone.operators.lines import error_text
 from lodestone.operators.ordering import running_total
 from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE
 
@@ -64,18 +65,27 @@ def _pieces(cap: int):
 def text_units(text: Column, cap: int, boundary: Column | str | None = None) -> Column:
     """Units that tile ``text``, none longer than ``cap``.
 
-    Lines; a longer line falls into sentences, a longer sentence into words
-    and a longer word into pieces. ``boundary`` (a regular expression that
-    matches the empty string before each declaration) puts whole declarations
-    above lines.
+    The whole text if it fits, else its lines; a longer line falls into
+    sentences, a longer sentence into words and a longer word into pieces.
+    ``boundary`` (a regular expression that matches the empty string before
+    each declaration) puts whole declarations above lines; where it is null
+    there are none.
     """
-    if boundary is None:
-        units = _tiles(LINE)(text)
-    else:
+    units = F.array(text)
+    if boundary is not None:
         pattern = F.lit(boundary) if isinstance(boundary, str) else boundary
         blocks = F.filter(F.split(text, pattern, -1), lambda u: u != "")
-        units = _cut_long(blocks, cap, _tiles(LINE))
-    for parts_of in (_tiles(SENTENCE), _tiles(WORD), _pieces(cap)):
+        units = F.when(pattern.isNotNull(), blocks).otherwise(units)
+    return _within(units, cap)
+
+
+def line_units(lines: Column, cap: int) -> Column:
+    """Units of a text given as an array of lines, which is never joined whole."""
+    return _within(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), cap)
+
+
+def _within(units: Column, cap: int) -> Column:
+    for parts_of in (_tiles(LINE), _tiles(SENTENCE), _tiles(WORD), _pieces(cap)):
         units = _cut_long(units, cap, parts_of)
     return units
 
@@ -188,11 +198,17 @@ def chunk_code(
     cap: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Chunks of source code that prefer to break where a declaration starts."""
+    """Chunks of source code that prefer to break where a declaration starts.
+
+    Languages without declarations, such as plain text, break at lines.
+    """
+    return chunk_text(df, text, keep, cap, overlap, declaration_start(F.col(language)))
+
+
+def declaration_start(language: Column) -> Column:
+    """The pattern of a language's declarations, null when it has none."""
     entries = [F.lit(item) for pair in DECLARATIONS.items() for item in pair]
-    return chunk_text(
-        df, text, keep, cap, overlap, F.element_at(F.create_map(*entries), F.col(language))
-    )
+    return F.element_at(F.create_map(*entries), language)
 
 
 def chunk_lines(
@@ -202,12 +218,23 @@ def chunk_lines(
     cap: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Chunks of texts given as arrays of lines; the lines are never joined whole."""
+    """Chunks of texts given as arrays of lines."""
     _check(cap, overlap)
-    units = F.transform(lines, lambda x: F.concat(x, F.lit("\n")))
-    for parts_of in (_tiles(SENTENCE), _tiles(WORD), _pieces(cap)):
-        units = _cut_long(units, cap, parts_of)
-    return _chunk_units(df, units, cap, overlap, keep)
+    return _chunk_units(df, line_units(lines, cap), cap, overlap, keep)
+
+
+def chunk_files(
+    files: DataFrame, keep: Sequence[str] = (), cap: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
+) -> DataFrame:
+    """Chunks of files (``language, text``) by kind: logs by their error context,
+    code by declarations, other text by lines. Every file is read once.
+    """
+    _check(cap, overlap)
+    text, language = F.col("text"), F.col("language")
+    units = F.when(language == "log", line_units(error_text(text), cap)).otherwise(
+        text_units(text, cap, declaration_start(language))
+    )
+    return _chunk_units(files, units, cap, overlap, keep)
 
 
 def chunk_fixed(

@@ -23,14 +23,12 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def postings(
-    df: DataFrame, text: str, key: str | Sequence[str] = "row_key", positions: bool = True
-) -> DataFrame:
-    """One row per row key and term: ``tf``, ``row_terms`` and the positions.
+def term_counts(df: DataFrame, text: str, key: str | Sequence[str] = "row_key") -> DataFrame:
+    """One row per row key and term: ``tf`` and ``row_terms``, without positions.
 
-    Texts are shuffled by row key before they are taken apart. The counts then
-    need no shuffle of their own, and neither does anything later that groups
-    by row key.
+    Texts are shuffled by row key before they are taken apart: a text is
+    smaller than its terms, and counting then needs no shuffle, nor does
+    anything later that groups by row key.
     """
     keys = [key] if isinstance(key, str) else list(key)
     split = (
@@ -42,13 +40,47 @@ def postings(
     # Exploding an expression keeps Catalyst from adding a filter on the terms
     # below the shuffle, which would take every text apart twice.
     some = F.when(F.size("_terms") > 0, F.col("_terms"))
-    exploded = split.select(
-        *keys, F.size("_terms").alias("row_terms"), F.posexplode(some).alias("_at", "term")
+    exploded = split.select(*keys, F.size("_terms").alias("row_terms"), F.explode(some).alias("term"))
+    return exploded.groupBy(*keys, "term", "row_terms").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def postings(df: DataFrame, text: str, key: str | Sequence[str] = "row_key") -> DataFrame:
+    """One row per row key and term: ``tf``, ``row_terms`` and the positions.
+
+    A text's terms are sorted with their positions inside its own row, where
+    equal terms then stand together, so building postings shuffles nothing.
+    Every array is read more than once by the step after it; Catalyst then
+    keeps it as a column instead of repeating the work.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    split = df.where(F.col(text).isNotNull()).select(*keys, terms(F.col(text)).alias("_terms"))
+    placed = F.transform("_terms", lambda term, at: F.struct(term.alias("term"), at.alias("at")))
+    ordered = split.select(
+        *keys, F.size("_terms").alias("row_terms"), F.sort_array(placed).alias("_sorted")
+    )
+
+    def term_at(i):
+        return F.get("_sorted", i)["term"]
+
+    every = F.when(F.col("row_terms") > 0, F.sequence(F.lit(0), F.col("row_terms") - 1))
+    heads = F.filter(every, lambda i: (i == 0) | (term_at(i) != term_at(i - 1)))
+    headed = ordered.select(*keys, "row_terms", "_sorted", heads.alias("_heads"))
+
+    def run(head, number):
+        past = F.coalesce(F.get("_heads", number + 1), F.col("row_terms"))
+        found = F.slice(F.col("_sorted"), head + 1, past - head)
+        return F.struct(
+            term_at(head).alias("term"), F.transform(found, lambda x: x["at"]).alias("positions")
+        )
+
+    runs = F.explode(F.transform("_heads", run)).alias("_run")
+    return headed.select(*keys, "row_terms", runs).select(
+        *keys,
+        "_run.term",
+        "row_terms",
+        F.size("_run.positions").cast("long").alias("tf"),
+        "_run.positions",
     )
-    found = [F.count(F.lit(1)).alias("tf")]
-    if positions:
-        found.append(F.sort_array(F.collect_list("_at")).alias("positions"))
-    return exploded.groupBy(*keys, "term", "row_terms").agg(*found)
 
 
 def term_stats(index: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from lodestone.operators import ivf
 from lodestone.operators import prompts as P
 from lodestone.operators import retrieve as R
-from lodestone.operators.chunks import chunk_code, chunk_lines, chunk_text, number_chunks
+from lodestone.operators.chunks import chunk_files, number_chunks
 from lodestone.operators.embedding import Embedder, checked_width, embed_column, load_time
 from lodestone.operators.generation import Generator, checked_json, generate, parse_reply, reply_text
-from lodestone.operators.lines import error_text, explode_lines
+from lodestone.operators.lines import explode_lines
 from lodestone.operators.postings import corpus_stats, keyword_search, postings, term_stats
 from lodestone.schema import (
     CHUNK_OVERLAP,
@@ -35,25 +35,6 @@ from lodestone.sources.tables import create_table, fitted, open_table
 KEY = list(R.LINE_KEY)
 
 
-def chunk_files(
-    files: DataFrame, cap: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
-) -> DataFrame:
-    """Chunks of files by kind: text as it is, logs by their error context, code.
-
-    ``files``: ``path, metadata, language, text``.
-    """
-    keep = ["path", "metadata"]
-    language = F.col("language")
-    text = chunk_text(files.where(language == "text"), "text", keep, cap, overlap)
-    logs = chunk_lines(
-        files.where(language == "log"), error_text(F.col("text")), keep, cap, overlap
-    )
-    code = chunk_code(
-        files.where(~language.isin("text", "log")), "language", "text", keep, cap, overlap
-    )
-    return text.unionByName(logs).unionByName(code)
-
-
 def vector_rows(
     chunks: DataFrame,
     embedder: Embedder,
@@ -109,7 +90,9 @@ def load(
     them, and a lost executor must not repeat the splitting.
     """
     files = read_files(spark, source, strict) if isinstance(source, str) else source
-    chunks = checkpointed(chunk_files(spread(files), chunk_size, overlap))
+    chunks = checkpointed(
+        chunk_files(spread(files), ["path", "metadata"], chunk_size, overlap)
+    )
     layout = Layout(target)
     rows = checkpointed(vector_rows(chunks, embedder, tasks=tasks))
     index_vectors(spark, rows, layout, partitions)

@@ -10,7 +10,7 @@ from lodestone.operators import lines as L
 from lodestone.operators import postings as X
 from lodestone.plans.registry import registered, rounded, table, wide_table
 from lodestone.session import scratch_path
-from lodestone.sources.files import read_files, read_lines
+from lodestone.sources.files import read_files, read_lines, spread
 
 CAP, OVERLAP = 2048, 256
 
@@ -285,7 +285,7 @@ def _shown_postings(index, key):
     SELECT doc_id, term, tf, first_pos, last_pos FROM p"""
 )
 def postings(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = wide_table(spark, folder, "documents")
     return _shown_postings(X.postings(documents, "text", "doc_id"), "doc_id")
 
 
@@ -294,7 +294,7 @@ def postings(spark, folder):
     SELECT page_id, term, tf, first_pos, last_pos FROM p"""
 )
 def postings_url(spark, folder):
-    pages = table(spark, folder, "pages")
+    pages = wide_table(spark, folder, "pages")
     return _shown_postings(X.postings(pages, "url", "page_id"), "page_id")
 
 
@@ -304,7 +304,7 @@ def postings_url(spark, folder):
 )
 def term_stats(spark, folder):
     documents = table(spark, folder, "documents")
-    return X.term_stats(X.postings(documents, "text", "doc_id", positions=False))
+    return X.term_stats(X.term_counts(documents, "text", "doc_id"))
 
 
 @registered(
@@ -324,9 +324,9 @@ def term_stats(spark, folder):
 )
 def bm25(spark, folder):
     documents = table(spark, folder, "documents")
-    index = X.postings(documents, "text", "doc_id", positions=False)
+    index = X.term_counts(documents, "text", "doc_id")
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     found = X.keyword_search(
-        index, X.term_stats(index), X.corpus_stats(documents, "text"), queries, 10, "doc_id"
+        index, X.term_stats(index), X.corpus_stats(spread(documents), "text"), queries, 10, "doc_id"
     )
     return found.select("query_id", "doc_id", rounded("score", "score"), "rank")

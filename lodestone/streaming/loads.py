@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lodestone.functions.text import base_name, language_of
+from lodestone.operators.chunks import chunk_files
 from lodestone.operators.embedding import Embedder
-from lodestone.plans.jobs import chunk_files, vector_rows
+from lodestone.plans.jobs import vector_rows
 from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE, LANGUAGES
 from lodestone.session import checkpointed
 from lodestone.sources.tables import insert_rows
@@ -48,7 +49,7 @@ def insert_stream(
     """
 
     def insert(batch: DataFrame, _number: int) -> None:
-        chunks = checkpointed(chunk_files(batch, chunk_size, overlap))
+        chunks = checkpointed(chunk_files(batch, ["path", "metadata"], chunk_size, overlap))
         insert_rows(batch.sparkSession, target, vector_rows(chunks, embedder))
 
     return files.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
