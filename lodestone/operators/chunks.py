@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import trim_space
+from lodestone.operators.joins import join_same
 from lodestone.operators.lines import error_text
 from lodestone.operators.ordering import running_total
 from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE
@@ -274,7 +275,7 @@ def number_chunks(
         counts, ["_all"], [file], F.col("_part"), F.col("_chunks"), "_start"
     ).select(file, "_start")
     return (
-        chunks.join(starts, file)
+        join_same(chunks, starts, [file])
         .withColumn(name, (F.col("_start") + F.col("chunk_number")).cast("long"))
         .drop("_start")
     )

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import cosine_distance, l2_distance, l2_squared
 from lodestone.operators import neighbours as nn
+from lodestone.operators.joins import join_same
 from lodestone.operators.ordering import top_k
 from lodestone.schema import (
     MAX_ITERATIONS,
@@ -74,6 +75,25 @@ class Centroids:
         return cls(np.array([row["centroid"] for row in rows], np.float64), unit)
 
 
+def _whole(table: DataFrame, vector: str, unit: bool) -> DataFrame:
+    """Rows with a complete vector, for ``unit`` one that is not zero."""
+    kept = table.where(
+        F.col(vector).isNotNull()
+        & (F.size(vector) > 0)
+        & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    )
+    return kept.where(F.exists(vector, lambda x: x != 0)) if unit else kept
+
+
+def _known(column: pa.Array, width: int, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values of the vectors that ``_whole`` keeps."""
+    rows, vectors = nn.vectors_of(column, width)
+    good = np.isfinite(vectors).all(axis=1)
+    if unit:
+        good &= (vectors != 0).any(axis=1)
+    return rows[good], vectors[good]
+
+
 def train_centroids(
     table: DataFrame,
     vector: str = "vector",
@@ -82,19 +102,18 @@ def train_centroids(
     max_iterations: int = MAX_ITERATIONS,
     unit: bool = True,
     seed: int = 0,
+    rows: int | None = None,
 ) -> Centroids:
     """Cluster centres from a sample of about ``partitions * sample_rate`` rows.
 
     ``unit`` scales vectors to length 1 first: Euclidean order then equals
-    cosine order.
+    cosine order. ``rows``, the number of usable vectors, saves counting them.
     """
-    usable = table.where(
-        F.col(vector).isNotNull()
-        & (F.size(vector) > 0)
-        & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-        & F.exists(vector, lambda x: x != 0)
-    ).select(F.col(vector).cast("array<double>").alias("_vector"))
-    rows = usable.count()
+    usable = _whole(table, vector, unit).select(
+        F.col(vector).cast("array<double>").alias("_vector")
+    )
+    if rows is None:
+        rows = usable.count()
     if rows == 0:
         raise ValueError("no vectors to train on")
     wanted = partitions * sample_rate
@@ -114,19 +133,18 @@ def train_centroids(
 def assign_partitions(
     table: DataFrame, centroids: Centroids, vector: str = "vector", name: str = "part"
 ) -> DataFrame:
-    """Adds the closest partition; null where there is no whole vector."""
+    """Adds the closest partition; null where no vector can be found."""
     shared = table.sparkSession.sparkContext.broadcast(centroids)
 
     @F.arrow_udf("int")
     def closest(column: pa.Array) -> pa.Array:
         held = shared.value
-        rows, vectors = nn.vectors_of(column, held.matrix.shape[1])
+        rows, vectors = _known(column, held.matrix.shape[1], held.unit)
         parts = np.zeros(len(column), np.int32)
         known = np.zeros(len(column), bool)
         if len(rows):
-            finite = np.isfinite(vectors).all(axis=1)
-            parts[rows[finite]] = held.nearest(vectors[finite])
-            known[rows[finite]] = True
+            parts[rows] = held.nearest(vectors)
+            known[rows] = True
         return pa.array(parts, pa.int32(), mask=~known)
 
     return table.withColumn(name, closest(F.col(vector)))
@@ -134,21 +152,29 @@ def assign_partitions(
 
 @dataclass(frozen=True)
 class Quantizer:
-    """Byte codes over the range of each dimension."""
+    """Byte codes over the range of each dimension.
+
+    ``unit``: the codes serve cosine search, where a zero vector has no
+    distance; it then gets no codes, since they would not decode to zero.
+    """
 
     low: np.ndarray
     high: np.ndarray
+    unit: bool = False
+    rows: int | None = None
 
     @classmethod
-    def fit(cls, table: DataFrame, vector: str = "vector") -> Quantizer:
-        """Smallest and largest value per dimension, in one aggregate."""
-        points = table.where(
-            F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-        ).select(array_to_vector(F.col(vector).cast("array<double>")).alias("_point"))
+    def fit(cls, table: DataFrame, vector: str = "vector", unit: bool = False) -> Quantizer:
+        """Smallest and largest value per dimension and the rows, in one aggregate."""
+        points = _whole(table, vector, unit).select(
+            array_to_vector(F.col(vector).cast("array<double>")).alias("_point")
+        )
         summary = points.select(
-            Summarizer.metrics("min", "max").summary(F.col("_point")).alias("s")
+            Summarizer.metrics("min", "max", "count").summary(F.col("_point")).alias("s")
         ).first()["s"]
-        return cls(summary["min"].toArray(), summary["max"].toArray())
+        if not summary["count"]:
+            raise ValueError("no vectors to index")
+        return cls(summary["min"].toArray(), summary["max"].toArray(), unit, summary["count"])
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         width = self.high - self.low
@@ -164,26 +190,25 @@ class Quantizer:
         return spark.createDataFrame(rows, "dim int, low double, high double")
 
     @classmethod
-    def from_frame(cls, frame: DataFrame) -> Quantizer:
+    def from_frame(cls, frame: DataFrame, unit: bool = False) -> Quantizer:
         if not nn.has_at_most(frame, CENTROID_NUMBERS):
             raise ValueError("too many dimensions to send to every task")
         rows = frame.orderBy("dim").collect()
-        return cls(np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows]))
+        low, high = ([r[name] for r in rows] for name in ("low", "high"))
+        return cls(np.array(low), np.array(high), unit)
 
 
 def encode_vectors(
     table: DataFrame, quantizer: Quantizer, vector: str = "vector", name: str = "codes"
 ) -> DataFrame:
-    """Adds the codes of each vector; null where there is no whole vector."""
+    """Adds the codes of each vector; null where no vector can be found."""
     shared = table.sparkSession.sparkContext.broadcast(quantizer)
 
     @F.arrow_udf("array<smallint>")
     def coded(column: pa.Array) -> pa.Array:
         held = shared.value
         width = len(held.low)
-        rows, vectors = nn.vectors_of(column, width)
-        finite = np.isfinite(vectors).all(axis=1)
-        rows, vectors = rows[finite], vectors[finite]
+        rows, vectors = _known(column, width, held.unit)
         known = np.zeros(len(column), bool)
         known[rows] = True
         offsets = np.zeros(len(column) + 1, np.int32)
@@ -197,8 +222,11 @@ def encode_vectors(
 def _search(
     table, queries, search, keys, vector, query_id, query_vector, max_query_bytes,
     centroids=None, nprobes=PROBES, part="part", decode=None,
-) -> DataFrame:
-    """Best rows per query over all of the table or over the probed partitions."""
+) -> tuple[DataFrame, DataFrame]:
+    """Best rows per query over all of the table or over the probed partitions.
+
+    Also returns the table without the partitions no query looks into.
+    """
     schema = nn._result_schema(table, queries, keys, query_id)
     held = nn.collect_queries(queries, query_id, query_vector, search.k, max_query_bytes)
     if held is None:
@@ -218,7 +246,7 @@ def _search(
             table, held, search, schema, keys, vector, query_id,
             part if held.probes is not None else None, decode,
         )
-    return top_k(found, [query_id], [nn.DISTANCE, *keys], search.k)
+    return top_k(found, [query_id], [nn.DISTANCE, *keys], search.k), table
 
 
 def _with_probes(queries, centroids, nprobes, query_vector) -> DataFrame:
@@ -257,10 +285,11 @@ def probed_nearest(
     Probing all partitions gives the exact answer.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    return _search(
+    found, _ = _search(
         table, queries, nn.Search(k, metric), keys, vector, query_id, query_vector,
         max_query_bytes, centroids, nprobes, part,
     )
+    return found
 
 
 EXACT = {"cosine": cosine_distance, "l2": l2_distance, "l2_squared": l2_squared}
@@ -287,19 +316,20 @@ def refined_nearest(
     """``k * factor`` rows by the distance of their codes, then the best ``k`` exactly.
 
     The wide scan reads the byte codes; full vectors are read only to be
-    joined with the candidates.
+    joined with the candidates, and only from the probed partitions.
     """
     keys = [key] if isinstance(key, str) else list(key)
     search = nn.Search(k * factor, metric)
-    found = _search(
+    found, table = _search(
         table, queries, search, keys, codes, query_id, query_vector, max_query_bytes,
         centroids, nprobes, part, quantizer,
-    ).select(query_id, *keys)
+    )
+    found = found.select(query_id, *keys)
     small = nn.few_results(queries, search.k)
     full = table.select(*keys, F.col(vector).alias("_full"))
-    full = full.join(F.broadcast(found) if small else found, keys)
     asked = queries.select(query_id, F.col(query_vector).alias("_asked"))
-    full = full.join(F.broadcast(asked) if small else asked, query_id)
+    found = join_same(found, asked, [query_id], small)
+    full = join_same(full, found, keys, small)
     exact = full.withColumn(nn.DISTANCE, EXACT[metric](F.col("_full"), F.col("_asked")))
     exact = exact.where(F.col(nn.DISTANCE).isNotNull()).select(query_id, *keys, nn.DISTANCE)
     return top_k(exact, [query_id], [nn.DISTANCE, *keys], k)

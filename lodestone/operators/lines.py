@@ -26,15 +26,20 @@ def drop_noise(
     order: str = "line_no",
     slice_by: Column | None = None,
     words: Sequence[str] = NOISE_WORDS,
+    marks: Sequence[str] = ERROR_WORDS,
 ) -> DataFrame:
     """Lines without the noise words, renumbered from 0 per file as ``n``.
 
     ``slice_by`` splits a long file; it defaults to stretches of ``order``,
-    which then has to be a line number.
+    which then has to be a line number. ``hit`` tells whether a line holds one
+    of ``marks``: known before lines are shuffled, it lets ``error_context``
+    look for hits without moving their text.
     """
     if slice_by is None:
         slice_by = F.floor(F.col(order) / LINES_PER_SLICE)
-    kept = lines.where(~contains_any(F.col("line"), words))
+    kept = lines.where(~contains_any(F.col("line"), words)).withColumn(
+        "hit", contains_any(F.col("line"), marks)
+    )
     return numbered(kept, [file], [order], slice_by, "n")
 
 
@@ -42,13 +47,12 @@ def error_context(
     lines: DataFrame,
     file: str,
     around: int = LOG_CONTEXT,
-    words: Sequence[str] = ERROR_WORDS,
     dedupe: bool = False,
     skip_blank: bool = True,
 ) -> DataFrame:
-    """Lines within ``around`` lines of a line that holds one of the words.
+    """Lines within ``around`` lines of a line marked as ``hit``.
 
-    ``lines`` has ``n`` dense per file. Each hit names the line numbers it
+    ``lines`` has ``n`` dense per file (see ``drop_noise``). Each hit names the line numbers it
     wants, and those meet the lines by plain equality on ``(file, n)``: keys
     are unique on the line side, so a huge file spreads over all tasks.
 
@@ -57,7 +61,7 @@ def error_context(
     """
     reach = F.sequence(F.col("n") - around, F.col("n") + around)
     wanted = (
-        lines.where(contains_any(F.col("line"), words))
+        lines.where("hit")
         .select(F.col(file), F.col("n").alias("hit_n"), F.explode(reach).alias("n"))
         .where(F.col("n") >= 0)
     )

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators.joins import join_same
 from lodestone.operators.ordering import top_k
 from lodestone.schema import NEIGHBOURS
 from lodestone.session import has_at_most
@@ -427,9 +428,7 @@ def with_columns_of(
     ``small``: the result was checked to be small enough for every task.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if small:
-        found = F.broadcast(found)
-    return table.select(*keys, *columns).join(found, keys)
+    return join_same(table.select(*keys, *columns), found, keys, small)
 
 
 def few_results(queries: DataFrame, k: int) -> bool:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.joins import join_same
+
 SALTS = 32
 
 
@@ -26,14 +28,16 @@ def top_k(
 ) -> DataFrame:
     """The first ``k`` rows of each group, ranked from 1.
 
-    ``order`` must be a total order within the group. Rows are ranked in
-    salted parts of each group first, so no task sees a whole hot group.
+    ``order`` must be a total order within the group. Every task first keeps
+    its own ``k`` rows per group; these meet in ``salts`` parts of each group
+    and only then as a whole, so no task sees all of a hot group. The salt is
+    the number of the task, which leaves the first step as selective as it is
+    without salt; the result does not depend on it.
     """
     group = list(group)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     if salts > 1:
-        plain = [c for c in df.columns if _hashable(df, c)]
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
+        df = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         part = W.partitionBy(*group, "_salt").orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(part)).where(F.col(rank) <= k)
         df = df.drop("_salt", rank)
@@ -41,10 +45,6 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= k)
 
 
-def _hashable(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() not in ("map", "variant")
-
-
 def running_offsets(
     df: DataFrame, group: Sequence[str], slice_by: Column, amount: Column
 ) -> DataFrame:
@@ -86,7 +86,7 @@ def running_total(
         "_inside", F.coalesce(F.sum(amount).over(earlier), F.lit(0))
     )
     return (
-        sliced.join(offsets, [*group, "_slice"])
+        join_same(sliced, offsets, [*group, "_slice"])
         .withColumn(name, (F.col("_before") + F.col("_inside")).cast("long"))
         .drop("_slice", "_before", "_inside")
     )

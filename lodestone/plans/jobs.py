@@ -89,10 +89,8 @@ def load(
     Chunks are stored before they are numbered and embedded: both steps read
     them, and a lost executor must not repeat the splitting.
     """
-    files = read_files(spark, source, strict) if isinstance(source, str) else source
-    chunks = checkpointed(
-        chunk_files(spread(files), ["path", "metadata"], chunk_size, overlap)
-    )
+    files = spread(read_files(spark, source, strict)) if isinstance(source, str) else source
+    chunks = checkpointed(chunk_files(files, ["path", "metadata"], chunk_size, overlap))
     layout = Layout(target)
     rows = checkpointed(vector_rows(chunks, embedder, tasks=tasks))
     index_vectors(spark, rows, layout, partitions)
@@ -110,11 +108,10 @@ def index_vectors(
     Rows are brought together by partition for files of even size; a partition
     that holds far more than the others is split over several tasks.
     """
-    usable = rows.where(F.exists("vector", lambda x: x != 0))
-    if usable.isEmpty():
-        raise ValueError("no vectors to index")
-    centroids = ivf.train_centroids(usable, "vector", partitions, SAMPLE_RATE, MAX_ITERATIONS)
-    quantizer = ivf.Quantizer.fit(usable, "vector")
+    quantizer = ivf.Quantizer.fit(rows, "vector", unit=True)
+    centroids = ivf.train_centroids(
+        rows, "vector", partitions, SAMPLE_RATE, MAX_ITERATIONS, rows=quantizer.rows
+    )
     placed = ivf.encode_vectors(
         ivf.assign_partitions(rows, centroids, "vector", "part"), quantizer, "vector", "codes"
     )
@@ -143,7 +140,7 @@ def search_index(spark: SparkSession, target: str, nprobes: int = PROBES, factor
     """
     layout = Layout(target)
     centroids = ivf.Centroids.from_frame(open_table(spark, layout.centroids), unit=True)
-    quantizer = ivf.Quantizer.from_frame(open_table(spark, layout.ranges))
+    quantizer = ivf.Quantizer.from_frame(open_table(spark, layout.ranges), unit=True)
 
     def search(table, queries, k=NEIGHBOURS, **options):
         return ivf.refined_nearest(

@@ -68,9 +68,10 @@ def read_prompt(spark: SparkSession, path: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many tasks as the cluster has cores.
+    """A scan over at least as many tasks as the cluster has cores.
 
     Only a scan that yields fewer (one small file, one row group) is shuffled.
+    Meant for plain scans: counting the tasks of a shuffled frame would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
