@@ -75,11 +75,12 @@ class Centroids:
         return cls(np.array([row["centroid"] for row in rows], np.float64), unit)
 
 
-def _whole(table: DataFrame, vector: str, unit: bool) -> DataFrame:
+def _whole(table: DataFrame, vector: str, unit: bool, dimension: int | None) -> DataFrame:
     """Rows with a complete vector, for ``unit`` one that is not zero."""
+    width = F.size(vector)
     kept = table.where(
         F.col(vector).isNotNull()
-        & (F.size(vector) > 0)
+        & (width > 0 if dimension is None else width == dimension)
         & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
     )
     return kept.where(F.exists(vector, lambda x: x != 0)) if unit else kept
@@ -103,13 +104,15 @@ def train_centroids(
     unit: bool = True,
     seed: int = 0,
     rows: int | None = None,
+    dimension: int | None = None,
 ) -> Centroids:
     """Cluster centres from a sample of about ``partitions * sample_rate`` rows.
 
     ``unit`` scales vectors to length 1 first: Euclidean order then equals
-    cosine order. ``rows``, the number of usable vectors, saves counting them.
+    cosine order. ``rows``, the number of usable vectors, saves counting them;
+    ``dimension`` leaves out vectors of another width.
     """
-    usable = _whole(table, vector, unit).select(
+    usable = _whole(table, vector, unit, dimension).select(
         F.col(vector).cast("array<double>").alias("_vector")
     )
     if rows is None:
@@ -124,8 +127,12 @@ def train_centroids(
         points = Normalizer(inputCol="_raw", outputCol="_point", p=2.0).transform(points)
     else:
         points = points.withColumnRenamed("_raw", "_point")
+    clusters = min(partitions, rows)
+    if clusters == 1:
+        mean = points.select(Summarizer.mean(F.col("_point")).alias("m")).first()["m"]
+        return Centroids(mean.toArray()[None, :], unit)
     model = KMeans(
-        k=min(partitions, rows), maxIter=max_iterations, seed=seed, featuresCol="_point"
+        k=clusters, maxIter=max_iterations, seed=seed, featuresCol="_point"
     ).fit(points)
     return Centroids(np.array(model.clusterCenters()), unit)
 
@@ -164,16 +171,22 @@ class Quantizer:
     rows: int | None = None
 
     @classmethod
-    def fit(cls, table: DataFrame, vector: str = "vector", unit: bool = False) -> Quantizer:
+    def fit(
+        cls,
+        table: DataFrame,
+        vector: str = "vector",
+        unit: bool = False,
+        dimension: int | None = None,
+    ) -> Quantizer:
         """Smallest and largest value per dimension and the rows, in one aggregate."""
-        points = _whole(table, vector, unit).select(
+        points = _whole(table, vector, unit, dimension).select(
             array_to_vector(F.col(vector).cast("array<double>")).alias("_point")
         )
+        if points.isEmpty():
+            raise ValueError("no vectors to index")
         summary = points.select(
             Summarizer.metrics("min", "max", "count").summary(F.col("_point")).alias("s")
         ).first()["s"]
-        if not summary["count"]:
-            raise ValueError("no vectors to index")
         return cls(summary["min"].toArray(), summary["max"].toArray(), unit, summary["count"])
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
@@ -233,6 +246,8 @@ def _search(
         probes = None
         if centroids is not None:
             queries, probes = _with_probes(queries, centroids, nprobes, query_vector), "_probes"
+            queries = queries.where(F.col(probes).isNotNull())
+            table = table.where(F.col(part).isNotNull())
         found = nn.grid_nearest(
             table, queries, search, schema, keys, vector, query_id, query_vector,
             max_query_bytes, part if probes else None, probes, decode,

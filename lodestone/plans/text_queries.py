@@ -9,7 +9,7 @@ from lodestone.operators import chunks as C
 from lodestone.operators import lines as L
 from lodestone.operators import postings as X
 from lodestone.plans.registry import registered, rounded, table, wide_table
-from lodestone.session import scratch_path
+from lodestone.session import checkpointed, scratch_path
 from lodestone.sources.files import read_files, read_lines, spread
 
 CAP, OVERLAP = 2048, 256
@@ -118,9 +118,8 @@ def chunk_code(spark, folder):
 )
 def chunk_global_id(spark, folder):
     chunks = C.chunk_text(wide_table(spark, folder, "documents"), "text", ["doc_id"], CAP, OVERLAP)
-    numbered = C.number_chunks(
-        chunks.select("doc_id", "chunk_number"), "doc_id", F.floor(F.col("doc_id") / 4096)
-    )
+    stored = checkpointed(chunks.select("doc_id", "chunk_number"))
+    numbered = C.number_chunks(stored, "doc_id", F.floor(F.col("doc_id") / 4096))
     return numbered.select("doc_id", "chunk_number", "id")
 
 
