@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import trim_space
 from lodestone.operators.joins import join_same
 from lodestone.operators.lines import error_text
-from lodestone.operators.ordering import running_total
+from lodestone.operators.ordering import running_offsets, running_total
 from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE
 
 LINE = r"[^\n]*\n|[^\n]+"
 SENTENCE = r"(?s).+?(?:[.!?]+[ \t\r\n]+|\z)"
 WORD = r"[^ \t\r\n]+[ \t\r\n]*|[ \t\r\n]+"
 
+# Line numbers of hits whose context one task packs at a time.
+HITS_PER_PART = 4096
+
 # Where a declaration starts, by language: the text is cut before each match.
 DECLARATIONS = {
     "rust": r"(?m)(?=^(?:pub(?:\([a-z]+\))? |async |unsafe )*(?:fn|struct|enum|trait|impl|mod|const|static|type|macro_rules!)\b)",
@@ -224,6 +227,38 @@ def chunk_lines(
     return _chunk_units(df, line_units(lines, cap), cap, overlap, keep)
 
 
+def chunk_log(
+    context: DataFrame,
+    file: str = "path",
+    keep: Sequence[str] = (),
+    cap: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    hits_per_part: int = HITS_PER_PART,
+) -> DataFrame:
+    """Chunks of log context given as rows ``hit_n, n, line`` of any number of files.
+
+    A file's context is cut after every ``hits_per_part`` line numbers of hits,
+    and each part is packed on its own, so that no task holds all of a huge
+    log. Chunks are numbered through the file. Files within one part get the
+    chunks their whole text would get.
+    """
+    _check(cap, overlap)
+    part = F.floor(F.col("hit_n") / hits_per_part)
+    lines = F.sort_array(F.collect_list(F.struct("hit_n", "n", "line")))
+    parts = (
+        context.withColumn("_part", part)
+        .groupBy(file, *keep, "_part")
+        .agg(F.transform(lines, lambda x: x["line"]).alias("_lines"))
+    )
+    packed = _chunk_units(
+        parts, line_units(F.col("_lines"), cap), cap, overlap, [file, *keep, "_part"]
+    ).withColumnRenamed("chunk_number", "_inside")
+    before = running_offsets(packed, [file], F.col("_part"), F.lit(1))
+    numbered = join_same(packed.withColumnRenamed("_part", "_slice"), before, [file, "_slice"])
+    number = (F.col("_before") + F.col("_inside")).cast("int")
+    return numbered.select(file, *keep, number.alias("chunk_number"), "chunk")
+
+
 def chunk_files(
     files: DataFrame, keep: Sequence[str] = (), cap: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:

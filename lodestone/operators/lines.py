@@ -23,7 +23,7 @@ def explode_lines(df: DataFrame, text: str = "text", keep: Sequence[str] = ()) -
 def drop_noise(
     lines: DataFrame,
     file: str,
-    order: str = "line_no",
+    order: str | Sequence[str] = "line_no",
     slice_by: Column | None = None,
     words: Sequence[str] = NOISE_WORDS,
     marks: Sequence[str] = ERROR_WORDS,
@@ -35,12 +35,13 @@ def drop_noise(
     of ``marks``: known before lines are shuffled, it lets ``error_context``
     look for hits without moving their text.
     """
+    order = [order] if isinstance(order, str) else list(order)
     if slice_by is None:
-        slice_by = F.floor(F.col(order) / LINES_PER_SLICE)
+        slice_by = F.floor(F.col(order[0]) / LINES_PER_SLICE)
     kept = lines.where(~contains_any(F.col("line"), words)).withColumn(
         "hit", contains_any(F.col("line"), marks)
     )
-    return numbered(kept, [file], [order], slice_by, "n")
+    return numbered(kept, [file], order, slice_by, "n")
 
 
 def error_context(

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from lodestone.operators import ivf
 from lodestone.operators import prompts as P
 from lodestone.operators import retrieve as R
-from lodestone.operators.chunks import chunk_files, number_chunks
+from lodestone.operators.chunks import chunk_files, chunk_log, number_chunks
 from lodestone.operators.embedding import Embedder, checked_width, embed_column, load_time
 from lodestone.operators.generation import Generator, checked_json, generate, parse_reply, reply_text
-from lodestone.operators.lines import explode_lines
+from lodestone.operators.lines import drop_noise, error_context, explode_lines
 from lodestone.operators.postings import corpus_stats, keyword_search, postings, term_stats
 from lodestone.schema import (
     CHUNK_OVERLAP,
     CHUNK_SIZE,
+    LANGUAGES,
     MAX_ITERATIONS,
     NEIGHBOURS,
     PARTITIONS,
@@ -29,12 +30,32 @@ from lodestone.schema import (
     vector_table,
 )
 from lodestone.session import checkpointed
-from lodestone.sources.files import read_files, spread
+from lodestone.sources.files import name_pattern, read_files, read_lines, spread
 from lodestone.sources.tables import create_table, fitted, open_table
 
 KEY = list(R.LINE_KEY)
 
 
+def chunk_folder(
+    spark: SparkSession,
+    path: str,
+    cap: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    strict: bool = True,
+) -> DataFrame:
+    """Chunks of all files below a path: ``path, metadata, chunk_number, chunk``.
+
+    Logs may be far larger than one value can be and are read by lines; text
+    and code files are read whole.
+    """
+    whole = sorted(set(LANGUAGES.values()) - {"log"})
+    files = spread(read_files(spark, path, strict, whole))
+    lines = read_lines(spark, path, name_pattern(["log"]), strict)
+    numbered = drop_noise(lines, "path", ["block", "row"], F.col("block"))
+    logs = chunk_log(error_context(numbered, "path"), "path", ["metadata"], cap, overlap)
+    return chunk_files(files, ["path", "metadata"], cap, overlap).unionByName(logs)
+
+
 def vector_rows(
     chunks: DataFrame,
     embedder: Embedder,
@@ -89,8 +110,11 @@ def load(
     Chunks are stored before they are numbered and embedded: both steps read
     them, and a lost executor must not repeat the splitting.
     """
-    files = spread(read_files(spark, source, strict)) if isinstance(source, str) else source
-    chunks = checkpointed(chunk_files(files, ["path", "metadata"], chunk_size, overlap))
+    if isinstance(source, str):
+        chunks = chunk_folder(spark, source, chunk_size, overlap, strict)
+    else:
+        chunks = chunk_files(source, ["path", "metadata"], chunk_size, overlap)
+    chunks = checkpointed(chunks)
     layout = Layout(target)
     rows = checkpointed(vector_rows(chunks, embedder, tasks=tasks))
     index_vectors(spark, rows, layout, partitions)

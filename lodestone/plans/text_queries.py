@@ -180,16 +180,17 @@ def join_lines(spark, folder):
     return L.join_lines(L.drop_blank(lines), "doc_id")
 
 
-@registered(
-    chunks_sql(
-        f"""WITH {EVENT_LINES}, h AS (SELECT user_id, n AS hit_n FROM k WHERE {HITS})
-        SELECT k.user_id, list(k.line || chr(10) ORDER BY h.hit_n, k.n) AS bs FROM h JOIN k
-          ON k.user_id = h.user_id AND k.n BETWEEN h.hit_n - 20 AND h.hit_n + 20
-        WHERE trim(k.line) <> '' GROUP BY k.user_id""",
-        "user_id",
-        "SELECT user_id, chunk_number, chunk FROM chunk",
-    )
+LOG_CHUNKS = chunks_sql(
+    f"""WITH {EVENT_LINES}, h AS (SELECT user_id, n AS hit_n FROM k WHERE {HITS})
+    SELECT k.user_id, list(k.line || chr(10) ORDER BY h.hit_n, k.n) AS bs FROM h JOIN k
+      ON k.user_id = h.user_id AND k.n BETWEEN h.hit_n - 20 AND h.hit_n + 20
+    WHERE trim(k.line) <> '' GROUP BY k.user_id""",
+    "user_id",
+    "SELECT user_id, chunk_number, chunk FROM chunk",
 )
+
+
+@registered(LOG_CHUNKS)
 def log_chunks(spark, folder):
     """Each user's events as one log file, cut down to its error context and chunked."""
     files = L.join_lines(
@@ -199,6 +200,13 @@ def log_chunks(spark, folder):
     return C.chunk_lines(files, context, ["user_id"], CAP, OVERLAP)
 
 
+@registered(LOG_CHUNKS)
+def log_chunks_by_rows(spark, folder):
+    """The same chunks without ever holding a log as one value."""
+    context = L.error_context(_numbered_events(spark, folder), "user_id")
+    return C.chunk_log(context, "user_id", [], CAP, OVERLAP)
+
+
 PATHS = """'/data/' || source || '/f' || doc_id || '.' || CASE lang
       WHEN 'en' THEN 'txt' WHEN 'fr' THEN 'rs' WHEN 'de' THEN 'PY' ELSE 'h' END"""
 

@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of this machine: on a
     cluster the executors could not read it back.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,15 @@ from lodestone.schema import LANGUAGES
 PROMPT_BYTES = 1 << 20
 
 
-def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def name_pattern(languages: Iterable[str] | None = None) -> str:
+    """A pattern for the file names of some languages; of all by default."""
+    wanted = [e for e, name in LANGUAGES.items() if languages is None or name in set(languages)]
+    return "*.{" + ",".join(wanted) + "}"
+
+
+def read_files(
+    spark: SparkSession, path: str, strict: bool = True, languages: Iterable[str] | None = None
+) -> DataFrame:
     """Files of known types below a path (or the one file): ``path, metadata,
     language, text``.
 
@@ -21,11 +31,10 @@ def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     ``strict``. Each file is one value, hence below 2 GB; ``read_lines`` has no
     such bound.
     """
-    known = "*.{" + ",".join(LANGUAGES) + "}"
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", known)
+        .option("pathGlobFilter", name_pattern(languages))
         .load(path)
     )
     language = language_of(F.col("path"))
@@ -42,17 +51,37 @@ def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     ).where(F.col("language").isNotNull())
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their file: ``path, metadata, line``, unordered.
+def read_lines(
+    spark: SparkSession, path: str, pattern: str = "*", strict: bool = True
+) -> DataFrame:
+    """Lines of text files: ``path, metadata, block, row, line``.
 
-    Files are split over tasks, whatever their size.
+    Files are split over tasks, whatever their size. ``block``, the start of
+    the split a line was read from, and ``row`` put the lines of a file in
+    order. Bytes that are not UTF-8 are an error, or leave out the whole file
+    when not ``strict``.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
-    return lines.select(
+    read = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .option("lineSep", "\n")
+        .text(path)
+    )
+    lines = read.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("metadata"),
-        F.regexp_replace("value", r"\r$", "").alias("line"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("value").alias("line"),
     )
+    valid = F.is_valid_utf8("line")
+    if strict:
+        failed = F.raise_error(F.concat(F.lit("not UTF-8: "), "path")).cast("string")
+        lines = lines.withColumn("line", F.when(valid, F.col("line")).otherwise(failed))
+    else:
+        broken = lines.where(~valid).select("path").distinct()
+        lines = lines.join(broken, "path", "left_anti")
+    return lines.withColumn("line", F.regexp_replace("line", r"\r$", ""))
 
 
 def read_prompt(spark: SparkSession, path: str) -> str:

@@ -10,8 +10,9 @@ from lodestone.functions.text import base_name, language_of
 from lodestone.operators.chunks import chunk_files
 from lodestone.operators.embedding import Embedder
 from lodestone.plans.jobs import vector_rows
-from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE, LANGUAGES
+from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE
 from lodestone.session import checkpointed
+from lodestone.sources.files import name_pattern
 from lodestone.sources.tables import insert_rows
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -23,7 +24,7 @@ def arriving_files(spark: SparkSession, path: str) -> DataFrame:
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}")
+        .option("pathGlobFilter", name_pattern())
         .load(path)
     )
     return files.select(

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunks as C
+from lodestone.operators import lines as L
 
 
 def units_of(text, cap, boundary=None):
@@ -157,3 +158,18 @@ def test_global_numbers(spark):
         assert ids == list(range(ids[0], ids[0] + len(ids)))
     ordered = C.number_chunks(df, "path", F.lit(0)).orderBy("id").collect()
     assert [(r.path, r.chunk_number) for r in ordered] == sorted(rows)
+
+
+def test_logs_by_rows(spark):
+    log = "\n".join("an error" if i % 9 == 0 else f"line {i}" for i in range(400))
+    lines = L.explode_lines(spark.createDataFrame([("a", log), ("b", "error")], "path string, text string"), "text", ["path"])
+    context = L.error_context(L.drop_noise(lines, "path"), "path")
+    whole = spark.createDataFrame([("a", "log", log), ("b", "log", "error")], "path string, language string, text string")
+    one = C.chunk_log(context, "path", [], 100, 20)
+    shape = lambda df: sorted((r.path, r.chunk_number, r.chunk) for r in df.collect())
+    assert shape(one) == shape(C.chunk_files(whole, ["path"], 100, 20))
+    found = shape(C.chunk_log(context, "path", [], 100, 20, hits_per_part=50))
+    assert [n for p, n, _ in found if p == "a"] == list(range(len(found) - 1))
+    assert all(len(c) <= 100 for _, _, c in found)
+    whole_lines = {x for _, _, c in shape(one) for x in c.split("\n")}
+    assert {x for _, _, c in found for x in c.split("\n")} == whole_lines

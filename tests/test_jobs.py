@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.chunks import chunk_files
 from lodestone.operators.embedding import HashingEmbedder
+from lodestone.operators.lines import drop_noise
 from lodestone.operators.generation import stub_generator
 from lodestone.plans import jobs
 from lodestone.schema import vector_table
@@ -56,6 +57,11 @@ def test_bytes_that_are_no_text(spark, folder):
 
 def test_lines_and_prompts(spark, folder):
     (folder / "crlf.txt").write_bytes(b"a\r\nb\r\n")
+    (folder / "bad.log").write_bytes(b"fine\nab\xff\n")
+    with pytest.raises(PySparkException):
+        S.read_lines(spark, str(folder), "*.log").collect()
+    logs = S.read_lines(spark, str(folder), "*.log", strict=False)
+    assert {r.metadata for r in logs.collect()} == {"run.log", "quiet.log"}
     lines = S.read_lines(spark, str(folder / "crlf.txt")).collect()
     assert [(r.metadata, r.line) for r in lines] == [("crlf.txt", "a"), ("crlf.txt", "b")]
     assert S.read_prompt(spark, str(folder / "notes.txt")).startswith("Temperature")
@@ -158,3 +164,22 @@ def test_files_that_arrive(spark, folder):
     assert [r.content for r in added.collect()] == ["arrived later"]
     assert B.open_table(spark, target).count() == first + 1
     assert added.select(F.size("vector")).first()[0] == 64
+
+
+def test_a_log_larger_than_one_split(spark, tmp_path):
+    lines = [f"{'Lineage' if i % 7 == 0 else 'ERROR' if i % 50 == 3 else 'info'} {i}" for i in range(4000)]
+    (tmp_path / "big.log").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        read = S.read_lines(spark, str(tmp_path))
+        assert read.select("block").distinct().count() > 5
+        kept = drop_noise(read, "path", ["block", "row"], F.col("block")).orderBy("n").collect()
+        chunks = jobs.chunk_folder(spark, str(tmp_path), 500, 50).orderBy("chunk_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = [x for x in lines if "Lineage" not in x]
+    assert [(r.n, r.line) for r in kept] == list(enumerate(wanted))
+    assert [r.chunk_number for r in chunks] == list(range(len(chunks)))
+    whole = spark.createDataFrame([("big", "log", "\n".join(lines))], "path string, language string, text string")
+    inside = chunk_files(whole, ["path"], 500, 50).orderBy("chunk_number").collect()
+    assert [r.chunk for r in chunks] == [r.chunk for r in inside]
