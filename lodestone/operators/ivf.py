@@ -235,10 +235,11 @@ def encode_vectors(
 def _search(
     table, queries, search, keys, vector, query_id, query_vector, max_query_bytes,
     centroids=None, nprobes=PROBES, part="part", decode=None,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, nn.QuerySet | None]:
     """Best rows per query over all of the table or over the probed partitions.
 
-    Also returns the table without the partitions no query looks into.
+    Also returns the table without the partitions no query looks into, and the
+    queries if they were small enough to hold.
     """
     schema = nn._result_schema(table, queries, keys, query_id)
     held = nn.collect_queries(queries, query_id, query_vector, search.k, max_query_bytes)
@@ -261,7 +262,7 @@ def _search(
             table, held, search, schema, keys, vector, query_id,
             part if held.probes is not None else None, decode,
         )
-    return top_k(found, [query_id], [nn.DISTANCE, *keys], search.k), table
+    return top_k(found, [query_id], [nn.DISTANCE, *keys], search.k), table, held
 
 
 def _with_probes(queries, centroids, nprobes, query_vector) -> DataFrame:
@@ -300,7 +301,7 @@ def probed_nearest(
     Probing all partitions gives the exact answer.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    found, _ = _search(
+    found, _, _ = _search(
         table, queries, nn.Search(k, metric), keys, vector, query_id, query_vector,
         max_query_bytes, centroids, nprobes, part,
     )
@@ -335,16 +336,19 @@ def refined_nearest(
     """
     keys = [key] if isinstance(key, str) else list(key)
     search = nn.Search(k * factor, metric)
-    found, table = _search(
+    found, table, held = _search(
         table, queries, search, keys, codes, query_id, query_vector, max_query_bytes,
         centroids, nprobes, part, quantizer,
     )
     found = found.select(query_id, *keys)
-    small = nn.few_results(queries, search.k)
     full = table.select(*keys, F.col(vector).alias("_full"))
-    asked = queries.select(query_id, F.col(query_vector).alias("_asked"))
-    found = join_same(found, asked, [query_id], small)
-    full = join_same(full, found, keys, small)
-    exact = full.withColumn(nn.DISTANCE, EXACT[metric](F.col("_full"), F.col("_asked")))
+    if held is not None:
+        small = len(held.ids) * search.k <= nn.BROADCAST_ROWS
+        full = join_same(full, found, keys, small)
+        exact = nn.measured(full, held, metric, "_full", query_id)
+    else:
+        asked = queries.select(query_id, F.col(query_vector).alias("_asked"))
+        full = join_same(full, join_same(found, asked, [query_id]), keys)
+        exact = full.withColumn(nn.DISTANCE, EXACT[metric](F.col("_full"), F.col("_asked")))
     exact = exact.where(F.col(nn.DISTANCE).isNotNull()).select(query_id, *keys, nn.DISTANCE)
     return top_k(exact, [query_id], [nn.DISTANCE, *keys], k)

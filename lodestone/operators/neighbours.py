@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +85,15 @@ def vectors_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, matrix
 
 
+def exact_distance(metric, rows, row_lengths, asked, asked_lengths) -> np.ndarray:
+    """Distance of each row to the query vector beside it, in double precision."""
+    if metric == "cosine":
+        return 1.0 - np.einsum("ij,ij->i", rows, asked) / (row_lengths * asked_lengths)
+    gaps = rows - asked
+    squares = np.einsum("ij,ij->i", gaps, gaps)
+    return np.sqrt(squares) if metric == "l2" else squares
+
+
 class Nearest:
     """The best rows per query seen so far by one task."""
 
@@ -189,12 +199,10 @@ class Nearest:
         return low, high
 
     def _exact(self, rows, lengths, query):
-        if self.search.metric == "cosine":
-            dots = np.einsum("ij,ij->i", rows, self.exact[query])
-            return 1.0 - dots / (lengths * self.query_length[query])
-        gaps = rows - self.exact[query]
-        squares = np.einsum("ij,ij->i", gaps, gaps)
-        return np.sqrt(squares) if self.search.metric == "l2" else squares
+        asked = self.exact[query]
+        return exact_distance(
+            self.search.metric, rows, lengths, asked, self.query_length[query]
+        )
 
     def _merge(self, block: pa.Table) -> None:
         if self.best is not None:
@@ -296,6 +304,29 @@ def scan_nearest(
     return table.select(*columns).mapInArrow(scan, schema)
 
 
+def measured(
+    df: DataFrame, queries: QuerySet, metric: str, vector: str, query_id: str
+) -> DataFrame:
+    """Adds the exact distance of each vector to the query named beside it."""
+    shared = df.sparkSession.sparkContext.broadcast((queries, metric))
+
+    @F.arrow_udf("double")
+    def distance(vectors: pa.Array, ids: pa.Array) -> pa.Array:
+        held, wanted = shared.value
+        rows, exact = vectors_of(vectors, held.vectors.shape[1])
+        at = pc.index_in(ids, value_set=held.ids.cast(ids.type)).take(pa.array(rows))
+        exact = exact.astype(np.float64)
+        asked = held.vectors[at.to_numpy(zero_copy_only=False).astype(int)].astype(np.float64)
+        lengths, asked_lengths = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (exact, asked))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = exact_distance(wanted, exact, lengths, asked, asked_lengths)
+        result = np.full(len(vectors), np.nan)
+        result[rows] = found
+        return pa.array(result, mask=~np.isfinite(result))
+
+    return df.withColumn(DISTANCE, distance(F.col(vector), F.col(query_id)))
+
+
 def grid_nearest(
     table: DataFrame,
     queries: DataFrame,

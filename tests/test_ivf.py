@@ -65,6 +65,12 @@ def test_refining_everything_is_exact(spark, trained):
     asked, queries = questions(spark)
     wanted = brute(rows, asked, 10, "cosine")
     assert collected(ivf.refined_nearest(placed, quantizer, queries, 10, 100)) == wanted
+    many = ivf.refined_nearest(placed, quantizer, queries, 10, 100, max_query_bytes=2000)
+    assert collected(many) == wanted
+    for metric in ("l2", "l2_squared"):
+        found = ivf.refined_nearest(placed, quantizer, queries, 10, 100, metric=metric)
+        near = {k for v in brute(rows, asked, 11, metric).values() for k, _ in v} - {601}
+        assert {k for v in collected(found).values() for k, _ in v} <= near
     some = ivf.refined_nearest(placed, quantizer, queries, 10, 20, centroids=centroids, nprobes=12)
     assert recall(collected(some), wanted) > 0.9
 
