@@ -47,11 +47,12 @@ def _check(cap: int, overlap: int) -> None:
         raise ValueError("overlap must be smaller than the chunk size")
 
 
-def _cut_long(units: Column, cap: int, parts_of) -> Column:
-    """Replace every unit longer than ``cap`` by its parts."""
-    return F.flatten(
-        F.transform(units, lambda u: F.when(F.length(u) > cap, parts_of(u)).otherwise(F.array(u)))
-    )
+def _cut(unit: Column, cap: int, levels) -> Column:
+    """The unit if it fits, else its parts, cut further by the next levels."""
+    if not levels:
+        return F.array(unit)
+    parts = F.transform(levels[0](unit), lambda part: _cut(part, cap, levels[1:]))
+    return F.when(F.length(unit) <= cap, F.array(unit)).otherwise(F.flatten(parts))
 
 
 def _tiles(pattern: str):
@@ -89,9 +90,8 @@ def line_units(lines: Column, cap: int) -> Column:
 
 
 def _within(units: Column, cap: int) -> Column:
-    for parts_of in (_tiles(LINE), _tiles(SENTENCE), _tiles(WORD), _pieces(cap)):
-        units = _cut_long(units, cap, parts_of)
-    return units
+    levels = (_tiles(LINE), _tiles(SENTENCE), _tiles(WORD), _pieces(cap))
+    return F.flatten(F.transform(units, lambda unit: _cut(unit, cap, levels)))
 
 
 def pack(lengths: Column, cap: int, overlap: int) -> Column:

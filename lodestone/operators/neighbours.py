@@ -159,29 +159,30 @@ class Nearest:
         unit = (width + 8) * np.finfo(np.float32).eps
         if search.metric == "cosine":
             coarse = (exact[rows] / lengths[rows, None]).astype(np.float32)
-            near = 1.0 - coarse @ self.coarse[wanted].T
-            margin = np.full((1, len(wanted)), 2 * unit)
+            near = 1.0 - self.coarse[wanted] @ coarse.T
+            margin = np.full(len(wanted), 2 * unit)
         else:
             coarse = exact[rows].astype(np.float32)
             square = np.einsum("ij,ij->i", coarse, coarse)
-            near = square[:, None] + self.coarse_square[None, wanted]
-            near -= 2 * (coarse @ self.coarse[wanted].T)
+            near = self.coarse_square[wanted, None] + square[None, :]
+            near -= 2 * (self.coarse[wanted] @ coarse.T)
             reach = lengths[rows].max() + self.query_length[wanted]
-            margin = (2 * unit * reach * reach)[None, :]
+            margin = 2 * unit * reach * reach
         low, high = self._coarse_range()
-        inside = near
-        if low is not None:
-            inside = np.where(near >= low + margin, near, np.inf)
-        bound = self.limit[wanted][None, :]
-        if len(rows) > search.k:
-            kth = np.partition(inside, search.k - 1, axis=0)[search.k - 1][None, :]
-            bound = np.minimum(bound, kth + margin)
+        bound = self.limit[wanted]
+        unbound = np.flatnonzero(np.isinf(bound))
+        if len(unbound) and len(rows) > search.k:
+            inside = near[unbound]
+            if low is not None:
+                inside = np.where(inside >= low + margin[unbound, None], inside, np.inf)
+            kth = np.partition(inside, search.k - 1, axis=1)[:, search.k - 1]
+            bound[unbound] = kth + margin[unbound]
         if high is not None:
             bound = np.minimum(bound, high)
-        keep = near <= bound + margin
+        keep = near <= (bound + margin)[:, None]
         if low is not None:
-            keep &= near >= low - margin
-        row, column = np.nonzero(keep)
+            keep &= near >= (low - margin)[:, None]
+        column, row = np.nonzero(keep)
         row, query = rows[row], wanted[column]
         distance = self._exact(exact[row], lengths[row], query)
         good = np.ones(len(row), bool)
