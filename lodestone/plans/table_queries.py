@@ -293,7 +293,32 @@ def rag_batch(spark, folder):
     )
 
 
-@registered()
+@registered(
+    chunks_sql(
+        TEXT_BLOCKS,
+        "doc_id",
+        f""", l AS ({LOADED_LINES}),
+        w AS (SELECT '/data/' || source || '/f' || doc_id || '.txt' AS path, chunk_number, line_no,
+                regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') AS ws
+              FROM l JOIN documents USING (doc_id)),
+        t AS (SELECT path, chunk_number, line_no, len(ws) AS n, unnest(ws) AS term FROM w),
+        p AS (SELECT path, chunk_number, line_no, n, term, count(*) AS tf FROM t GROUP BY ALL),
+        c AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        q AS (SELECT DISTINCT item_id AS query_id,
+                unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
+        s AS (SELECT q.query_id, p.path, p.chunk_number, p.line_no, round(sum(
+                ln(1 + (c.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.2
+                / (p.tf + 1.2 * (1 - 0.75 + 0.75 * p.n / c.mean))), 9) AS score
+              FROM q JOIN f USING (term) JOIN p USING (term) CROSS JOIN c GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, path, chunk_number, line_no) AS rank
+              FROM s)
+        SELECT query_id, path, CAST(chunk_number AS INTEGER) AS chunk_number,
+          CAST(line_no AS INTEGER) AS line_no, round(score, 6) AS score, rank
+        FROM r WHERE rank <= 10""",
+    )
+)
 def word_search(spark, folder):
     """Load, then keyword search over the stored postings for the benchmark texts."""
     target = scratch_path(spark, "table")
@@ -301,4 +326,4 @@ def word_search(spark, folder):
         spark, _document_files(spark, folder), target, E.HashingEmbedder(64), partitions=16
     )
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return jobs.search_words(spark, target, queries, 10)
+    return jobs.search_words(spark, target, queries, 10).withColumn("score", F.round("score", 6))

@@ -208,6 +208,20 @@ def ivf_train(spark, folder):
     return placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@registered(_top("list_cosine_distance", 30))
+def ivf_probe_all(spark, folder):
+    """Probing every trained partition gives the exact answer."""
+    embeddings = table(spark, folder, "embeddings")
+    centroids = ivf.train_centroids(embeddings, "embedding", PARTS)
+    placed = ivf.assign_partitions(embeddings, centroids, "embedding")
+    return _shown(
+        ivf.probed_nearest(
+            placed, centroids, mean_queries(embeddings), 30, PARTS,
+            key="vec_id", vector="embedding",
+        )
+    )
+
+
 RANGES = """
     x AS (
       SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i

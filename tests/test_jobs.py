@@ -183,3 +183,16 @@ def test_a_log_larger_than_one_split(spark, tmp_path):
     whole = spark.createDataFrame([("big", "log", "\n".join(lines))], "path string, language string, text string")
     inside = chunk_files(whole, ["path"], 500, 50).orderBy("chunk_number").collect()
     assert [r.chunk for r in chunks] == [r.chunk for r in inside]
+
+
+def test_one_file_or_no_logs(spark, folder, tmp_path_factory):
+    target = scratch_path(spark, "one")
+    one = jobs.load(spark, str(folder / "notes.txt"), target, EMBEDDER, partitions=2)
+    assert sorted(r.content for r in one.collect()) == [
+        "Mirostat controls perplexity.", "Temperature controls randomness.",
+    ]
+    log = jobs.load(spark, str(folder / "run.log"), scratch_path(spark, "log"), EMBEDDER, partitions=2)
+    assert log.count() == 24
+    plain = tmp_path_factory.mktemp("plain")
+    (plain / "a.py").write_text("def f():\n    pass\n")
+    assert jobs.load(spark, str(plain), scratch_path(spark, "py"), EMBEDDER, partitions=2).count() == 2
