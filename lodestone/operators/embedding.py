@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import split_lines
 from lodestone.schema import DIMENSION, EMBED_RESPONSE
+from lodestone.session import ship_package
 
 
 class Embedder(Protocol):
@@ -61,6 +62,7 @@ class FunctionEmbedder:
         self.start, self.dimension, self.model, self.batch = start, dimension, model, batch
 
     def embed(self, df: DataFrame, text: str, vector: str) -> DataFrame:
+        ship_package(df.sparkSession)
         start, size, dimension = self.start, self.batch, self.dimension
 
         @F.arrow_udf("array<float>")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.schema import CHAT_RESPONSE
+from lodestone.session import ship_package
 
 Generator = Callable[[list[str]], list[str]]
 
@@ -45,6 +46,7 @@ def generate(
     of bodies. When a batch fails its requests are tried one by one, so one
     bad request costs only its own reply; ``strict`` fails the job instead.
     """
+    ship_package(df.sparkSession)
     fields = [
         T.StructField("reply", T.StringType()),
         T.StructField("status", T.StringType()),

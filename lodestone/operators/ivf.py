@@ -31,6 +31,7 @@ from lodestone.schema import (
     REFINE_FACTOR,
     SAMPLE_RATE,
 )
+from lodestone.session import ship_package
 
 # Most numbers a set of centroids may have to be sent to every task.
 CENTROID_NUMBERS = 8 << 20
@@ -141,6 +142,7 @@ def assign_partitions(
     table: DataFrame, centroids: Centroids, vector: str = "vector", name: str = "part"
 ) -> DataFrame:
     """Adds the closest partition; null where no vector can be found."""
+    ship_package(table.sparkSession)
     shared = table.sparkSession.sparkContext.broadcast(centroids)
 
     @F.arrow_udf("int")
@@ -215,6 +217,7 @@ def encode_vectors(
     table: DataFrame, quantizer: Quantizer, vector: str = "vector", name: str = "codes"
 ) -> DataFrame:
     """Adds the codes of each vector; null where no vector can be found."""
+    ship_package(table.sparkSession)
     shared = table.sparkSession.sparkContext.broadcast(quantizer)
 
     @F.arrow_udf("array<smallint>")
@@ -266,6 +269,7 @@ def _search(
 
 
 def _with_probes(queries, centroids, nprobes, query_vector) -> DataFrame:
+    ship_package(queries.sparkSession)
     shared = queries.sparkSession.sparkContext.broadcast(centroids)
 
     @F.arrow_udf("array<int>")

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from lodestone.operators.joins import join_same
 from lodestone.operators.ordering import top_k
 from lodestone.schema import NEIGHBOURS
-from lodestone.session import has_at_most
+from lodestone.session import has_at_most, ship_package
 
 DISTANCE = "_distance"
 METRICS = ("cosine", "l2", "l2_squared")
@@ -280,6 +280,7 @@ def scan_nearest(
     decode=None,
 ) -> DataFrame:
     """Best rows per query and task; ``decode`` turns stored codes into vectors."""
+    ship_package(table.sparkSession)
     shared = table.sparkSession.sparkContext.broadcast((queries, search, decode))
     keys = list(keys)
 
@@ -309,6 +310,7 @@ def measured(
     df: DataFrame, queries: QuerySet, metric: str, vector: str, query_id: str
 ) -> DataFrame:
     """Adds the exact distance of each vector to the query named beside it."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((queries, metric))
 
     @F.arrow_udf("double")
@@ -350,6 +352,7 @@ def grid_nearest(
     With ``part`` and ``probes`` (a list of partitions per query) rows meet
     only the queries that look into their partition.
     """
+    ship_package(table.sparkSession)
     width = _width(queries, query_vector)
     keys = list(keys)
     row_bytes = width * 16 + search.k * 64

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -196,3 +200,20 @@ def test_one_file_or_no_logs(spark, folder, tmp_path_factory):
     plain = tmp_path_factory.mktemp("plain")
     (plain / "a.py").write_text("def f():\n    pass\n")
     assert jobs.load(spark, str(plain), scratch_path(spark, "py"), EMBEDDER, partitions=2).count() == 2
+
+
+def test_workers_need_no_path(tmp_path):
+    """The package reaches the Python workers from any working directory."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as entry\n"
+        "assert entry.entry(spark).count() == 300\n"
+    )
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, timeout=300
+    )
+    assert done.returncode == 0, done.stderr.decode()[-2000:]
