@@ -31,8 +31,10 @@ from lodestone.schema import (
     REFINE_FACTOR,
     SAMPLE_RATE,
 )
-from lodestone.session import ship_package
+from lodestone.session import checkpointed, ship_package
 
+# Sampled rows per training task.
+SAMPLE_TASK = 4096
 # Most numbers a set of centroids may have to be sent to every task.
 CENTROID_NUMBERS = 8 << 20
 
@@ -128,6 +130,9 @@ def train_centroids(
         points = Normalizer(inputCol="_raw", outputCol="_point", p=2.0).transform(points)
     else:
         points = points.withColumnRenamed("_raw", "_point")
+    # The sample is small whatever the table holds: a few tasks per iteration
+    # do, and it is stored so that no iteration goes back to the table.
+    points = checkpointed(points.select("_point").repartition(1 + min(rows, wanted) // SAMPLE_TASK))
     clusters = min(partitions, rows)
     if clusters == 1:
         mean = points.select(Summarizer.mean(F.col("_point")).alias("m")).first()["m"]

@@ -90,11 +90,15 @@ def term_stats(index: DataFrame) -> DataFrame:
     )
 
 
-def corpus_stats(df: DataFrame, text: str) -> DataFrame:
-    """One row: the number of texts and their mean number of terms."""
-    return df.where(F.col(text).isNotNull()).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(F.size(terms(F.col(text)))).alias("mean_terms")
-    )
+def corpus_stats(df: DataFrame, text: str, stats: DataFrame) -> DataFrame:
+    """One row: the number of texts and their mean number of terms.
+
+    Terms are summed from the term statistics, so no text is taken apart again.
+    """
+    texts = df.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("rows")).scalar()
+    total = stats.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("_total"))
+    counted = total.select(texts.alias("rows"), "_total")
+    return counted.select("rows", F.try_divide("_total", "rows").alias("mean_terms"))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:

@@ -150,7 +150,8 @@ def index_words(spark: SparkSession, table: DataFrame, layout: Layout, column: s
     create_table(spark, layout.words(column) + "/postings", index)
     stored = open_table(spark, layout.words(column) + "/postings")
     create_table(spark, layout.words(column) + "/terms", term_stats(stored))
-    create_table(spark, layout.words(column) + "/corpus", corpus_stats(table, column))
+    stats = open_table(spark, layout.words(column) + "/terms")
+    create_table(spark, layout.words(column) + "/corpus", corpus_stats(table, column, stats))
 
 
 def open_lines(spark: SparkSession, target: str) -> DataFrame:

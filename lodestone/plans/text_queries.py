@@ -10,7 +10,7 @@ from lodestone.operators import lines as L
 from lodestone.operators import postings as X
 from lodestone.plans.registry import registered, rounded, table, wide_table
 from lodestone.session import checkpointed, scratch_path
-from lodestone.sources.files import read_files, read_lines, spread
+from lodestone.sources.files import read_files, read_lines
 
 CAP, OVERLAP = 2048, 256
 
@@ -331,9 +331,9 @@ def term_stats(spark, folder):
 )
 def bm25(spark, folder):
     documents = table(spark, folder, "documents")
-    index = X.term_counts(documents, "text", "doc_id")
+    index = checkpointed(X.term_counts(documents, "text", "doc_id"))
+    stats = X.term_stats(index)
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = X.keyword_search(
-        index, X.term_stats(index), X.corpus_stats(spread(documents), "text"), queries, 10, "doc_id"
-    )
+    corpus = X.corpus_stats(documents, "text", stats)
+    found = X.keyword_search(index, stats, corpus, queries, 10, "doc_id")
     return found.select("query_id", "doc_id", rounded("score", "score"), "rank")

@@ -65,7 +65,8 @@ def test_keyword_search(spark, monkeypatch):
     asked = {"a": "the Fox the", "b": "dog 42 nothing", "c": "nothing"}
     queries = spark.createDataFrame(list(asked.items()), "query_id string, text string")
     index = X.postings(frame(spark), "text")
-    corpus = X.corpus_stats(frame(spark), "text")
+    corpus = X.corpus_stats(frame(spark), "text", X.term_stats(index))
+    assert corpus.first().rows == 6
     for bound in (X.QUERY_TERMS, 0):
         monkeypatch.setattr(X, "QUERY_TERMS", bound)
         found = X.keyword_search(index, X.term_stats(index), corpus, queries, 2).collect()
