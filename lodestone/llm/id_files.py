@@ -30,7 +30,7 @@ from lodestone.llm.tables import input_partitions, stored
 #: Ids of a block, unless a single document has more.
 BLOCK_IDS = 1 << 18
 #: White space of Unicode; str.split() alone would also split at U+001C to U+001F.
-SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: How many bytes each of the four numbers of a control byte takes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
