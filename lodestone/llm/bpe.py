@@ -271,10 +271,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(blocks, schema)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Per document the number of ids and the digests of ids and bytes."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """Per document the number of ids, the digests of ids and bytes, and the columns ``more``."""
     return decoded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -59,7 +59,8 @@ def peak_ends(data: np.ndarray, bounds: np.ndarray, reach: int) -> np.ndarray:
     """Where chunks end: the hash is the largest within ``reach`` bytes on either side, or a document ends.
 
     Peaks are more than ``reach`` bytes apart and seldom much farther than twice
-    that, so a short passage holds whole chunks wherever it stands.
+    that, so a short passage holds whole chunks wherever it stands. Equal hashes
+    are peaks each: a text that repeats one word is cut at every repetition.
     """
     hashed = gear(data)
     size = len(hashed)
@@ -74,7 +75,7 @@ def peak_ends(data: np.ndarray, bounds: np.ndarray, reach: int) -> np.ndarray:
             top = np.maximum(top[: len(top) - rest], top[rest:])
         # top[i] is the largest of hashed[i : i + reach]
         middle = hashed[reach : size - reach]
-        peaks = (middle > top[: len(middle)]) & (middle >= top[reach + 1 : reach + 1 + len(middle)])
+        peaks = (middle >= top[: len(middle)]) & (middle >= top[reach + 1 : reach + 1 + len(middle)])
         ends = np.flatnonzero(peaks) + reach + 1
         ends = _inside(data, bounds, ends, WINDOW + reach, reach)
     ends = np.unique(np.concatenate([ends, bounds[1:]]))

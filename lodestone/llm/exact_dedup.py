@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.arrow import flat_bytes, list_column, text_blocks
 from lodestone.llm.chunking import masked_ends, starts_of
-from lodestone.llm.tables import input_partitions, stored
+from lodestone.llm.tables import input_partitions, packed, stored
 
 #: Chunks are about 2 ** CHUNK_BITS bytes long and never longer than LONGEST.
 CHUNK_BITS = 11
@@ -146,15 +146,16 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
 def keep_exact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns."""
     found = exact_duplicates(docs).groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("kept"), F.count("*").alias("copies")
+        F.max("kept").alias("_kept"), F.count("*").alias("_copies")
     )
-    keys = found.filter("kept").select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_sha256").alias("_sha"), F.col("copies").alias("_copies")
+    # only what goes, and the rare rows that repeat id and text, need a look
+    marked = found.filter("NOT _kept OR _copies > 1").withColumnsRenamed(
+        {"doc_id": "_doc_id", "text_sha256": "_sha"}
     )
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    own = docs.withColumn("_sha_of_text", sha).join(
-        keys, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_sha_of_text") == F.col("_sha"))
+    own = packed(docs, "doc_id", sha.alias("sha")).join(
+        marked, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("sha") == F.col("_sha")), "left"
     )
-    once = own.filter("_copies = 1").select(*docs.columns)
-    again = own.filter("_copies > 1").dropDuplicates(["_sha"]).select(*docs.columns)
-    return once.unionByName(again)
+    once = own.filter("_kept IS NULL").select("row")
+    again = own.filter("_kept").dropDuplicates(["sha"]).select("row")
+    return once.union(again).select("row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import stored
+from lodestone.llm.tables import packed, stored
 from lodestone.session import has_at_most
 
 #: Documents of a block, about.
@@ -108,8 +108,9 @@ class Mix:
         block_docs: int = BLOCK_DOCS,
         shard_words: int = SHARD_WORDS,
     ):
-        self.docs, self.whole, self.seed = docs, whole, seed
-        parts = docs.groupBy("source").agg(F.ceil(F.count("*") / block_docs).cast("long").alias("parts"))
+        self.docs = packed(docs, "doc_id", "text", "source")
+        self.whole, self.seed = whole, seed
+        parts = self.docs.groupBy("source").agg(F.ceil(F.count("*") / block_docs).cast("long").alias("parts"))
         parts = parts.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
         self.parts = stored(
             parts.select(F.col("source").alias("_source"), F.col("sid").alias("_sid"), F.col("parts").alias("_parts")),
@@ -177,7 +178,7 @@ class Mix:
         return stored(blocks.join(homes, ["_sid", "_block"], "left"), "mix-shards")
 
     def placed(self) -> DataFrame:
-        """All rows of ``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_placements``.
+        """All rows of ``docs`` as ``row``, with ``_size``, ``_source_size``, ``_target`` and ``_placements``.
 
         A placement is one time that the mix takes the document: ``shard``,
         ``words`` and ``place``, by which the rows of a shard are shuffled. Only
@@ -209,7 +210,7 @@ class Mix:
             ),
         )
         return every.select(
-            *self.docs.columns,
+            "row",
             "_size",
             F.col("source_size").alias("_source_size"),
             F.col("target").alias("_target"),
@@ -224,9 +225,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     part of a mix. An empty table gives an empty mix.
     """
     plan = Mix(docs, whole=True, **options)
-    rows = plan.placed().select(*docs.columns, F.explode("_placements").alias("_p"))
-    rows = rows.withColumn("_shard", F.col("_p.shard")).withColumn("_place", F.col("_p.place"))
-    return rows.repartition(plan.shards, "_shard").sortWithinPartitions("_shard", "_place").select(*docs.columns)
+    rows = plan.placed().select("row", F.inline("_placements"))
+    return rows.repartition(plan.shards, "shard").sortWithinPartitions("shard", "place").select("row.*")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
@@ -239,7 +239,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     """
     plan = Mix(docs.select("doc_id", "text", "source"), **options)
     return plan.placed().select(
-        "doc_id",
+        "row.doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, id_files, language_id, license_scan, mixing, quality, substring_dedup, url_filter
+from lodestone.llm import bpe, exact_dedup, id_files, jaccard_join, language_id, license_scan, mixing, quality, substring_dedup, url_filter
 from lodestone.llm.tables import ORACLE, QUERIES, registered, table, texts  # noqa: F401
 from lodestone.session import scratch_path
 
@@ -221,3 +221,10 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.taken_words(docs).drop("shards")
+
+
+@registered()
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of near duplicates of every document."""
+    found = jaccard_join.near_duplicates(texts(table(spark, folder, "documents")), 4, 85)
+    return found.select("doc_id", "n_shingles", "component_id")

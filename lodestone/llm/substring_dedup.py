@@ -1,6 +1,6 @@
 """Passages that repeat across documents, by small content-defined chunks.
 
-A gear rolling hash cuts every text at its peaks, about every 65 bytes. A cut
+A gear rolling hash cuts every text at its peaks, about every 33 bytes. A cut
 depends on the bytes around it alone, so an insertion moves the chunks but
 changes only those it touches. Chunks are deduplicated by digest over the whole
 corpus; neighbouring chunks that all occur in other documents too make a
@@ -24,8 +24,8 @@ from lodestone.llm.tables import input_partitions, stored
 #: Bytes on either side over which a cut is the peak of the hash.
 REACH = 16
 #: Words of whole repeated chunks that make a passage. A passage of 50 words
-#: loses at most some 30 to the chunks at its ends, which reach beyond it.
-PASSAGE_WORDS = 15
+#: loses some 15 to the chunks at its ends, which reach beyond it.
+PASSAGE_WORDS = 25
 BLOCK = 2 << 20
 
 

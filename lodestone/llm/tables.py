@@ -43,6 +43,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The rows as one struct ``row`` beside the columns ``names``, so that no other column can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *names)
+
+
 def input_partitions(docs: DataFrame) -> int:
     """Shuffle partitions of the session, the measure of how far work is spread."""
     return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -58,6 +63,7 @@ __all__ = [
     "QUERIES",
     "input_partitions",
     "no_rows",
+    "packed",
     "registered",
     "stored",
     "table",
