@@ -8,6 +8,12 @@ the most common, which in a group of edited copies is the least edited one. The
 cells of one pivot make its region. A text thus lies in the region of its own
 pivot and, as a guest, in those of all pivots through which a partner could be met.
 
+Windows. Every set has a profile, its counts over 256 classes of shingles. The
+differences of two profiles add up to no more than the symmetric difference of
+the sets (the triangle inequality with a class as pivot), so profiles too far
+apart cannot link. Only texts that have a partner within reach in a region have
+their sets sent there; the others, which share a passage at most, stay behind.
+
 Join. In a region all distances to the pivot are measured. What lies within the
 threshold is linked to the pivot and needs no comparison with each other. Every
 other text becomes a pivot in turn for those that the triangle inequality
@@ -41,6 +47,10 @@ SKETCH_BITS = 20
 ROW_BITS = 14
 #: Shingles of all members of a region that one task takes at once.
 REGION_ITEMS = 2_000_000
+#: Classes of a profile, a byte each.
+CLASSES = 256
+#: Members of a region whose profiles are compared; all members of a larger one stay.
+COMPARED = 2000
 #: Documents with a region up to which their ids are sent to the scan of the texts.
 SENT_DOCS = 500_000
 #: Bits of a packed pivot that name the node; the bits above hold how central it is.
@@ -90,12 +100,12 @@ def _digest(own: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per document ``doc_id, n, digest`` of its set, its first shingles as ``prefix``, and ``central``."""
+    """Per document ``doc_id, n, digest, profile`` of its set, its first shingles as ``prefix``, and ``central``."""
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, words))
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text", BLOCK):
-            counts, digests, first, central = [], [], [], []
+            counts, digests, first, central, profiles = [], [], [], [], []
             for own in shingle_sets(block.column(1), words):
                 size = len(own)
                 level = levels.value[_bucket(own)]
@@ -104,6 +114,8 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 digests.append(_digest(own))
                 first.append(own[order])
                 central.append(int(level[order].mean()) if size else 0)
+                profile = np.bincount(own & (CLASSES - 1), minlength=CLASSES)
+                profiles.append(np.minimum(profile, 255).astype(np.uint8).tobytes())
             ends = np.cumsum([0, *map(len, first)])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -112,15 +124,72 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     pa.array(digests, pa.binary()),
                     list_column(np.concatenate(first), ends, pa.int64()),
                     pa.array(central, pa.int32()),
+                    pa.array(profiles, pa.binary()),
                 ],
-                ["doc_id", "n", "digest", "prefix", "central"],
+                ["doc_id", "n", "digest", "prefix", "central", "profile"],
             )
 
     schema = T.StructType([docs.schema["doc_id"]]).add("n", "long").add("digest", "binary")
-    schema = schema.add("prefix", T.ArrayType(T.LongType())).add("central", "integer")
+    schema = schema.add("prefix", T.ArrayType(T.LongType())).add("central", "integer").add("profile", "binary")
     return docs.select("doc_id", "text").mapInArrow(blocks, schema)
 
 
+def partners(profiles: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a region have another one that their size and profile do not rule out."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, profiles = sizes[order], profiles[order].astype(np.int16)
+    ends = np.searchsorted(percent * sizes, 100 * sizes, side="right")
+    keep = np.zeros(len(sizes), bool)
+    for k, end in enumerate(ends.tolist()):
+        if end > k + 1:
+            apart = np.abs(profiles[k + 1 : end] - profiles[k]).sum(axis=1, dtype=np.int64)
+            near = apart * (100 + percent) <= (100 - percent) * (sizes[k + 1 : end] + sizes[k])
+            keep[k + 1 : end] |= near
+            keep[k] |= near.any()
+    out = np.zeros(len(sizes), bool)
+    out[order] = keep
+    return out
+
+
+def windowed(member: DataFrame, nodes: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """The rows of ``member`` that have a possible partner in their region, and the pivots of those regions."""
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, passing = None, [], False
+
+        def rows(found: list[tuple[int, int]], pivot: int) -> pa.RecordBatch:
+            node, size = zip(*found) if found else ((), ())
+            columns = [pa.array(node, pa.int64()), pa.array(size, pa.int64())]
+            columns.append(pa.array([pivot] * len(found), pa.int64()))
+            return pa.RecordBatch.from_arrays(columns, ["node", "n", "pivot"])
+
+        def survivors() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            profiles = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), CLASSES)
+            keep = partners(profiles, np.array([h[1] for h in held], np.int64), percent)
+            if keep.any():
+                keep |= np.array([h[0] == key for h in held])
+            return [h[:2] for h, k in zip(held, keep.tolist()) if k]
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[3] != key:
+                    if held:
+                        yield rows([h[:2] for h in held] if passing else survivors(), key)
+                    key, held, passing = row[3], [], False
+                held.append(row[:3])
+                if len(held) > COMPARED:
+                    yield rows([h[:2] for h in held], key)
+                    held, passing = [], True
+        if held:
+            yield rows([h[:2] for h in held] if passing else survivors(), key)
+
+    known = member.join(nodes.select("node", "profile"), "node").select("node", "n", "profile", "pivot")
+    dealt = known.repartition(partitions, "pivot").sortWithinPartitions("pivot")
+    return dealt.mapInArrow(check, "node long, n long, pivot long")
+
+
 def regions(nodes: DataFrame) -> DataFrame:
     """``node, n, pivot``: the regions that a text belongs to. Cells of a single text have none."""
     packed = F.shiftleft(F.lit(255).cast("long") - F.col("central"), NODE_BITS).bitwiseOR(F.col("node"))
@@ -259,7 +328,7 @@ def _star(members: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Spanning edges ``a``, ``b`` between nodes over all links."""
     partitions = input_partitions(docs)
-    member = stored(regions(nodes), "regions")
+    member = stored(windowed(stored(regions(nodes), "cells"), nodes, percent, partitions), "regions")
     weight = member.groupBy("pivot").agg(F.sum("n").alias("items"), F.count("*").alias("members"))
     weight = weight.select("pivot", F.ceil(F.col("items") / REGION_ITEMS).cast("int").alias("blocks"))
     wanted = member.join(weight, "pivot").groupBy("node").agg(
@@ -325,6 +394,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             F.first("n").alias("n"),
             F.first("prefix").alias("prefix"),
             F.first("central").alias("central"),
+            F.first("profile").alias("profile"),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
