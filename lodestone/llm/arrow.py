@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +46,13 @@ def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> p
     )
 
 
+def binary_column(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """An Arrow binary column whose values are the bytes of ``values`` cut at ``bounds``."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def flat_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column without nulls and the offsets of its rows."""
     offsets = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)

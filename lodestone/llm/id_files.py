@@ -23,12 +23,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.arrow import flat_list, list_column, text_blocks
+from lodestone.llm.arrow import binary_column, flat_bytes, list_column, text_blocks
 from lodestone.llm.pieces import PieceCoder
 from lodestone.llm.tables import input_partitions, stored
 
 #: Ids of a block, unless a single document has more.
 BLOCK_IDS = 1 << 18
+#: Distinct words a worker remembers before it starts afresh; bounds memory, never the result.
+KEPT_WORDS = 200_000
 #: White space of Unicode; str.split() alone would also split at U+001C to U+001F.
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -61,15 +63,19 @@ class WordCoder(PieceCoder):
     """Ids of the tokenizers library, every distinct word encoded once.
 
     The normaliser and the pre-tokenizer of the file never join what white
-    space separates, so words can be encoded one by one.
+    space separates, so words can go through the library's steps one by one;
+    the model sees every distinct piece of a word once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        super().__init__(KEPT_WORDS)
+
+    def forget(self) -> None:
+        super().forget()
+        self.piece_ids: dict[str, list[int]] = {}
 
     def cut(self, text: str) -> Iterable[str]:
         if SEPARATORS.search(text):
@@ -77,9 +83,24 @@ class WordCoder(PieceCoder):
         return text.split()
 
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
+        normalize = self.tokenizer.normalizer.normalize_str
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        model, known = self.tokenizer.model, self.piece_ids
+        counts, out = [], []
+        for word in pieces:
+            size = len(out)
+            if word.isascii() and word.isalpha():
+                # one piece, and the steps before the model only change its case
+                parts = [word.lower()]
+            else:
+                parts = [piece for piece, _ in split(normalize(word))]
+            for piece in parts:
+                ids = known.get(piece)
+                if ids is None:
+                    ids = known[piece] = [token.id for token in model.tokenize(piece)]
+                out += ids
+            counts.append(len(out) - size)
+        return np.array(out, np.int32), np.array(counts, np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -88,26 +109,37 @@ def word_coder(path: str) -> WordCoder:
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id`` and ``ids`` of every whole text, ``end_id`` last; a null text has that id alone."""
+    """``doc_id`` and ``ids`` of every whole text, ``end_id`` last; a null text has that id alone.
+
+    ``ids`` are the bytes of unsigned 32-bit little-endian numbers.
+    """
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_coder(path)
         for block in text_blocks(batches, "text"):
             ids, bounds = coder.encode(block.column(1).to_pylist())
-            ids = np.insert(ids, bounds[1:], end_id)
+            ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
             bounds = bounds + np.arange(len(bounds))
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), list_column(ids, bounds, pa.int32())], ["doc_id", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([block.column(0), binary_column(ids, bounds)], ["doc_id", "ids"])
 
-    schema = T.StructType([docs.schema["doc_id"]]).add("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([docs.schema["doc_id"]]).add("ids", "binary")
     return docs.select("doc_id", "text").mapInArrow(blocks, schema)
 
 
 def frequency_order(encoded: DataFrame) -> list[int]:
     """All ids that occur, most frequent first; one number per entry of the vocabulary."""
-    counts = encoded.select(F.explode("ids").alias("id")).groupBy("id").count()
-    return [r.id for r in sorted(counts.collect(), key=lambda r: (-r["count"], r.id))]
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            own = np.bincount(flat_bytes(batch.column(0))[0].view("<u4"), minlength=len(total))
+            own[: len(total)] += total
+            total = own
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
+
+    counts = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return [r.id for r in sorted(counts.collect(), key=lambda r: (-r.n, r.id))]
 
 
 BLOCKS = "shard int, block int, start long, doc_ids array<{}>, counts array<int>, control binary, data binary"
@@ -153,7 +185,8 @@ def write(encoded: DataFrame, folder: str, shards: int) -> None:
             return pa.RecordBatch.from_arrays(out, names)
 
         for batch in batches:
-            values, bounds = flat_list(batch.column(1))
+            data, bounds = flat_bytes(batch.column(1))
+            values, bounds = data.view("<u4"), bounds // 4
             counts = np.diff(bounds)
             first = 0
             while first < len(counts):
@@ -194,14 +227,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 counts = batch.column(3)[k].values.to_numpy()
                 bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 ids = order[unpack(batch.column(4)[k].as_py(), batch.column(5)[k].as_py(), bounds[-1])]
-                data = ids.astype("<u4").tobytes()
-                cut = (bounds * 4).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(counts), batch.column(0)[k].as_py()), pa.int32()),
                         doc_ids,
                         pa.array(batch.column(1)[k].as_py() + bounds[:-1], pa.int64()),
-                        pa.array([data[a:b] for a, b in zip(cut, cut[1:])], pa.binary()),
+                        binary_column(ids.astype("<u4"), bounds),
                     ],
                     ["shard", "doc_id", "start", "ids"],
                 )
