@@ -26,13 +26,17 @@ from pyspark.sql import types as T
 from lodestone.llm.arrow import binary_column, flat_bytes, list_column, text_blocks
 from lodestone.llm.pieces import PieceCoder
 from lodestone.llm.tables import input_partitions, stored
+from lodestone.session import has_at_most
 
 #: Ids of a block, unless a single document has more.
 BLOCK_IDS = 1 << 18
 #: Distinct words a worker remembers before it starts afresh; bounds memory, never the result.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
+#: Shards up to which their totals are sent to the tasks; beyond it documents are dealt by shard.
+SENT_SHARDS = 1_000_000
 #: White space of Unicode; str.split() alone would also split at U+001C to U+001F.
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+PLAIN_WORD = re.compile("([A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([.,;:!?]*)")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: How many bytes each of the four numbers of a control byte takes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -59,42 +63,57 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level pre-tokenizers write for every byte: itself where it is printable."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(other)}}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class WordCoder(PieceCoder):
     """Ids of the tokenizers library, every distinct word encoded once.
 
     The normaliser and the pre-tokenizer of the file never join what white
     space separates, so words can go through the library's steps one by one;
-    the model sees every distinct piece of a word once.
+    the model sees a distinct piece once. For plain words of Latin letters the
+    steps before the model come down to lower case and byte letters.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        super().__init__(KEPT_WORDS)
-
-    def forget(self) -> None:
-        super().forget()
         self.piece_ids: dict[str, list[int]] = {}
+        super().__init__(KEPT_WORDS)
 
     def cut(self, text: str) -> Iterable[str]:
         if SEPARATORS.search(text):
             return [word for word in SPACES.split(text) if word]
         return text.split()
 
+    def parts(self, word: str) -> list[str]:
+        """The pieces of a word as the model takes them."""
+        plain = PLAIN_WORD.fullmatch(word)
+        if plain is None:
+            normal = self.tokenizer.normalizer.normalize_str(word)
+            return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        letters, mark = plain.groups()
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [letters, mark] if mark else [letters]
+
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        normalize = self.tokenizer.normalizer.normalize_str
-        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        if len(self.piece_ids) > KEPT_WORDS:
+            self.piece_ids.clear()
         model, known = self.tokenizer.model, self.piece_ids
         counts, out = [], []
         for word in pieces:
             size = len(out)
-            if word.isascii() and word.isalpha():
-                # one piece, and the steps before the model only change its case
-                parts = [word.lower()]
-            else:
-                parts = [piece for piece, _ in split(normalize(word))]
-            for piece in parts:
+            for piece in self.parts(word):
                 ids = known.get(piece)
                 if ids is None:
                     ids = known[piece] = [token.id for token in model.tokenize(piece)]
@@ -246,7 +265,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     )
     before = F.sum("total").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     totals = totals.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
-    return found.join(totals, "shard").select(
+    side = F.broadcast(totals) if has_at_most(totals, SENT_SHARDS) else totals
+    return found.join(side, "shard").select(
         "doc_id", (F.col("before") + F.col("start")).alias("start"), "ids"
     )
 
