@@ -127,17 +127,24 @@ def word_coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
+def id_type(path: str, end_id: int) -> str:
+    """The smallest of unsigned 16-bit and 32-bit little-endian numbers that holds all ids of a file."""
+    largest = max([end_id, *word_coder(path).tokenizer.get_vocab(with_added_tokens=True).values()])
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """``doc_id`` and ``ids`` of every whole text, ``end_id`` last; a null text has that id alone.
 
-    ``ids`` are the bytes of unsigned 32-bit little-endian numbers.
+    ``ids`` are the bytes of numbers of ``id_type``.
     """
+    kind = id_type(path, end_id)
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_coder(path)
         for block in text_blocks(batches, "text"):
             ids, bounds = coder.encode(block.column(1).to_pylist())
-            ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+            ids = np.insert(ids, bounds[1:], end_id).astype(kind)
             bounds = bounds + np.arange(len(bounds))
             yield pa.RecordBatch.from_arrays([block.column(0), binary_column(ids, bounds)], ["doc_id", "ids"])
 
@@ -145,13 +152,13 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(blocks, schema)
 
 
-def frequency_order(encoded: DataFrame) -> list[int]:
+def frequency_order(encoded: DataFrame, kind: str = "<u4") -> list[int]:
     """All ids that occur, most frequent first; one number per entry of the vocabulary."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.bincount(flat_bytes(batch.column(0))[0].view("<u4"), minlength=len(total))
+            own = np.bincount(flat_bytes(batch.column(0))[0].view(kind), minlength=len(total))
             own[: len(total)] += total
             total = own
         ids = np.flatnonzero(total)
@@ -164,15 +171,15 @@ def frequency_order(encoded: DataFrame) -> list[int]:
 BLOCKS = "shard int, block int, start long, doc_ids array<{}>, counts array<int>, control binary, data binary"
 
 
-def write(encoded: DataFrame, folder: str, shards: int) -> None:
-    """Write ``doc_id``, ``ids`` to ``folder`` in ascending order of ``doc_id``, nulls first.
+def write(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4") -> None:
+    """Write ``doc_id`` and ``ids`` (bytes of numbers of ``kind``) to ``folder`` in ascending order of ``doc_id``, nulls first.
 
     Rows of one ``doc_id`` follow each other in an order fixed by their ids.
     The order of ids by frequency takes one number per vocabulary entry on the
     driver and in every task, however large the corpus is.
     """
     spark = encoded.sparkSession
-    order = frequency_order(encoded)
+    order = frequency_order(encoded, kind)
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
     doc_type = encoded.schema["doc_id"].dataType
@@ -205,7 +212,7 @@ def write(encoded: DataFrame, folder: str, shards: int) -> None:
 
         for batch in batches:
             data, bounds = flat_bytes(batch.column(1))
-            values, bounds = data.view("<u4"), bounds // 4
+            values, bounds = data.view(kind), bounds // np.dtype(kind).itemsize
             counts = np.diff(bounds)
             first = 0
             while first < len(counts):
@@ -274,5 +281,5 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def write_texts(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFrame:
     """Encode ``docs``, write the files to ``folder`` and read them back."""
     encoded = stored(encode(docs, path, end_id), "ids")
-    write(encoded, folder, input_partitions(docs))
+    write(encoded, folder, input_partitions(docs), id_type(path, end_id))
     return read(docs.sparkSession, folder)
