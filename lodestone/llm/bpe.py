@@ -71,7 +71,6 @@ class Merges:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -85,15 +84,14 @@ class Merges:
 
     def one(self, piece: bytes) -> list[int]:
         """A single piece, lowest rank and leftmost pair first."""
-        ids = [int(self.of_byte[b]) for b in piece]
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
         while len(ids) > 1:
-            found = [self.pairs.get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
-            best = min(found)
-            if best == NONE:
+            found = self.rank_of(ids[:-1], ids[1:])
+            at = int(np.argmin(found))
+            if found[at] == NONE:
                 break
-            at = found.index(best)
-            ids[at : at + 2] = [int(best)]
-        return ids
+            ids = np.concatenate([ids[:at], found[at : at + 1], ids[at + 2 :]])
+        return ids.tolist()
 
     def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row and how many each has, all merged together rank by rank."""
@@ -225,50 +223,55 @@ def tokens_of(path: str) -> list[bytes]:
     return tokens
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    own = encoder(path, pattern)
+    for block in text_blocks(batches, "text"):
+        ids, bounds = own.encode(block.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [block.column(0), list_column(ids, bounds, pa.int32())], ["doc_id", "ids"]
+        )
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    tokens = tokens_of(path)
+    for batch in batches:
+        column = batch.column(1)
+        if column.null_count:
+            column = pa.array([x or [] for x in column.to_pylist()], column.type)
+        values, bounds = flat_list(column)
+        out = [
+            b"".join([tokens[i] for i in values[a:b].tolist()])
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"]
+        )
+
+
+def _schema(docs: DataFrame) -> T.StructType:
+    return T.StructType([docs.schema["doc_id"]]).add("ids", T.ArrayType(T.IntegerType()))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` of every whole text.
 
     A null or empty text has no ids. Further columns are left out. A text may
-    have any length; its ids are one array of up to 2**31 values.
+    have any length; its ids are one array of up to 2**31 values. Repeated rows
+    are encoded each, an empty table gives no rows.
     """
-
-    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
-        for block in text_blocks(batches, "text"):
-            ids, bounds = own.encode(block.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), list_column(ids, bounds, pa.int32())], ["doc_id", "ids"]
-            )
-
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType(
-        [T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    )
-    return docs.select("doc_id", "text").mapInArrow(blocks, schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _encoded(b, path, pattern), _schema(docs))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes its ``ids`` stand for; null ids give no bytes."""
+    schema = _schema(encoded).add("decoded", T.BinaryType())
+    return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decoded(b, path), schema)
+
 
-    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(path)
-        for batch in batches:
-            column = batch.column(1)
-            if column.null_count:
-                column = pa.array([x or [] for x in column.to_pylist()], column.type)
-            values, bounds = flat_list(column)
-            out = [
-                b"".join([tokens[i] for i in values[a:b].tolist()])
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())],
-                ["doc_id", "ids", "decoded"],
-            )
-
-    schema = T.StructType([*encoded.select("doc_id", "ids").schema.fields])
-    schema = schema.add("decoded", T.BinaryType())
-    return encoded.select("doc_id", "ids").mapInArrow(blocks, schema)
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``decode`` of ``encode`` in one pass, so that the ids go through one worker per task."""
+    schema = _schema(docs).add("decoded", T.BinaryType())
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _decoded(_encoded(b, path, pattern), path), schema)
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:

@@ -25,7 +25,7 @@ from lodestone.session import has_at_most
 #: Documents of a block, about.
 BLOCK_DOCS = 1024
 #: Words of an output shard, about.
-SHARD_WORDS = 1 << 24
+SHARD_WORDS = 1 << 21
 WEIGHTS = (3, 1, 2)
 #: Words of the mix for every word of the input, and the most that a source gives of its own.
 SHARE = 1.5

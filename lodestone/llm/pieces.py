@@ -7,7 +7,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Distinct pieces a worker remembers before it starts afresh; bounds memory, never the result.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 
 
 class Pieces(dict):

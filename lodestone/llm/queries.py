@@ -16,7 +16,7 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and their decoded bytes, as digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = texts(table(spark, folder, "documents"))
-    return bpe.digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return bpe.digests(bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
 @registered()

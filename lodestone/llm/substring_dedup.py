@@ -75,7 +75,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Da
     """One row per passage that also occurs in another document.
 
     ``doc_id``, ``start_byte`` and ``end_byte`` (of the UTF-8 text, whole words),
-    ``n_words``, ``first_words`` (those of chunks that occur here first, in the
+    ``n_words`` (words that begin in it), ``first_words`` (those of chunks that occur here first, in the
     order of the input) and ``kept`` (most of them do). Passages have
     ``passage_words`` words or more in whole chunks. Repeated rows count as
     different documents; null and empty texts have no chunks; repeats within one
