@@ -38,8 +38,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mix its ids, and digests of ids and decoded bytes."""
     ship_package(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, path), "ids")
+    return bpe.digests(bpe.round_trip(docs, path, public_tokenizers.PATTERN), "ids")
 
 
 STAGES = [
