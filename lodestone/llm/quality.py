@@ -103,11 +103,14 @@ RULES = (
 )
 
 
-def cascade_order(measured: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejections per second on about ``rows`` rows, the best first."""
-    total = measured.count()
+def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """``rules`` by rejections per second on about ``rows`` rows, the best first.
+
+    Rows are drawn before their figures are computed.
+    """
+    total = docs.count()
     share = min(1.0, rows / total) if total else 1.0
-    sample = stored(measured.select("text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines").sample(share, 7), "rules")
+    sample = stored(figures(docs.sample(share, 7)), "rules")
 
     def seconds(fails: str) -> tuple[float, int]:
         began = time.perf_counter()
@@ -131,7 +134,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Rows are not moved, so a hot source or repeated rows change nothing.
     """
     measured = figures(docs)
-    order = cascade_order(figures(docs.select("doc_id", "text")), rules)
+    order = cascade_order(docs.select("doc_id", "text"), rules)
     verdict = F.when(base_failed(), "base")
     for rule in order:
         verdict = verdict.when(F.expr(rule.fails), rule.name)
