@@ -28,6 +28,8 @@ SIZE = 4096
 #: Training texts of a language, those with the smallest hash of their id. The
 #: bound holds for the classifier alone; every text is classified, and whole.
 TRAIN_ROWS = 1000
+#: Ids drawn by their hash before the smallest are taken, as a multiple of ``TRAIN_ROWS``.
+DRAWN = 4
 CENTROIDS = 4
 ROUNDS = 8
 #: A text is rejected below this share of the cosine that 99 % of the training texts reach.
@@ -114,12 +116,18 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         (remainder() != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     mark = F.xxhash64(F.col("doc_id").cast("string"))
+    # few ids per language reach the window that takes the smallest, however many there are
+    sizes = usable.groupBy("lang").count().collect()
+    drawn = F.lit(False)
+    for lang, rows in sizes:
+        drawn = drawn | ((F.col("lang") == lang) & (mark / 2.0**64 + 0.5 <= DRAWN * train_rows / rows))
     chosen = (
-        usable.select("doc_id", "lang", mark.alias("mark"))
+        usable.filter(drawn)
+        .select("doc_id", "lang", mark.alias("mark"))
+        .distinct()
         .withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("mark", "doc_id")))
         .filter(F.col("place") <= train_rows)
         .select("doc_id", "lang")
-        .distinct()
     )
     sample = usable.select("doc_id", "text", "lang").join(stored(chosen, "lang-ids"), ["doc_id", "lang"])
 
