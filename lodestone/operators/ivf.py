@@ -41,15 +41,23 @@ CENTROID_NUMBERS = 8 << 20
 
 @dataclass(frozen=True)
 class Centroids:
-    """Cluster centres, one row per partition; ``unit`` for unit-length input."""
+    """Cluster centres, one row per partition; ``unit`` for unit-length input.
+
+    ``parts`` holds the numbers of the partitions, 0, 1, 2, ... by default.
+    """
 
     matrix: np.ndarray
     unit: bool = False
+    parts: np.ndarray | None = None
 
     def __post_init__(self):
         if self.matrix.size > CENTROID_NUMBERS:
             raise ValueError("too many centroids to send to every task")
 
+    @property
+    def numbers(self) -> np.ndarray:
+        return np.arange(len(self.matrix)) if self.parts is None else self.parts
+
     def _gaps(self, vectors: np.ndarray) -> np.ndarray:
         """Squared distance to every centre, less the square of the vector."""
         rows = vectors.astype(np.float64)
@@ -59,23 +67,25 @@ class Centroids:
         return np.einsum("ij,ij->i", self.matrix, self.matrix) - 2 * rows @ self.matrix.T
 
     def nearest(self, vectors: np.ndarray) -> np.ndarray:
-        return np.argmin(self._gaps(vectors), axis=1)
+        return self.numbers[np.argmin(self._gaps(vectors), axis=1)]
 
     def probes(self, vectors: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` closest partitions of each vector, closest first."""
-        return np.argsort(self._gaps(vectors), axis=1, kind="stable")[:, :n]
+        return self.numbers[np.argsort(self._gaps(vectors), axis=1, kind="stable")[:, :n]]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, row.tolist()) for i, row in enumerate(self.matrix)]
+        rows = [(i, row.tolist()) for i, row in zip(self.numbers.tolist(), self.matrix)]
         return spark.createDataFrame(rows, "part int, centroid array<double>")
 
     @classmethod
     def from_frame(cls, frame: DataFrame, unit: bool = False) -> Centroids:
-        """Centres from rows ``(part, centroid)`` numbered from 0."""
-        if not nn.has_at_most(frame, CENTROID_NUMBERS // 8):
+        """Centres from rows ``(part, centroid)``; their size is checked before they are read."""
+        numbers = frame.agg(F.sum(F.size("centroid"))).first()[0] or 0
+        if numbers > CENTROID_NUMBERS:
             raise ValueError("too many centroids to send to every task")
         rows = frame.orderBy("part").collect()
-        return cls(np.array([row["centroid"] for row in rows], np.float64), unit)
+        parts = np.array([row["part"] for row in rows], np.int64)
+        return cls(np.array([row["centroid"] for row in rows], np.float64), unit, parts)
 
 
 def _whole(table: DataFrame, vector: str, unit: bool, dimension: int | None) -> DataFrame:
@@ -250,7 +260,9 @@ def _search(
     queries if they were small enough to hold.
     """
     schema = nn._result_schema(table, queries, keys, query_id)
-    held = nn.collect_queries(queries, query_id, query_vector, search.k, max_query_bytes)
+    width = centroids.matrix.shape[1] if decode is None else len(decode.low)
+    queries = nn.of_width(queries, query_vector, width)
+    held = nn.collect_queries(queries, query_id, query_vector, search.k, width, max_query_bytes)
     if held is None:
         probes = None
         if centroids is not None:
@@ -258,7 +270,7 @@ def _search(
             queries = queries.where(F.col(probes).isNotNull())
             table = table.where(F.col(part).isNotNull())
         found = nn.grid_nearest(
-            table, queries, search, schema, keys, vector, query_id, query_vector,
+            table, queries, search, schema, keys, vector, query_id, query_vector, width,
             max_query_bytes, part if probes else None, probes, decode,
         )
     else:

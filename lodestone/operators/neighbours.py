@@ -30,8 +30,11 @@ METRICS = ("cosine", "l2", "l2_squared")
 
 # Queries held by every task: vectors and running results stay below this.
 QUERY_BYTES = 64 << 20
-# Queries read before their width is known.
+# Queries read in one go, before it is known whether there are more.
 FIRST_QUERIES = 1024
+# Bytes of the vectors that are measured exactly at a time, and pairs held before they are cut to the best.
+PAIR_BYTES = 32 << 20
+PAIRS = 1 << 18
 # Rows of the result small enough to send to every task when joined back.
 BROADCAST_ROWS = 200_000
 # Queries compared with a block of rows at a time.
@@ -119,14 +122,21 @@ class Nearest:
         ok = np.isfinite(lengths)
         if self.search.metric == "cosine":
             ok &= lengths > 0
-        found = []
+        found, pairs = [], 0
         for rows, wanted in self._probed(np.flatnonzero(ok), parts):
             for start in range(0, len(wanted), QUERY_BLOCK):
-                found.append(
-                    self._candidates(rows, wanted[start : start + QUERY_BLOCK], exact, lengths)
-                )
-        if not found:
-            return
+                asked = wanted[start : start + QUERY_BLOCK]
+                for some in self._candidates(rows, asked, exact, lengths):
+                    found.append(some)
+                    pairs += len(some[0])
+                    if pairs >= PAIRS:
+                        self._take(keys, found)
+                        found, pairs = [], 0
+        if found:
+            self._take(keys, found)
+
+    def _take(self, keys: pa.Table, found) -> None:
+        """Cut what is held and the candidates ``found`` to the best of each query."""
         row = np.concatenate([f[0] for f in found])
         query = np.concatenate([f[1] for f in found])
         distance = np.concatenate([f[2] for f in found])
@@ -149,7 +159,7 @@ class Nearest:
         return pairs
 
     def _candidates(self, rows, wanted, exact, lengths):
-        """Rows that may be among the best of each query, with exact distances.
+        """Rows that may be among the best of each query, with exact distances, some pairs at a time.
 
         Single-precision products only preselect; the margin covers their
         rounding, and every candidate is measured again in double precision
@@ -183,13 +193,17 @@ class Nearest:
         if low is not None:
             keep &= near >= (low - margin)[:, None]
         column, row = np.nonzero(keep)
-        row, query = rows[row], wanted[column]
+        step = max(1, PAIR_BYTES // (16 * max(width, 1)))
+        for start in range(0, len(row), step):
+            yield self._measured(rows[row[start : start + step]], wanted[column[start : start + step]], exact, lengths)
+
+    def _measured(self, row, query, exact, lengths):
         distance = self._exact(exact[row], lengths[row], query)
         good = np.ones(len(row), bool)
-        if search.min_distance is not None:
-            good &= distance >= search.min_distance
-        if search.max_distance is not None:
-            good &= distance <= search.max_distance
+        if self.search.min_distance is not None:
+            good &= distance >= self.search.min_distance
+        if self.search.max_distance is not None:
+            good &= distance <= self.search.max_distance
         return row[good], query[good], distance[good]
 
     def _coarse_range(self):
@@ -238,24 +252,30 @@ def _result_schema(table: DataFrame, queries: DataFrame, keys, query_id) -> T.St
     return T.StructType(fields + [T.StructField(DISTANCE, T.DoubleType())])
 
 
-def _width(queries: DataFrame, query_vector: str) -> int:
-    first = queries.where(F.col(query_vector).isNotNull()).select(F.size(query_vector)).first()
-    return first[0] if first else 0
+def widths_of(queries: DataFrame, query_vector: str) -> list[int]:
+    """The widths of the query vectors, one as a rule."""
+    size = F.size(query_vector).alias("n")
+    found = queries.where(F.col(query_vector).isNotNull()).select(size).distinct().collect()
+    return sorted(row["n"] for row in found if row["n"] > 0)
+
+
+def of_width(queries: DataFrame, query_vector: str, width: int) -> DataFrame:
+    """The queries that can be compared with vectors of ``width``."""
+    return queries.where(F.col(query_vector).isNotNull() & (F.size(query_vector) == width))
 
 
 def collect_queries(
-    queries: DataFrame, query_id: str, query_vector: str, k: int, max_bytes: int = QUERY_BYTES
+    queries: DataFrame, query_id: str, query_vector: str, k: int, width: int, max_bytes: int = QUERY_BYTES
 ) -> QuerySet | None:
-    """The query vectors on the driver, or None when they exceed ``max_bytes``.
+    """The query vectors of ``width`` on the driver, or None when they exceed ``max_bytes``.
 
     A few queries are read in one go; only if there are more is the rest read,
     and never more than one query beyond the bound.
     """
-    asked = queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector)
+    asked = of_width(queries, query_vector, width).select(query_id, query_vector)
     table = asked.limit(FIRST_QUERIES + 1).toArrow()
     if not table.num_rows:
         return QuerySet(pa.array([], pa.int64()), np.zeros((0, 0), np.float32))
-    width = len(table[query_vector][0])
     rows = max(1, max_bytes // (width * 16 + k * 64))
     if FIRST_QUERIES < table.num_rows <= rows:
         table = asked.limit(rows + 1).toArrow()
@@ -339,6 +359,7 @@ def grid_nearest(
     vector: str,
     query_id: str,
     query_vector: str,
+    width: int,
     cell_bytes: int = QUERY_BYTES,
     part: str | None = None,
     probes: str | None = None,
@@ -353,7 +374,6 @@ def grid_nearest(
     only the queries that look into their partition.
     """
     ship_package(table.sparkSession)
-    width = _width(queries, query_vector)
     keys = list(keys)
     row_bytes = width * 16 + search.k * 64
     blocks = max(1, math.ceil(2 * table.count() * row_bytes / cell_bytes))
@@ -433,25 +453,33 @@ def nearest(
     metric: str = "cosine",
     min_distance: float | None = None,
     max_distance: float | None = None,
+    dimension: int | None = None,
     max_query_bytes: int = QUERY_BYTES,
     cell_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``table`` for every query.
 
     Result: query id, key columns, ``_distance`` and ``rank`` from 1; ties go
-    to the smaller key. Rows and queries with a null, incomplete, differently
-    wide or (cosine) zero vector have no distance and are left out.
+    to the smaller key. Queries meet the rows of their own width; with
+    ``dimension`` those of another width are left out, otherwise every width
+    among the queries takes a scan of its own. Rows and queries with a null,
+    incomplete or (cosine) zero vector have no distance and are left out.
     """
     keys = [key] if isinstance(key, str) else list(key)
     search = Search(k, metric, min_distance, max_distance)
     schema = _result_schema(table, queries, keys, query_id)
-    held = collect_queries(queries, query_id, query_vector, k, max_query_bytes)
-    if held is None:
-        found = grid_nearest(
-            table, queries, search, schema, keys, vector, query_id, query_vector, cell_bytes
-        )
-    else:
-        found = scan_nearest(table, held, search, schema, keys, vector, query_id)
+    widths = widths_of(queries, query_vector) if dimension is None else [dimension]
+    found = table.sparkSession.createDataFrame([], schema)
+    for number, width in enumerate(widths):
+        asked = of_width(queries, query_vector, width)
+        held = collect_queries(asked, query_id, query_vector, k, width, max_query_bytes)
+        if held is None:
+            best = grid_nearest(
+                table, asked, search, schema, keys, vector, query_id, query_vector, width, cell_bytes
+            )
+        else:
+            best = scan_nearest(table, held, search, schema, keys, vector, query_id)
+        found = found.union(best) if number else best
     return top_k(found, [query_id], [DISTANCE, *keys], k)
 
 

@@ -106,3 +106,14 @@ def test_nothing_to_index(spark):
 def test_result_bound(spark):
     _, queries = questions(spark)
     assert nn.few_results(queries, 30) and not nn.few_results(queries, nn.BROADCAST_ROWS)
+
+
+def test_partition_numbers_may_have_gaps(spark):
+    centres = spark.createDataFrame([(5, [0.0, 1.0]), (0, [1.0, 0.0])], "part int, centroid array<double>")
+    centroids = ivf.Centroids.from_frame(centres)
+    df = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.1, 1.0])], "row_key long, vector array<float>")
+    placed = ivf.assign_partitions(df, centroids)
+    assert {r.row_key: r.part for r in placed.collect()} == {1: 0, 2: 5}
+    asked = spark.createDataFrame([("q", [0.0, 3.0])], "query_id string, vector array<double>")
+    assert collected(ivf.probed_nearest(placed, centroids, asked, 5, 1)) == {"q": [(2, 1)]}
+    assert sorted(r.part for r in centroids.frame(spark).collect()) == [0, 5]

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.operators import neighbours as nn
@@ -108,3 +109,29 @@ def test_large_distances_keep_precision(spark):
     asked = [("q", [1e4 + 0.2, 1e4])]
     queries = spark.createDataFrame(asked, "query_id string, vector array<double>")
     assert collected(nn.nearest(df, queries, 7, metric="l2")) == brute(rows, asked, 7, "l2")
+
+
+def test_queries_of_several_widths(spark):
+    rows, df = table(spark)
+    asked, _ = questions(spark, n=3)
+    for extra in ([("odd", [])], [("odd", [1.0])], [("odd", [1.0]), ("odder", [2.0])]):
+        for order in (extra + asked, asked + extra):
+            mixed = spark.createDataFrame(order, "query_id string, vector array<double>").coalesce(1)
+            found = collected(nn.nearest(df, mixed, 5))
+            wanted = {q: near for q, near in brute(rows, order, 5, "cosine").items() if near}
+            assert found == wanted
+
+
+def test_many_ties_in_small_slices(spark, monkeypatch):
+    monkeypatch.setattr(nn, "PAIR_BYTES", 1 << 12)
+    monkeypatch.setattr(nn, "PAIRS", 64)
+    keys = np.random.default_rng(3).permutation(900)
+    block = pa.table({"row_key": pa.array(keys)})
+    queries = nn.QuerySet(pa.array(["a", "b"]), np.array([[1, 0], [0, 2]], np.float32))
+    for metric in nn.METRICS:
+        best = nn.Nearest(queries, nn.Search(7, metric), ["row_key"])
+        vectors = np.tile(np.array([[1, 1]], np.float32), (900, 1))
+        for start in range(0, 900, 300):
+            best.add(block.slice(start, 300), vectors[start : start + 300])
+        found = best.result("query_id").to_pylist()
+        assert [(r["query_id"], r["row_key"]) for r in found] == [(q, i) for q in "ab" for i in range(7)]
