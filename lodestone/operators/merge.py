@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The columns that make two rows the same in the two merges.
 UPSERT_KEYS = ("id", "content")
-INSERT_KEYS = ("content", "metadata", "vector", "model", "chunk_number")
+CONTENT_KEYS = ("content", "metadata", "vector", "model", "chunk_number")
+# Equal lines of two files, or two lines of one file, are different rows.
+INSERT_KEYS = (*CONTENT_KEYS, "path", "line_no")
 
 
 def _key_hash(keys: Sequence[str]):

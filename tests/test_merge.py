@@ -37,11 +37,11 @@ def test_insert_if_absent(spark):
             ("c", "f", [1.0], "m", 1, "new"),
         ],
     )
-    merged = M.insert_if_absent(target, source)
+    merged = M.insert_if_absent(target, source, M.CONTENT_KEYS)
     assert rows(merged, "content", "chunk_number", "tag") == sorted(
         [("a", None, "old"), ("b", 1, "old"), ("b", 2, "new"), ("c", 1, "new"), ("c", 1, "new")], key=str
     )
-    assert M.new_rows(merged, source).count() == 0
+    assert M.new_rows(merged, source, M.CONTENT_KEYS).count() == 0
 
 
 def test_insert_with_a_hot_key(spark):
