@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import marked, parsed_int, trim_space
-from lodestone.schema import ROW_CAP
 from lodestone.session import has_at_most
 
 # Members of a list small enough to send to every task.
@@ -36,7 +35,7 @@ def chunk_members(df: DataFrame, column: str, texts: DataFrame) -> DataFrame:
     return members(df, column, values)
 
 
-def row_cap(df: DataFrame, order: Sequence[Column | str], n: int | None = ROW_CAP) -> DataFrame:
+def row_cap(df: DataFrame, order: Sequence[Column | str], n: int | None) -> DataFrame:
     """The first ``n`` rows in a fixed order; all rows when ``n`` is None."""
     return df if n is None else df.orderBy(*order).limit(n)
 

@@ -61,7 +61,7 @@ def _prior(
         .agg(F.sort_array(F.collect_list(F.struct(turn, "_said"))).alias("_turns"))
         .select(conversation, "_slice", F.transform("_turns", lambda t: t["_said"]).alias("_all"))
     )
-    slices = sliced.select(conversation, "_slice").distinct().where(F.col("_slice") > 0)
+    slices = sliced.select(conversation, "_slice").distinct()
     earlier = (
         slices.alias("s")
         .join(

@@ -11,7 +11,7 @@ from lodestone.operators import neighbours as nn
 from lodestone.operators.embedding import Embedder, embed_column
 from lodestone.operators.filters import checked_queries, row_cap, with_content
 from lodestone.operators.ordering import top_k
-from lodestone.schema import NEIGHBOURS, ROW_CAP
+from lodestone.schema import NEIGHBOURS
 
 # What identifies a line of the vector table, in reading order.
 LINE_KEY = ("path", "chunk_number", "line_no")
@@ -19,7 +19,7 @@ MODES = ("nearest", "file", "chunk", "all")
 
 
 def all_content(
-    table: DataFrame, key: Sequence[str] = LINE_KEY, cap: int | None = ROW_CAP
+    table: DataFrame, key: Sequence[str] = LINE_KEY, cap: int | None = None
 ) -> DataFrame:
     """Content of the whole table, without its vectors."""
     shown = with_content(table).select(*key, "metadata", "content")
@@ -64,7 +64,10 @@ def _lines_of(
     cap: int | None,
     small: bool,
 ) -> DataFrame:
-    """All lines that agree with a found line in ``on``, per query."""
+    """All lines that agree with a found line in ``on``, per query.
+
+    With ``cap`` only the first ones in reading order, with their ``rank``.
+    """
     wanted = found.where(F.col(on[0]).isNotNull()).select(query_id, *on).distinct()
     if small:
         wanted = F.broadcast(wanted)
@@ -84,7 +87,7 @@ def file_context(
     key: Sequence[str] = LINE_KEY,
     query_id: str = "query_id",
     file: str = "metadata",
-    cap: int | None = ROW_CAP,
+    cap: int | None = None,
     **options,
 ) -> DataFrame:
     """All lines of every file that holds one of the nearest lines."""
@@ -103,7 +106,7 @@ def chunk_context(
     key: Sequence[str] = LINE_KEY,
     query_id: str = "query_id",
     chunk: Sequence[str] = ("metadata", "chunk_number"),
-    cap: int | None = ROW_CAP,
+    cap: int | None = None,
     **options,
 ) -> DataFrame:
     """All lines of every chunk that holds one of the nearest lines."""
@@ -133,7 +136,7 @@ def retrieve(
     queries: DataFrame,
     mode: str = "nearest",
     k: int = NEIGHBOURS,
-    cap: int | None = ROW_CAP,
+    cap: int | None = None,
     **options,
 ) -> DataFrame:
     """Content for each query vector in one of four modes.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from lodestone.operators.chunks import chunk_files, chunk_log, number_chunks
 from lodestone.operators.embedding import Embedder, checked_width, embed_column, load_time
 from lodestone.operators.generation import Generator, checked_json, generate, parse_reply, reply_text
 from lodestone.operators.lines import drop_noise, error_context, explode_lines
+from lodestone.operators.merge import INSERT_KEYS, new_rows
 from lodestone.operators.postings import corpus_stats, keyword_search, postings, term_stats
 from lodestone.schema import (
     CHUNK_OVERLAP,
@@ -25,7 +26,6 @@ from lodestone.schema import (
     PARTITIONS,
     PROBES,
     REFINE_FACTOR,
-    ROW_CAP,
     SAMPLE_RATE,
     vector_table,
 )
@@ -144,10 +144,48 @@ def index_vectors(
     create_table(spark, layout.ranges, quantizer.frame(spark))
 
 
+def insert(
+    spark: SparkSession, rows: DataFrame, target: str, keys: Sequence[str] = INSERT_KEYS
+) -> DataFrame:
+    """Add the rows of ``vector_rows`` that a loaded table does not hold; returns the table.
+
+    New rows are placed by the table's centroids and coded by its ranges, their
+    ids follow the largest one held, and their words are added to the postings.
+    Held rows are read, never rewritten; the word statistics are made anew. The
+    lines are written last, so a call that failed may be repeated once its
+    postings are removed.
+    """
+    layout = Layout(target)
+    held = open_lines(spark, target)
+    added = checkpointed(new_rows(held, rows, keys))
+    if not added.isEmpty():
+        last = held.agg(F.max("id")).first()[0]
+        ids = (F.col("id") + F.lit(0 if last is None else last + 1)).cast(held.schema["id"].dataType)
+        added = added.withColumn("id", ids)
+        centroids = ivf.Centroids.from_frame(open_table(spark, layout.centroids), unit=True)
+        quantizer = ivf.Quantizer.from_frame(open_table(spark, layout.ranges), unit=True)
+        placed = ivf.encode_vectors(
+            ivf.assign_partitions(added, centroids, "vector", "part"), quantizer, "vector", "codes"
+        )
+        for column in ("metadata", "content"):
+            folder = layout.words(column)
+            postings(added, column, KEY).write.mode("append").parquet(f"{folder}/postings")
+        placed.select(*held.columns).write.mode("append").partitionBy("part").parquet(layout.lines)
+        table = open_lines(spark, target)
+        for column in ("metadata", "content"):
+            index_statistics(spark, table, layout, column)
+    return open_lines(spark, target)
+
+
 def index_words(spark: SparkSession, table: DataFrame, layout: Layout, column: str) -> None:
     """Write the postings and statistics of one text column."""
     index = postings(table, column, KEY)
     create_table(spark, layout.words(column) + "/postings", index)
+    index_statistics(spark, table, layout, column)
+
+
+def index_statistics(spark: SparkSession, table: DataFrame, layout: Layout, column: str) -> None:
+    """Write the statistics of the stored postings of one text column."""
     stored = open_table(spark, layout.words(column) + "/postings")
     create_table(spark, layout.words(column) + "/terms", term_stats(stored))
     stats = open_table(spark, layout.words(column) + "/terms")
@@ -196,7 +234,7 @@ def query(
     embedder: Embedder,
     mode: str = "nearest",
     k: int = NEIGHBOURS,
-    cap: int | None = ROW_CAP,
+    cap: int | None = None,
     **options,
 ) -> DataFrame:
     """Content for each query text ``(query_id, text)``; all queries are answered."""
@@ -241,10 +279,14 @@ def rag_batch(
     start: Callable[[], Generator] | None = None,
     mode: str = "nearest",
     k: int = NEIGHBOURS,
-    cap: int | None = ROW_CAP,
+    cap: int | None = None,
     **options,
 ) -> DataFrame:
-    """Retrieve, build one request per query and, with a generator, answer it."""
+    """Retrieve, build one request per query and, with a generator, answer it.
+
+    In mode ``all`` the context is one text, so the caller has to say how many
+    lines of the table it takes.
+    """
     if mode == "all":
         if cap is None:
             raise ValueError("a context of the whole table needs a cap")

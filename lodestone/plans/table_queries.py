@@ -14,6 +14,7 @@ from lodestone.operators.lines import explode_lines
 from lodestone.plans import jobs
 from lodestone.plans.registry import registered, table, wide_table
 from lodestone.plans.text_queries import CAP, OVERLAP, TEXT_BLOCKS, chunks_sql, lines_sql
+from lodestone.schema import ROW_CAP
 from lodestone.session import scratch_path
 
 
@@ -82,7 +83,7 @@ def scan_all_content(spark, folder):
 )
 def row_cap(spark, folder):
     events = K.with_content(table(spark, folder, "events"), "props")
-    return K.row_cap(events.select("user_id", "ts", "event_id"), ["user_id", "ts"])
+    return K.row_cap(events.select("user_id", "ts", "event_id"), ["user_id", "ts"], ROW_CAP)
 
 
 @registered(

@@ -16,6 +16,7 @@ from lodestone.operators import neighbours as nn
 from lodestone.operators import retrieve as R
 from lodestone.operators.filters import members
 from lodestone.plans.registry import registered, rounded, table
+from lodestone.schema import ROW_CAP
 from lodestone.session import checkpointed
 
 PARTS = 16
@@ -338,7 +339,9 @@ def file_context(spark, folder):
 def file_context_capped(spark, folder):
     lines = lines_with_vectors(spark, folder)
     queries = mean_queries(table(spark, folder, "embeddings"))
-    found = R.retrieve(lines, queries, "file", 4, key=["vec_id"], vector="embedding")
+    found = R.retrieve(
+        lines, queries, "file", 4, cap=ROW_CAP, key=["vec_id"], vector="embedding"
+    )
     return found.select("query_id", "metadata", "vec_id", "rank")
 
 

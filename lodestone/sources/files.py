@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import base_name, language_of
 from lodestone.schema import LANGUAGES
 
-# Largest prompt file accepted, in bytes.
-PROMPT_BYTES = 1 << 20
-
 
 def name_pattern(languages: Iterable[str] | None = None) -> str:
     """A pattern for the file names of some languages; of all by default."""
@@ -85,12 +82,10 @@ def read_lines(
 
 
 def read_prompt(spark: SparkSession, path: str) -> str:
-    """The full text of one small file."""
+    """The full text of one file, as the caller's prompt."""
     found = spark.read.format("binaryFile").load(path).select("path", "length").limit(2).collect()
     if len(found) != 1:
         raise FileNotFoundError(f"not a single prompt file: {path}")
-    if found[0]["length"] > PROMPT_BYTES:
-        raise ValueError(f"prompt file is too large: {path}")
     if not found[0]["length"]:
         return ""
     return spark.read.text(path, wholetext=True).first()[0]

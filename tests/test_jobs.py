@@ -12,7 +12,7 @@ from lodestone.operators.lines import drop_noise
 from lodestone.operators.generation import stub_generator
 from lodestone.plans import jobs
 from lodestone.schema import vector_table
-from lodestone.session import scratch_path
+from lodestone.session import checkpointed, scratch_path
 from lodestone.sources import files as S
 from lodestone.sources import tables as B
 from lodestone.streaming.loads import arriving_files, insert_stream
@@ -107,7 +107,7 @@ def test_load_and_query(spark, loaded):
     assert top(indexed) == top(exact)
 
     files = jobs.query(table, queries, EMBEDDER, "file", k=1).where("query_id = 'p'")
-    assert [r.content for r in files.orderBy("rank").collect()] == ["mod apples;", "", "fn pick() {}", "mod pears;"]
+    assert [r.content for r in files.orderBy(*jobs.KEY).collect()] == ["mod apples;", "", "fn pick() {}", "mod pears;"]
     chunks = jobs.query(table, queries, EMBEDDER, "chunk", k=1, chunk=["path", "chunk_number"])
     assert [r.content for r in chunks.where("query_id = 'p'").collect()] == ["mod pears;"]
     everything = jobs.query(table, queries, EMBEDDER, "all", cap=5)
@@ -123,8 +123,8 @@ def test_load_and_query(spark, loaded):
 def test_prompts_and_answers(spark, loaded):
     table, _ = loaded
     queries = spark.createDataFrame([("q", "temperature randomness")], "query_id string, text string")
-    for mode in ("nearest", "file", "all"):
-        reply = jobs.rag_batch(table, queries, EMBEDDER, "S", "m", lambda: stub_generator, mode, 2).first()
+    for mode, cap in (("nearest", None), ("file", None), ("file", 1000), ("all", 1000)):
+        reply = jobs.rag_batch(table, queries, EMBEDDER, "S", "m", lambda: stub_generator, mode, 2, cap).first()
         assert reply.status == "ok" and "Temperature" in reply.context
         assert reply.answer == '{"characters": 22, "first": "temperature"}'
     with pytest.raises(ValueError):
@@ -148,6 +148,28 @@ def test_replacing_and_adding(spark, loaded, folder):
     assert jobs.open_lines(spark, target).count() == 2 and before > 2
 
 
+def test_adding_to_a_loaded_table(spark):
+    schema = "path string, metadata string, language string, text string"
+    first = spark.createDataFrame([("/a/mod.rs", "mod.rs", "text", "one\ntwo\nthree"), ("/c/z.txt", "z.txt", "text", "four")], schema)
+    second = spark.createDataFrame([("/b/mod.rs", "mod.rs", "text", "one\ntwo\nthree"), ("/c/z.txt", "z.txt", "text", "four")], schema)
+    target = scratch_path(spark, "grown")
+    jobs.load(spark, first, target, EMBEDDER, partitions=2)
+    rows = checkpointed(jobs.vector_rows(chunk_files(second, ["path", "metadata"]), EMBEDDER))
+    for _ in range(2):
+        table = jobs.insert(spark, rows, target)
+        assert sorted((r.path, r.content) for r in table.collect()) == sorted(
+            [(p, w) for p in ("/a/mod.rs", "/b/mod.rs") for w in ("one", "two", "three")] + [("/c/z.txt", "four")]
+        )
+    assert table.where("codes IS NULL OR part IS NULL").isEmpty()
+    ids = {r.path: r.id for r in table.collect()}
+    assert ids["/b/mod.rs"] > max(ids["/a/mod.rs"], ids["/c/z.txt"])
+    asked = spark.createDataFrame([(1, "two")], "query_id int, text string")
+    words = jobs.search_words(spark, target, asked, 5)
+    assert sorted(r.path for r in words.collect()) == ["/a/mod.rs", "/b/mod.rs"]
+    near = jobs.query(table, asked, EMBEDDER, k=2, search=jobs.search_index(spark, target, 2))
+    assert sorted((r.path, r.content) for r in near.collect()) == [("/a/mod.rs", "two"), ("/b/mod.rs", "two")]
+
+
 def test_files_that_arrive(spark, folder):
     target, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
     B.create_table(spark, target)

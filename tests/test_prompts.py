@@ -34,6 +34,14 @@ def test_history(spark, monkeypatch, size, full):
     assert len(found) == len(wanted)
 
 
+def test_history_of_turns_below_zero(spark, monkeypatch):
+    monkeypatch.setattr(P, "TURNS_PER_SLICE", 2)
+    rows = [(1, t, "user" if t % 2 else "assistant", f"x{t}") for t in range(-7, 4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.turn: r.replies for r in P.history(df).collect()}
+    assert found == {t: [f"x{u}" for u in range(-6, t, 2)] for t in range(-7, 4, 2)}
+
+
 def test_until_stop(spark):
     rows = [(1, 0, "hi"), (1, 1, "ok"), (1, 2, "\t EXIT \n"), (1, 3, "late"), (1, 4, "exit"), (2, 0, "exit it")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
