@@ -6,37 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe, exact_dedup, jaccard_join, language_id, mixing
-from lodestone.llm.tables import stored
-from lodestone.session import ship_package
+from lodestone.llm.tables import ready, stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
-    ship_package(spark)
+    ready(spark)
     return language_id.keep_identified(docs)
 
 
 def one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every text, that of the largest id."""
-    ship_package(spark)
+    ready(spark)
     return exact_dedup.keep_exact(docs)
 
 
 def one_version(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates: five-word shingles, Jaccard 0.8."""
-    ship_package(spark)
+    ready(spark)
     return jaccard_join.keep_distinct(docs, 5, 80)
 
 
 def weighted_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources, shard by shard; a document appears as often as the mix takes it, always whole."""
-    ship_package(spark)
+    ready(spark)
     return mixing.mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mix its ids, and digests of ids and decoded bytes."""
-    ship_package(spark)
+    ready(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(bpe.round_trip(docs, path, public_tokenizers.PATTERN), "ids")
 

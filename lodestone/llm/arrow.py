@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,6 +11,14 @@ import pyarrow as pa
 BLOCK_BYTES = 4 << 20
 
 
+def release() -> None:
+    """Hand freed memory back to the system; a worker lives on beside others when its task is done."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its values; null counts as empty."""
     column = column.cast(pa.large_binary())
@@ -37,6 +46,8 @@ def text_blocks(
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+        del batch, lengths, bounds
+    release()
 
 
 def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:

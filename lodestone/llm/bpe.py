@@ -232,8 +232,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], path: str, pattern: str) -> Iter
         )
 
 
-def _decoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tokens = tokens_of(path)
+def _decoded(batches: Iterable[pa.RecordBatch], tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(1)
         if column.null_count:
@@ -265,13 +264,17 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes its ``ids`` stand for; null ids give no bytes."""
     schema = _schema(encoded).add("decoded", T.BinaryType())
-    return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decoded(b, path), schema)
+    return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decoded(b, tokens_of(path)), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``decode`` of ``encode`` in one pass, so that the ids go through one worker per task."""
     schema = _schema(docs).add("decoded", T.BinaryType())
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _decoded(_encoded(b, path, pattern), path), schema)
+
+    def there_and_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(_encoded(batches, path, pattern), encoder(path, pattern).merges.tokens)
+
+    return docs.select("doc_id", "text").mapInArrow(there_and_back, schema)
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:

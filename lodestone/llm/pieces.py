@@ -63,5 +63,6 @@ class PieceCoder:
         counts = self.counts[numbers]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.starts[numbers] - (ends - counts), counts)
+        shift = (self.starts[numbers] - (ends - counts)).astype(np.int32)
+        at = np.arange(total, dtype=np.int32) + np.repeat(shift, counts)
         return self.ids[at], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])

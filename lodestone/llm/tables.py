@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.arrow import BLOCK_BYTES
 from lodestone.session import scratch_path, ship_package
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -25,8 +28,14 @@ def registered(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def ready(spark: SparkSession) -> None:
+    """The package in the workers, and rows sent to them in batches of bounded size, however long the texts."""
     ship_package(spark)
+    spark.conf.set(BATCH_CONF, str(BLOCK_BYTES))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -64,6 +73,7 @@ __all__ = [
     "input_partitions",
     "no_rows",
     "packed",
+    "ready",
     "registered",
     "stored",
     "table",
