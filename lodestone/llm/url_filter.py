@@ -20,8 +20,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 UNIT = 10**9
 #: Share of a score that walks on, in percent.
 WALKS = 85
+#: Rounds that the SQL form writes out; ``spread`` goes on until nothing changes.
 ROUNDS = 8
-#: Rounds after which the scores are stored, so that plans stay short.
+#: Rounds after which the scores are stored and compared, so that plans stay short.
 STORED_EVERY = 4
 #: A host is blocked when its distrust exceeds its trust and this.
 LEAST_DISTRUST = UNIT // 50
@@ -74,23 +75,33 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def spread(links: DataFrame, seeds: DataFrame, source: str, target: str, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank of ``seeds`` (``host``) over ``links`` from ``source`` to ``target``: ``host, score``."""
+def spread(links: DataFrame, seeds: DataFrame, source: str, target: str) -> DataFrame:
+    """Personalised PageRank of ``seeds`` (``host``) over ``links`` from ``source`` to ``target``: ``host, score``.
+
+    Rounds go on until no score changes. From the seeds alone no score ever
+    falls and all are bounded, and as scores are whole numbers, that point is
+    reached; equal sums then mean equal scores.
+    """
+    start = seeds.select("host", F.lit(UNIT * (100 - WALKS) // 100).cast("long").alias("score"))
+    if no_rows(links):
+        return start
     degree = links.groupBy(source).agg(F.count("*").alias("degree"))
     edges = stored(links.join(degree, source), "links")
-    start = seeds.select("host", F.lit(UNIT * (100 - WALKS) // 100).cast("long").alias("score"))
-    scores = start
-    for step in range(1, rounds + 1):
-        passed = scores.join(edges, F.col("host") == F.col(source)).select(
-            F.col(target).alias("host"), F.expr(f"score div degree * {WALKS} div 100").alias("score")
-        )
-        scores = start.union(passed).groupBy("host").agg(F.sum("score").alias("score"))
-        if step % STORED_EVERY == 0:
-            scores = stored(scores, "scores")
-    return scores
-
-
-def judge(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    scores, before = start, None
+    while True:
+        for _ in range(STORED_EVERY):
+            passed = scores.join(edges, F.col("host") == F.col(source)).select(
+                F.col(target).alias("host"), F.expr(f"score div degree * {WALKS} div 100").alias("score")
+            )
+            scores = start.union(passed).groupBy("host").agg(F.sum("score").alias("score"))
+        scores = stored(scores, "scores")
+        after = scores.agg(F.sum("score")).first()[0]
+        if after == before:
+            return scores
+        before = after
+
+
+def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of every row of ``pages``.
 
     The longest rule that fits decides; ``rule`` is null where none fits, and the
@@ -109,11 +120,9 @@ def judge(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS) -> DataFrame
         .agg(F.count_if(F.col("fit.rule_verdict") == "allow").alias("allowed"), F.count("*").alias("n"))
     )
     links = stored(host_links(pages), "host-links")
-    if no_rows(links):
-        rounds = 0
     by_host = stored(by_host, "seeds")
-    trust = spread(links, by_host.filter("allowed = n"), "src", "dst", rounds)
-    distrust = spread(links, by_host.filter("allowed = 0"), "dst", "src", rounds)
+    trust = spread(links, by_host.filter("allowed = n"), "src", "dst")
+    distrust = spread(links, by_host.filter("allowed = 0"), "dst", "src")
     scores = (
         trust.withColumnRenamed("score", "trust")
         .join(distrust.withColumnRenamed("score", "distrust"), "host", "full")

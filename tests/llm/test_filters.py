@@ -135,6 +135,33 @@ def test_url_rules_and_trust(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_distrust_walks_until_nothing_changes(spark):
+    """A chain of 12 hosts to a blocked one, and a cycle whose scores rise for far more than 8 rounds."""
+    chain = ["bad.com/de/"] + [f"h{k}.net/" for k in range(1, 14)]
+    links = {chain[k]: [chain[k - 1]] for k in range(1, len(chain))}
+    links |= {"c0.net/": ["c1.net/"], "c1.net/": ["c2.net/"], "c2.net/": ["c0.net/", "worse.com/de/"], "worse.com/de/": []}
+    rows = [
+        (k, f"http://{url}", "".join(f'<a href="http://{to}">x</a>' for to in links.get(url, ())))
+        for k, url in enumerate(dict.fromkeys([*chain, *links]))
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.host: r for r in url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).collect()}
+    assert len(found) == len(rows)
+    edges = [(url.split("/")[0], to.split("/")[0]) for url, out in links.items() for to in out]
+    into = [to for _, to in edges]
+    start = {host: 150_000_000 * (host in ("bad.com", "worse.com")) for host in found}
+    score, rounds = None, 0
+    after = start
+    while after != score:
+        score, after, rounds = after, dict(start), rounds + 1
+        for src, dst in edges:
+            after[src] += score[dst] // into.count(dst) * 85 // 100
+    assert rounds > 20
+    assert {host: r.distrust for host, r in found.items()} == score
+    verdicts = {host: r.verdict for host, r in found.items()}
+    assert [verdicts[f"h{k}.net"] for k in range(1, 14)] == ["block"] * 12 + ["allow"]
+
+
 def test_mix_meets_its_targets(spark):
     rng = np.random.default_rng(3)
     rows = [(k, "w " * int(rng.integers(1, 60)), None, [None, "a", "b", "c"][k % 4]) for k in range(2000)]
