@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,7 +100,11 @@ def _digest(own: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per document ``doc_id, n, digest, profile`` of its set, its first shingles as ``prefix``, and ``central``."""
+    """Per document ``doc_id, n, digest, profile`` of its set, its first shingles as ``prefix``, and ``central``.
+
+    Columns of ``docs`` beside ``doc_id`` and ``text`` are passed on.
+    """
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, words))
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +129,16 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     list_column(np.concatenate(first), ends, pa.int64()),
                     pa.array(central, pa.int32()),
                     pa.array(profiles, pa.binary()),
+                    *block.columns[2:],
                 ],
-                ["doc_id", "n", "digest", "prefix", "central", "profile"],
+                ["doc_id", "n", "digest", "prefix", "central", "profile", *more],
             )
 
     schema = T.StructType([docs.schema["doc_id"]]).add("n", "long").add("digest", "binary")
     schema = schema.add("prefix", T.ArrayType(T.LongType())).add("central", "integer").add("profile", "binary")
-    return docs.select("doc_id", "text").mapInArrow(blocks, schema)
+    for name in more:
+        schema = schema.add(docs.schema[name])
+    return docs.select("doc_id", "text", *more).mapInArrow(blocks, schema)
 
 
 def partners(profiles: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -374,17 +381,12 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
     return found.union(spokes).union(_joined(grid, ["pivot", "i", "j"], percent, partitions))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, digest``.
+def _classified(docs: DataFrame, words: int, percent: int, name: Column) -> DataFrame:
+    """Per document ``doc_id, n, digest``, the columns beside its text, and ``least``, the smallest ``name`` linked to it.
 
-    Documents link when their sets of ``words``-word shingles have a Jaccard
-    similarity of ``percent`` or more; ``component_id`` is the smallest
-    ``doc_id`` reachable by links. Texts without words have no shingle and link
-    with nothing. A null ``doc_id`` never names a component that has another
-    one. Repeated ids may stand for different texts. Columns beside ``doc_id``
-    and ``text`` are not read; an empty table gives no rows.
+    ``least`` is null where the text has no words.
     """
-    docs = docs.select("doc_id", "text")
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
     held = stored(prefixes(docs, words, percent), "prefixes")
     nodes = (
         held.filter("n > 0")
@@ -395,32 +397,53 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             F.first("prefix").alias("prefix"),
             F.first("central").alias("central"),
             F.first("profile").alias("profile"),
+            F.min(name).alias("name"),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = stored(nodes, "nodes")
     joined = components(links(docs, nodes, words, percent))
     named = nodes.join(joined, "node", "left").select(
-        "digest", "doc_id", F.coalesce("component", "node").alias("component")
+        "digest", "name", F.coalesce("component", "node").alias("component")
     )
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = stored(named.join(least, "component").select("digest", "component_id"), "classes")
-    found = held.select("doc_id", "n", "digest").join(classes, "digest", "left")
+    least = named.groupBy("component").agg(F.min("name").alias("least"))
+    classes = stored(named.join(least, "component").select("digest", "least"), "classes")
+    return held.select("doc_id", "n", "digest", *more).join(classes, "digest", "left")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, digest``.
+
+    Documents link when their sets of ``words``-word shingles have a Jaccard
+    similarity of ``percent`` or more; ``component_id`` is the smallest
+    ``doc_id`` reachable by links. Texts without words have no shingle and link
+    with nothing. A null ``doc_id`` never names a component that has another
+    one. Repeated ids may stand for different texts. Columns beside ``doc_id``
+    and ``text`` are not read; an empty table gives no rows.
+    """
+    found = _classified(docs.select("doc_id", "text"), words, percent, F.col("doc_id"))
     return found.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
         "digest",
     )
 
 
 def keep_distinct(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but for the near duplicates of a smaller ``doc_id``, with all their columns.
+    """The rows of ``docs`` that are the first of their near duplicates, with all their columns.
 
-    Rows that share a ``doc_id`` stand or fall together.
+    First is the smallest ``doc_id``, null after all others, then the smallest
+    SHA-256 of the text. Ids may be null or stand for several texts. Only rows
+    that share both ``doc_id`` and text stand or fall together; ``keep_exact``
+    leaves one of them.
     """
-    found = near_duplicates(docs, words, percent)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc_id"))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")
+    found = _classified(docs.select("doc_id", "text", sha.alias("sha")), words, percent, name)
+    gone = found.filter((F.col("n") > 0) & (name != F.col("least")))
+    gone = gone.select(F.col("doc_id").alias("_doc_id"), F.col("sha").alias("_sha"))
     gone = stored(gone.distinct(), "near-duplicates")
-    own = packed(docs, "doc_id")
-    return own.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_anti").select("row.*")
+    own = packed(docs, "doc_id", sha.alias("sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("sha") == F.col("_sha"))
+    return own.join(gone, same, "left_anti").select("row.*")

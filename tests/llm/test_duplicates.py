@@ -69,6 +69,28 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, limits, size, per
         assert plain((r.doc_id,) for r in kept.collect()) == plain((r[0],) for r in rows if r[0] not in gone)
 
 
+def test_keep_distinct_with_null_and_repeated_ids(spark):
+    words = PROSE.split()
+
+    def edited(k):
+        return " ".join([*words[:k], f"edit{k}", *words[k + 1 :]])
+
+    def clean(k):
+        return " ".join(f"own{k}word{i}" for i in range(30))
+
+    near = [(5, edited(1)), (None, edited(2)), (None, edited(3)), (6, edited(4)), (6, edited(5))]
+    lonely = [(None, clean(1)), (None, clean(2)), (6, clean(3)), (None, ""), (None, None)]
+    # groups without an id, and of one id alone
+    null_group = [(None, f"{clean(4)} end{k}") for k in range(3)]
+    same_group = [(7, f"{clean(5)} end{k}") for k in range(3)]
+    # equal sets, different texts
+    cased = [(None, clean(6)), (None, clean(6).upper())]
+    rows = [(*r, "en", "a") for r in near + lonely + null_group + same_group + cased]
+    kept = plain((r.doc_id, r.text) for r in jaccard_join.keep_distinct(crowded(frame(spark, rows)), 5, 80).collect())
+    first = [min(group, key=lambda r: hashlib.sha256(r[1].encode()).hexdigest()) for group in (null_group, same_group, cased)]
+    assert kept == plain([near[0], *lonely, *first])
+
+
 def test_near_duplicates_without_rows_or_links(spark):
     assert jaccard_join.near_duplicates(frame(spark, [])).count() == 0
     rows = [(k, f"a{k} b{k} c{k} d{k} e{k} f{k}", "en", "a") for k in range(5)]
