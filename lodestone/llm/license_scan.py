@@ -3,11 +3,14 @@
 Canonical form: lower case, copyright lines gone, equivalent spellings made one,
 punctuation and runs of white space turned to single spaces. A licence is found
 where a whole unit has its digest: the text, one of its paragraphs or one of its
-lines. Column functions only.
+lines, and where its paragraphs follow each other. Column functions only.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +59,33 @@ KNOWN = (
 #: Lines that only say who holds the rights.
 COPYRIGHT_LINE = "(^|\\n)[ \\t]*[#/*;%-]*[ \\t]*(copyright|\\(c\\)|©)[^\\n]*[0-9]{4}[^\\n]*"
 
+#: The same without a year, told from prose by its sign or its blanks to fill in.
+HOLDER_LINE = (
+    "(^|\\n)[ \\t]*[#/*;%-]*[ \\t]*(copyright[ \\t]*(\\(c\\)|©|<|\\[|\\{)|\\(c\\)[ \\t]*copyright|©)[^\\n]*"
+)
+
+#: Where the terms of a licence end and advice on its use begins.
+TERMS_END = re.compile(r"(?m)^[ \t]*(END OF TERMS AND CONDITIONS|Exhibit A - Form of Source Code|EXHIBIT A)")
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Licence id and text of the files in ``licenses``, with and without what follows their terms.
+
+    What a file's name has after ``+`` tells texts of one licence apart.
+    """
+    found = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text, name = path.read_text("utf-8"), path.stem.split("+")[0]
+        found.append((name, text))
+        if end := TERMS_END.search(text):
+            found += [(name, text[: end.start()]), (name, text[: end.end()])]
+    return found
+
 
 def tidy(text: Column) -> Column:
     """The canonical form but for white space, so that lines and paragraphs still show."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "$1")
+    out = F.regexp_replace(out, HOLDER_LINE, "$1")
     for spelling, used in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(used))
     return F.regexp_replace(out, "[^\\p{L}\\p{N}\\n]+", " ")
@@ -69,41 +95,75 @@ def canonical(unit: Column) -> Column:
     return F.trim(F.regexp_replace(unit, "[ \\n]+", " "))
 
 
+def paragraphs(t: Column) -> Column:
+    """Canonical forms of the paragraphs of a tidy text, without empty ones."""
+    return F.filter(F.transform(F.split(t, "\\n *\\n"), canonical), lambda p: p != "")
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``row`` and, one by one, the distinct canonical units of the text.
+    """``doc_id``, ``row`` and, one by one, the canonical units of the text.
 
-    ``unit`` is the widest that a canonical form is: text, paragraph or line.
+    ``kind`` is 0 for the text, 1 for a paragraph and 2 for a line; ``place``
+    counts the paragraphs.
     """
     step = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), tidy(F.col("text")).alias("t"))
 
-    def named(kind: int, parts: Column) -> Column:
-        return F.transform(parts, lambda p: F.struct(canonical(p).alias("form"), F.lit(kind).alias("kind")))
+    def named(kind: int, forms: Column) -> Column:
+        return F.transform(
+            forms, lambda p, i: F.struct(p.alias("form"), F.lit(kind).alias("kind"), i.alias("place"))
+        )
 
     every = F.concat(
-        named(0, F.array("t")), named(1, F.split("t", "\\n *\\n")), named(2, F.split("t", "\\n"))
+        named(0, F.array(canonical(F.col("t")))),
+        named(1, paragraphs(F.col("t"))),
+        named(2, F.transform(F.split("t", "\n"), canonical)),
     )
     return step.select("doc_id", "row", F.explode(every).alias("u")).select("doc_id", "row", "u.*").filter("form <> ''")
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``license_id`` and ``digest`` of licence texts given as pairs."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(tidy(F.col("text"))), 256).alias("digest")).distinct()
+    """Digests of licence texts, given as pairs or as a table of ``license_id`` and ``text``.
+
+    ``license_id, digest, whole, at, size``: of every text its own digest, without
+    ``at``, and where it has several paragraphs (``size``) those of each, ``at`` its place.
+    """
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license_id string, text string")
+    rows = rows.select("license_id", tidy(F.col("text")).alias("t"))
+    forms = rows.select("license_id", F.sha2(canonical(F.col("t")), 256).alias("own"), paragraphs(F.col("t")).alias("p"))
+    own = F.array(F.struct(F.col("own").alias("digest"), F.lit(None).cast("int").alias("at"), F.lit(1).alias("size")))
+    parts = F.transform("p", lambda p, i: F.struct(F.sha2(p, 256).alias("digest"), i.alias("at"), F.size("p").alias("size")))
+    every = F.explode(F.when(F.size("p") > 1, F.concat(own, parts)).otherwise(own)).alias("u")
+    # one form may be cut into paragraphs in several ways
+    cut = F.sha2(F.array_join("p", "\n"), 256)
+    return (
+        forms.select("license_id", cut.alias("cut"), every)
+        .select("license_id", "u.digest", F.when(F.col("u.at").isNotNull(), F.col("cut")).alias("whole"), "u.at", "u.size")
+        .distinct()
+    )
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """One row per document and licence found in it: ``doc_id, license_id, unit, matches``.
 
-    ``unit`` is the widest one that matched: text, paragraph or line; ``matches``
-    counts matching lines, or 1 where only a wider unit matched. Null and empty
-    texts match nothing; repeated rows are reported each.
+    ``unit`` is the widest one that matched: text, paragraph (one, or all of a
+    licence in a row) or line; ``matches`` counts matching lines, or 1 where only
+    a wider unit matched. Null and empty texts match nothing; repeated rows are
+    reported each.
     """
     digest = units(docs.select("doc_id", "text")).withColumn("digest", F.sha2("form", 256))
     side = F.broadcast(known) if has_at_most(known, SENT_DIGESTS) else known
-    found = digest.join(side, "digest").groupBy("row", "license_id").agg(
+    hits = digest.join(side, "digest").filter("at IS NULL OR kind = 1")
+    # the paragraphs of one licence text in one run have the same difference of places
+    runs = hits.groupBy("row", "license_id", "whole", (F.col("place") - F.col("at")).alias("start"), "size").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.min("kind").alias("kind"),
+        F.count_if(F.col("kind") == 2).alias("lines"),
+        F.count("*").alias("n"),
+    )
+    found = runs.filter("whole IS NULL OR n = size").groupBy("row", "license_id").agg(
         F.first("doc_id").alias("doc_id"),
         F.min("kind").alias("kind"),
-        F.greatest(F.count_if(F.col("kind") == 2), F.lit(1)).alias("matches"),
+        F.greatest(F.sum("lines"), F.lit(1)).alias("matches"),
     )
     unit = F.element_at(F.array(F.lit("text"), F.lit("paragraph"), F.lit("line")), F.col("kind") + 1)
     return found.select("doc_id", "license_id", unit.alias("unit"), "matches")

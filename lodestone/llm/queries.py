@@ -191,7 +191,7 @@ def _license_sql() -> str:
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence texts and notices in every document."""
     docs = texts(table(spark, folder, "documents"))
-    return license_scan.scan(docs, license_scan.known_digests(spark))
+    return license_scan.scan(docs, license_scan.known_digests(spark, [*license_scan.KNOWN, *license_scan.whole_texts()]))
 
 
 @registered(

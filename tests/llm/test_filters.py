@@ -99,6 +99,33 @@ def test_licenses_by_canonical_text(spark):
     assert license_scan.scan(frame(spark, []), known).count() == 0
 
 
+def test_whole_licenses_in_longer_texts(spark):
+    mit, texts = license_scan.MIT, dict(reversed(license_scan.whole_texts()))
+    first, *rest = mit.split("\n\n")
+    rows = [(name, text) for name, text in texts.items()]
+    rows += [
+        ("in", "A readme.\n\n" + mit + "\n\nMore prose."),
+        ("twice", mit + "\n\nand\n\n\n\n" + mit),
+        ("torn", "\n\n".join(["prose", first, "between", *rest])),
+        ("turned", "\n\n".join(["prose", *rest, first])),
+        ("holders", "Copyright (c) <year> <holders>\n\n" + mit),
+        ("sign", "# © Some Company\n# Copyright [yyyy] [name]\n\n" + mit),
+        ("prose", "copyright holders and others\n\n" + mit),
+    ]
+    docs = frame(spark, [(k, text, None, None) for k, (_, text) in enumerate(rows)])
+    known = license_scan.known_digests(spark, [*license_scan.KNOWN, *license_scan.whole_texts()])
+    found = {(rows[r.doc_id][0], r.license_id): r.unit for r in license_scan.scan(crowded(docs), known).collect()}
+    assert {(name, name): found.get((name, name)) for name in texts} == {(name, name): "text" for name in texts}
+    assert {name: unit for (name, _), unit in found.items() if name not in texts} == {
+        "in": "paragraph", "twice": "paragraph", "holders": "text", "sign": "text", "prose": "paragraph"
+    }
+    table = spark.createDataFrame([("own", "one\n\ntwo")], "license_id string, text string")
+    held = frame(spark, [(1, "zero\n\none\n\ntwo", None, None), (2, "two\n\none", None, None)])
+    assert list(map(tuple, license_scan.scan(held, license_scan.known_digests(spark, table)).collect())) == [
+        (1, "own", "paragraph", 1)
+    ]
+
+
 def test_url_rules_and_trust(spark):
     def page(url, *links):
         return (url, "".join(f'<a href="{link}">x</a>' for link in links))
