@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, id_files, jaccard_join, language_id, license_scan, mixing, quality, substring_dedup, url_filter
+from lodestone.llm import bpe, decontaminate, exact_dedup, filter_audit, id_files, jaccard_join, language_id, license_scan, mixing, quality, substring_dedup, url_filter
 from lodestone.llm.tables import ORACLE, QUERIES, registered, table, texts  # noqa: F401
 from lodestone.session import scratch_path
 
@@ -228,3 +228,82 @@ def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The component of near duplicates of every document."""
     found = jaccard_join.near_duplicates(texts(table(spark, folder, "documents")), 4, 85)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@registered(
+    f"""
+    WITH own AS (SELECT row_number() OVER () AS row_, doc_id, {_ITEM_WORDS.format("text")} AS w FROM documents),
+    item AS (SELECT item_id, w, least(len(w), {decontaminate.WINDOW}) AS size
+             FROM (SELECT item_id, {_ITEM_WORDS.format("text")} AS w FROM benchmark) WHERE len(w) > 0),
+    known AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS form
+              FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM item)),
+    lengths AS (SELECT DISTINCT size FROM known),
+    win AS (SELECT row_, size, i, array_to_string(w[i:i + size - 1], ' ') AS form
+            FROM (SELECT row_, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM own, lengths)),
+    hit AS (SELECT row_, i, win.size, item_id FROM win JOIN known USING (size, form)),
+    cov AS (SELECT row_, count(DISTINCT i + k) AS n FROM hit, range({decontaminate.WINDOW}) AS r(k) WHERE k < size GROUP BY row_),
+    its AS (SELECT row_, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT row_, item_id::VARCHAR AS id FROM hit) GROUP BY row_)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+           sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
+    FROM own LEFT JOIN cov USING (row_) LEFT JOIN its USING (row_)
+    """
+)
+def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie inside windows of test items, and the items."""
+    items = table(spark, folder, "benchmark").select("item_id", "text")
+    found = decontaminate.scan(texts(table(spark, folder, "documents")), items)
+    ids = F.sort_array(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@registered(
+    r"""
+    WITH own AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                        regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+    marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    fails AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+                     [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                      100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+                      regexp_matches(text, '[#$%&*|]'),
+                      coalesce(o.doc_id > min(o.doc_id) OVER (PARTITION BY text), false)] AS f
+              FROM own o LEFT JOIN marks m ON o.doc_id = m.doc_id),
+    classes AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, f),
+    letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+               FROM letter a, letter b, letter c, letter d, letter e
+               WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps AS (SELECT filter_order, step, strpos('ABCDE', filter_order[step]) AS own,
+                     [strpos('ABCDE', filter_order[j]) FOR j IN range(1, step)] AS earlier
+              FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+    per AS (SELECT part, filter_order, step, own, n, good, toxic, f[own] AS fails,
+                   len([j FOR j IN earlier IF f[j]]) > 0 AS gone,
+                   f[own] AND len([x FOR x IN f IF x]) = 1 AS alone
+            FROM classes, steps),
+    counts AS (SELECT part, filter_order, step, own,
+                      coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0)::BIGINT AS kept,
+                      coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS removed,
+                      coalesce(sum(n) FILTER (WHERE gone AND fails), 0)::BIGINT AS redundant,
+                      coalesce(sum(n) FILTER (WHERE alone), 0)::BIGINT AS unique_fails,
+                      coalesce(sum(good) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS good_lost,
+                      coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS toxic_lost
+               FROM per GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+    FROM counts
+    """
+)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from every source at every place of every order."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, folder, "labels").select("doc_id", "quality", "toxic"))
