@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, exact_dedup, filter_audit, id_files, jaccard_join, language_id, license_scan, mixing, quality, substring_dedup, url_filter
-from lodestone.llm.tables import ORACLE, QUERIES, registered, table, texts  # noqa: F401
+from lodestone.llm import alignment, bpe, decontaminate, exact_dedup, filter_audit, id_files, jaccard_join, language_id, license_scan, mixing, quality, substring_dedup, url_filter
+from lodestone.llm.tables import ORACLE, QUERIES, registered, stored, table, texts  # noqa: F401
 from lodestone.session import scratch_path
 
 
@@ -270,7 +270,8 @@ def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @registered(
     r"""
     WITH own AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
-                        regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+                        regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
     marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
     fails AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
                      [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
@@ -307,3 +308,14 @@ def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters remove from every source at every place of every order."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return filter_audit.audit(docs, table(spark, folder, "labels").select("doc_id", "quality", "toxic"))
+
+
+@registered()
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document, and how common its links are in the corpus."""
+    path_a, path_b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(texts(table(spark, folder, "documents")), path_a, path_b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = stored(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    weighed = alignment.weigh(found, alignment.pair_counts(found))
+    return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
