@@ -48,11 +48,12 @@ def plainly(libraries, text):
         return out
 
     a_at, b_at = ranges(bytes_a), ranges(bytes_b)
-    groups, low = [], 0
+    groups, i, j = [], 0, 0
     for cut in sorted({e for _, e in a_at} & {e for _, e in b_at}):
-        inside = [",".join(str(i) for i, (_, e) in zip(ids, at) if low < e <= cut) for ids, at in ((a, a_at), (b, b_at))]
-        groups.append("|".join(inside))
-        low = cut
+        past_i = next(k for k in range(i, len(a)) if a_at[k][1] == cut) + 1
+        past_j = next(k for k in range(j, len(b)) if b_at[k][1] == cut) + 1
+        groups.append(",".join(map(str, a[i:past_i])) + "|" + ",".join(map(str, b[j:past_j])))
+        i, j = past_i, past_j
     links, first_b = Counter(), 0
     for i, (s, e) in zip(a, a_at):
         while b_at[first_b][1] <= s:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import chunks as C
 from lodestone.operators import lines as L
+from lodestone.operators import packing
 
 
 def units_of(text, cap, boundary=None):
@@ -160,16 +162,84 @@ def test_global_numbers(spark):
     assert [(r.path, r.chunk_number) for r in ordered] == sorted(rows)
 
 
+def shape(df):
+    return sorted((r.path, r.chunk_number, r.chunk) for r in df.collect())
+
+
 def test_logs_by_rows(spark):
     log = "\n".join("an error" if i % 9 == 0 else f"line {i}" for i in range(400))
     lines = L.explode_lines(spark.createDataFrame([("a", log), ("b", "error")], "path string, text string"), "text", ["path"])
     context = L.error_context(L.drop_noise(lines, "path"), "path")
     whole = spark.createDataFrame([("a", "log", log), ("b", "log", "error")], "path string, language string, text string")
-    one = C.chunk_log(context, "path", [], 100, 20)
-    shape = lambda df: sorted((r.path, r.chunk_number, r.chunk) for r in df.collect())
-    assert shape(one) == shape(C.chunk_files(whole, ["path"], 100, 20))
-    found = shape(C.chunk_log(context, "path", [], 100, 20, hits_per_part=50))
-    assert [n for p, n, _ in found if p == "a"] == list(range(len(found) - 1))
-    assert all(len(c) <= 100 for _, _, c in found)
-    whole_lines = {x for _, _, c in shape(one) for x in c.split("\n")}
-    assert {x for _, _, c in found for x in c.split("\n")} == whole_lines
+    wanted = shape(C.chunk_files(whole, ["path"], 100, 20))
+    assert shape(C.chunk_log(context, "path", [], 100, 20)) == wanted
+    assert shape(C.chunk_log(context, "path", [], 100, 20, slice_chars=1)) == wanted
+
+
+def test_long_logs_by_rows(spark):
+    """Beyond line 4,096, in many slices and in groups of slices."""
+    log = "\n".join(("an error " if i % 5 == 0 else "line ") + "x" * (i * i % 83) + f" {i}" for i in range(9000))
+    whole = spark.createDataFrame([("a", "log", log)], "path string, language string, text string")
+    lines = L.explode_lines(whole, "text", ["path"])
+    context = L.error_context(L.drop_noise(lines, "path"), "path")
+    by_value = shape(C.chunk_files(whole, ["path"]))
+    assert len(by_value) > 500
+    assert shape(C.chunk_log(context, "path", [])) == by_value
+    assert shape(C.chunk_log(context, "path", [], slice_chars=1)) == by_value
+
+
+def rows_of(spark, texts, languages=None):
+    rows = [
+        (name, None if languages is None else languages[k], n, line)
+        for k, (name, text) in enumerate(texts)
+        for n, line in enumerate(re.findall(C.LINE, text))
+    ]
+    return spark.createDataFrame(rows, "path string, language string, n int, line string")
+
+
+@pytest.mark.parametrize("cap,overlap", [(40, 12), (64, 63), (50, 0), (7, 3)])
+def test_texts_by_rows(spark, cap, overlap, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 3)
+    rng = random.Random(cap)
+    letters = "ab c.\n\n!? é"
+    texts = [("t%02d" % k, "".join(rng.choice(letters) for _ in range(rng.choice([0, 5, 300, 4000])))) for k in range(12)]
+    texts += [("w%02d" % k, t * 3) for k, t in enumerate(TEXTS)]
+    rows = rows_of(spark, texts)
+    found = shape(C.chunk_rows(rows, "path", ["n"], F.floor(F.col("n") / 50), [], cap, overlap, slice_chars=1))
+    assert found == [(name, n, c) for name, t in sorted(texts) for n, c in enumerate(wanted(t, cap, overlap))]
+
+
+SOURCES = {
+    "rust": "use a;\n\nfn one() {\n    body();\n}\n\npub fn two() {\n    body();\n}\nstruct S;\n",
+    "python": "import x\ndef f():\n  pass\n@d\nclass A:\n  def g(self): pass\n",
+    "c": "#include <a>\nint main(void)\n{\n  return f(1);\n}\nstatic int x;\r\nint g(int a,\n int b) {\n}\n",
+    "go": "package m\nfunc A() {}\rfunc B() {}\ntype T struct{}\n" + "// " + "word " * 60 + "\n",
+}
+
+
+@pytest.mark.parametrize("cap,overlap", [(45, 9), (80, 40), (200, 20)])
+def test_code_by_rows(spark, cap, overlap, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 4)
+    rng = random.Random(cap)
+    texts, languages = [], []
+    for k in range(16):
+        language = list(SOURCES)[k % 4]
+        lines = re.findall(C.LINE, SOURCES[language])
+        # stretches without any declaration are longer than a chunk, blocks often shorter
+        picked = [rng.choice(lines) if rng.random() < 0.7 else "  plain text here\n" * rng.randrange(6) for _ in range(150)]
+        texts.append(("f%02d" % k, "".join(picked)))
+        languages.append(language)
+    whole = spark.createDataFrame(
+        [(name, language, text) for (name, text), language in zip(texts, languages)], "path string, language string, text string"
+    )
+    boundary = C.declaration_start(F.col("language"))
+    rows = rows_of(spark, texts, languages)
+    found = C.chunk_rows(rows, "path", ["n"], F.floor(F.col("n") / 50), [], cap, overlap, boundary, slice_chars=1)
+    assert shape(found) == shape(C.chunk_code(whole, keep=["path"], cap=cap, overlap=overlap))
+
+
+def test_rows_without_a_file(spark):
+    rows = rows_of(spark, [])
+    assert C.chunk_rows(rows, "path", ["n"], F.lit(0)).count() == 0
+    one = spark.createDataFrame([(None, 0, "a line\n")], "path string, n int, line string")
+    assert [tuple(r) for r in C.chunk_rows(one, "path", ["n"], F.lit(0)).collect()] == [(None, 0, "a line")]
