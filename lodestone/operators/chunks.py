@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import trim_space
 from lodestone.operators.joins import join_same
 from lodestone.operators.lines import error_text
-from lodestone.operators.ordering import running_offsets, running_total
+from lodestone.operators.ordering import running_total
+from lodestone.operators.packing import pack_pieces
 from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE
 
 LINE = r"[^\n]*\n|[^\n]+"
 SENTENCE = r"(?s).+?(?:[.!?]+[ \t\r\n]+|\z)"
 WORD = r"[^ \t\r\n]+[ \t\r\n]*|[ \t\r\n]+"
 
-# Line numbers of hits whose context one task packs at a time.
-HITS_PER_PART = 4096
+# Line numbers of hits whose context one task sorts at a time.
+HITS_PER_SORT = 4096
 
 # Where a declaration starts, by language: the text is cut before each match.
 DECLARATIONS = {
@@ -227,36 +228,70 @@ def chunk_lines(
     return _chunk_units(df, line_units(lines, cap), cap, overlap, keep)
 
 
+def chunk_rows(
+    rows: DataFrame,
+    file: str,
+    order: Sequence[str],
+    slice_by: Column,
+    keep: Sequence[str] = (),
+    cap: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    boundary: Column | None = None,
+    slice_chars: int | None = None,
+) -> DataFrame:
+    """Chunks of files given as rows ``line`` (with its line feed) in the order of ``order``.
+
+    The chunks are those of the whole text, however long it is: no task holds
+    more than a slice of it. ``slice_by`` bounds what one task sorts (see
+    ``running_total``). ``boundary`` is as in ``text_units``, per row.
+    """
+    _check(cap, overlap)
+    whole = F.array(F.col("line"))
+    if boundary is None:
+        blocks, opens = whole, F.lit(None).cast("boolean")
+    else:
+        blocks = F.when(
+            boundary.isNotNull(), F.filter(F.split("line", boundary, -1), lambda u: u != "")
+        ).otherwise(whole)
+        # rows begin where lines do, so the first part opens a block only if a declaration is there
+        opens = F.when(boundary.isNotNull(), F.regexp_like("line", F.concat(F.lit("\\A"), boundary)))
+    cut = rows.select(file, *keep, *order, slice_by.alias("_part"), "line", blocks.alias("_blocks"), opens.alias("_opens"))
+    parts = F.transform(
+        "_blocks",
+        lambda block, i: F.transform(
+            _within(F.array(block), cap), lambda u, k: F.struct(u.alias("u"), i.alias("i"), k.alias("k"))
+        ),
+    )
+    laid = cut.select(file, *keep, *order, "_part", "_opens", F.posexplode(F.flatten(parts)).alias("_at", "_unit"))
+    first = F.col("_unit.k") == 0
+    laid = laid.select(
+        file,
+        *keep,
+        *order,
+        "_part",
+        "_at",
+        F.col("_unit.u").alias("_piece"),
+        F.when(F.col("_opens").isNotNull(), first & (F.col("_opens") | (F.col("_unit.i") > 0))).alias("_opens"),
+    )
+    placed = running_total(laid, [file], [*order, "_at"], F.col("_part"), F.length("_piece"), "_start")
+    return pack_pieces(placed, file, keep, cap, overlap, slice_chars)
+
+
 def chunk_log(
     context: DataFrame,
     file: str = "path",
     keep: Sequence[str] = (),
     cap: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
-    hits_per_part: int = HITS_PER_PART,
+    slice_chars: int | None = None,
 ) -> DataFrame:
     """Chunks of log context given as rows ``hit_n, n, line`` of any number of files.
 
-    A file's context is cut after every ``hits_per_part`` line numbers of hits,
-    and each part is packed on its own, so that no task holds all of a huge
-    log. Chunks are numbered through the file. Files within one part get the
-    chunks their whole text would get.
+    They are the chunks of each file's whole context, whatever its length.
     """
-    _check(cap, overlap)
-    part = F.floor(F.col("hit_n") / hits_per_part)
-    lines = F.sort_array(F.collect_list(F.struct("hit_n", "n", "line")))
-    parts = (
-        context.withColumn("_part", part)
-        .groupBy(file, *keep, "_part")
-        .agg(F.transform(lines, lambda x: x["line"]).alias("_lines"))
-    )
-    packed = _chunk_units(
-        parts, line_units(F.col("_lines"), cap), cap, overlap, [file, *keep, "_part"]
-    ).withColumnRenamed("chunk_number", "_inside")
-    before = running_offsets(packed, [file], F.col("_part"), F.lit(1))
-    numbered = join_same(packed.withColumnRenamed("_part", "_slice"), before, [file, "_slice"])
-    number = (F.col("_before") + F.col("_inside")).cast("int")
-    return numbered.select(file, *keep, number.alias("chunk_number"), "chunk")
+    rows = context.withColumn("line", F.concat("line", F.lit("\n")))
+    part = F.floor(F.col("hit_n") / HITS_PER_SORT)
+    return chunk_rows(rows, file, ["hit_n", "n"], part, keep, cap, overlap, slice_chars=slice_chars)
 
 
 def chunk_files(

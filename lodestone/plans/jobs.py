@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from lodestone.operators import ivf
 from lodestone.operators import prompts as P
 from lodestone.operators import retrieve as R
-from lodestone.operators.chunks import chunk_files, chunk_log, number_chunks
+from lodestone.operators.blocks import blocks_of, numbered_rows, search_blocks, text_rows, text_totals
+from lodestone.operators.chunks import chunk_files, chunk_log, chunk_rows, declaration_start, number_chunks
 from lodestone.operators.embedding import Embedder, checked_width, embed_column, load_time
 from lodestone.operators.generation import Generator, checked_json, generate, parse_reply, reply_text
 from lodestone.operators.lines import drop_noise, error_context, explode_lines
-from lodestone.operators.merge import INSERT_KEYS, new_rows
-from lodestone.operators.postings import corpus_stats, keyword_search, postings, term_stats
+from lodestone.operators.merge import INSERT_KEYS, UPSERT_KEYS, new_rows
+from lodestone.operators.merge import upsert as merged
 from lodestone.schema import (
     CHUNK_OVERLAP,
     CHUNK_SIZE,
@@ -29,31 +30,40 @@ from lodestone.schema import (
     SAMPLE_RATE,
     vector_table,
 )
-from lodestone.session import checkpointed
-from lodestone.sources.files import name_pattern, read_files, read_lines, spread
-from lodestone.sources.tables import create_table, fitted, open_table
+from lodestone.session import checkpointed, stored
+from lodestone.sources.files import name_pattern, read_ended_lines, read_files, read_lines, spread
+from lodestone.sources.tables import create_table, fitted, open_parts, open_table, publish, published
 
 KEY = list(R.LINE_KEY)
 
 
+#: Bytes up to which a text or code file is split as one value; a larger one is split by rows, into the same chunks.
+WHOLE_BYTES = 4 << 20
+
+
 def chunk_folder(
     spark: SparkSession,
     path: str,
     cap: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     strict: bool = True,
+    whole_bytes: int = WHOLE_BYTES,
 ) -> DataFrame:
     """Chunks of all files below a path: ``path, metadata, chunk_number, chunk``.
 
-    Logs may be far larger than one value can be and are read by lines; text
-    and code files are read whole.
+    No file needs to fit in a task: logs and large files are read by lines.
     """
-    whole = sorted(set(LANGUAGES.values()) - {"log"})
-    files = spread(read_files(spark, path, strict, whole))
+    others = sorted(set(LANGUAGES.values()) - {"log"})
+    files = spread(read_files(spark, path, strict, others, whole_bytes))
+    chunks = chunk_files(files, ["path", "metadata"], cap, overlap)
+    large = read_ended_lines(spark, path, others, whole_bytes, strict)
+    order, boundary = ["block", "row"], declaration_start(F.col("language"))
+    chunks = chunks.unionByName(
+        chunk_rows(large, "path", order, F.col("block"), ["metadata"], cap, overlap, boundary)
+    )
     lines = read_lines(spark, path, name_pattern(["log"]), strict)
-    numbered = drop_noise(lines, "path", ["block", "row"], F.col("block"))
-    logs = chunk_log(error_context(numbered, "path"), "path", ["metadata"], cap, overlap)
-    return chunk_files(files, ["path", "metadata"], cap, overlap).unionByName(logs)
+    numbered = drop_noise(lines, "path", order, F.col("block"))
+    return chunks.unionByName(chunk_log(error_context(numbered, "path"), "path", ["metadata"], cap, overlap))
 
 
 def vector_rows(
@@ -71,26 +81,21 @@ def vector_rows(
     return fitted(checked_width(made, embedder.dimension), vector_table())
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Where one loaded table and its indexes are kept."""
+LINES, CENTROIDS, RANGES, NUMBERS = "lines", "centroids", "ranges", "numbers"
+INDEXED = ("metadata", "content")
+
 
-    target: str
+def blocks_name(column: str) -> str:
+    return f"words_{column}/blocks"
 
-    @property
-    def lines(self) -> str:
-        return f"{self.target}/lines"
 
-    @property
-    def centroids(self) -> str:
-        return f"{self.target}/centroids"
+def totals_name(column: str) -> str:
+    return f"words_{column}/totals"
 
-    @property
-    def ranges(self) -> str:
-        return f"{self.target}/ranges"
 
-    def words(self, column: str) -> str:
-        return f"{self.target}/words_{column}"
+def _new_part(target: str) -> str:
+    """A fresh folder of a table; nothing reads it before it is published."""
+    return f"{target}/parts/{uuid.uuid4().hex}"
 
 
 def load(
@@ -108,92 +113,124 @@ def load(
     searchable table that replaces what the target held; returns the table.
 
     Chunks are stored before they are numbered and embedded: both steps read
-    them, and a lost executor must not repeat the splitting.
+    them, and a lost executor must not repeat the splitting. The new table with
+    all its indexes takes the place of the old one in one step at the end; a load
+    that fails leaves the old one as it was.
     """
     if isinstance(source, str):
         chunks = chunk_folder(spark, source, chunk_size, overlap, strict)
     else:
         chunks = chunk_files(source, ["path", "metadata"], chunk_size, overlap)
-    chunks = checkpointed(chunks)
-    layout = Layout(target)
-    rows = checkpointed(vector_rows(chunks, embedder, tasks=tasks))
-    index_vectors(spark, rows, layout, partitions)
-    table = open_lines(spark, target)
-    for column in ("metadata", "content"):
-        index_words(spark, table, layout, column)
-    return table
-
-
-def index_vectors(
-    spark: SparkSession, rows: DataFrame, layout: Layout, partitions: int = PARTITIONS
-) -> None:
-    """Write the lines by coarse partition, with their codes.
+    chunks = stored(chunks, "chunks")
+    rows = stored(vector_rows(chunks, embedder, tasks=tasks), "rows")
+    return replace(spark, rows, target, partitions)
 
-    Rows are brought together by partition for files of even size; a partition
-    that holds far more than the others is split over several tasks.
-    """
+
+def replace(spark: SparkSession, rows: DataFrame, target: str, partitions: int = PARTITIONS) -> DataFrame:
+    """Make the rows of ``vector_rows``, stored, the whole of a searchable table."""
+    number, _ = published(spark, target)
+    part = _new_part(target)
     quantizer = ivf.Quantizer.fit(rows, "vector", unit=True)
     centroids = ivf.train_centroids(
         rows, "vector", partitions, SAMPLE_RATE, MAX_ITERATIONS, rows=quantizer.rows
     )
+    create_table(spark, f"{part}/{CENTROIDS}", centroids.frame(spark))
+    create_table(spark, f"{part}/{RANGES}", quantizer.frame(spark))
+    _write_part(spark, rows, part, centroids, quantizer, 0)
+    publish(spark, target, [part], number)
+    return open_lines(spark, target)
+
+
+def _write_part(
+    spark: SparkSession, rows: DataFrame, part: str, centroids: ivf.Centroids, quantizer: ivf.Quantizer, first: int
+) -> None:
+    """Write rows by coarse partition with their codes, their numbers from ``first``, and their words.
+
+    Rows are brought together by partition for files of even size; a partition
+    that holds far more than the others is split over several tasks.
+    """
     placed = ivf.encode_vectors(
         ivf.assign_partitions(rows, centroids, "vector", "part"), quantizer, "vector", "codes"
     )
-    create_table(spark, layout.lines, placed.hint("rebalance", "part"), ["part"])
-    create_table(spark, layout.centroids, centroids.frame(spark))
-    create_table(spark, layout.ranges, quantizer.frame(spark))
+    create_table(spark, f"{part}/{LINES}", placed.hint("rebalance", "part"), ["part"])
+    create_table(spark, f"{part}/{NUMBERS}", numbered_rows(rows, KEY, first))
+    numbers = open_table(spark, f"{part}/{NUMBERS}")
+    for column in INDEXED:
+        index_words(spark, rows, numbers, part, column)
+
+
+def index_words(spark: SparkSession, rows: DataFrame, numbers: DataFrame, part: str, column: str) -> None:
+    """Write the words of one text column: blocks of postings by bucket of terms, and the totals of the texts."""
+    texts = text_rows(rows, numbers, column, KEY)
+    create_table(spark, f"{part}/{blocks_name(column)}", blocks_of(texts), ["bucket"])
+    blocks = open_table(spark, f"{part}/{blocks_name(column)}")
+    shown = rows.where(F.col(column).isNotNull())
+    create_table(spark, f"{part}/{totals_name(column)}", text_totals(shown, blocks))
 
 
 def insert(
-    spark: SparkSession, rows: DataFrame, target: str, keys: Sequence[str] = INSERT_KEYS
+    spark: SparkSession,
+    rows: DataFrame,
+    target: str,
+    keys: Sequence[str] = INSERT_KEYS,
+    partitions: int = PARTITIONS,
 ) -> DataFrame:
-    """Add the rows of ``vector_rows`` that a loaded table does not hold; returns the table.
+    """Add the rows of ``vector_rows`` that a table does not hold; returns the table.
 
     New rows are placed by the table's centroids and coded by its ranges, their
-    ids follow the largest one held, and their words are added to the postings.
-    Held rows are read, never rewritten; the word statistics are made anew. The
-    lines are written last, so a call that failed may be repeated once its
-    postings are removed.
+    ids and numbers follow the largest held; their words and totals are counted
+    alone and stand beside the held ones, so the cost is that of the new rows and
+    of the key columns. All of it is seen in one step at the end; a call that
+    failed may be repeated. A table that does not exist yet is made of the rows.
     """
-    layout = Layout(target)
+    number, parts = published(spark, target)
+    if not parts:
+        rows = stored(rows, "rows")
+        return rows if rows.isEmpty() else replace(spark, rows, target, partitions)
     held = open_lines(spark, target)
-    added = checkpointed(new_rows(held, rows, keys))
+    added = stored(new_rows(held, rows, keys), "added")
     if not added.isEmpty():
         last = held.agg(F.max("id")).first()[0]
         ids = (F.col("id") + F.lit(0 if last is None else last + 1)).cast(held.schema["id"].dataType)
-        added = added.withColumn("id", ids)
-        centroids = ivf.Centroids.from_frame(open_table(spark, layout.centroids), unit=True)
-        quantizer = ivf.Quantizer.from_frame(open_table(spark, layout.ranges), unit=True)
-        placed = ivf.encode_vectors(
-            ivf.assign_partitions(added, centroids, "vector", "part"), quantizer, "vector", "codes"
+        most = open_parts(spark, parts, NUMBERS).agg(F.max("row_no")).first()[0]
+        part = _new_part(target)
+        _write_part(
+            spark, added.withColumn("id", ids), part, *_places(spark, parts), 0 if most is None else most + 1
         )
-        for column in ("metadata", "content"):
-            folder = layout.words(column)
-            postings(added, column, KEY).write.mode("append").parquet(f"{folder}/postings")
-        placed.select(*held.columns).write.mode("append").partitionBy("part").parquet(layout.lines)
-        table = open_lines(spark, target)
-        for column in ("metadata", "content"):
-            index_statistics(spark, table, layout, column)
+        publish(spark, target, [*parts, part], number)
     return open_lines(spark, target)
 
 
-def index_words(spark: SparkSession, table: DataFrame, layout: Layout, column: str) -> None:
-    """Write the postings and statistics of one text column."""
-    index = postings(table, column, KEY)
-    create_table(spark, layout.words(column) + "/postings", index)
-    index_statistics(spark, table, layout, column)
+def upsert(
+    spark: SparkSession,
+    rows: DataFrame,
+    target: str,
+    keys: Sequence[str] = UPSERT_KEYS,
+    partitions: int = PARTITIONS,
+) -> DataFrame:
+    """Put the rows of ``vector_rows`` into a table, in place of those with equal ``keys``; returns the table.
+
+    The table is written anew beside the old one and takes its place in one step.
+    """
+    _, parts = published(spark, target)
+    if parts:
+        held = fitted(open_lines(spark, target), vector_table())
+        rows = merged(held, fitted(rows, vector_table()), keys)
+    return replace(spark, stored(rows, "rows"), target, partitions)
 
 
-def index_statistics(spark: SparkSession, table: DataFrame, layout: Layout, column: str) -> None:
-    """Write the statistics of the stored postings of one text column."""
-    stored = open_table(spark, layout.words(column) + "/postings")
-    create_table(spark, layout.words(column) + "/terms", term_stats(stored))
-    stats = open_table(spark, layout.words(column) + "/terms")
-    create_table(spark, layout.words(column) + "/corpus", corpus_stats(table, column, stats))
+def _places(spark: SparkSession, parts: Sequence[str]) -> tuple[ivf.Centroids, ivf.Quantizer]:
+    """The partitions and code ranges of a table; its first part has them."""
+    centroids = ivf.Centroids.from_frame(open_table(spark, f"{parts[0]}/{CENTROIDS}"), unit=True)
+    return centroids, ivf.Quantizer.from_frame(open_table(spark, f"{parts[0]}/{RANGES}"), unit=True)
 
 
 def open_lines(spark: SparkSession, target: str) -> DataFrame:
-    return open_table(spark, Layout(target).lines)
+    """The lines of a table's current version."""
+    _, parts = published(spark, target)
+    if not parts:
+        raise FileNotFoundError(f"no table at {target}")
+    return open_parts(spark, parts, LINES)
 
 
 def search_index(spark: SparkSession, target: str, nprobes: int = PROBES, factor: int = REFINE_FACTOR):
@@ -201,9 +238,7 @@ def search_index(spark: SparkSession, target: str, nprobes: int = PROBES, factor
 
     Takes the place of the exact search wherever one is expected.
     """
-    layout = Layout(target)
-    centroids = ivf.Centroids.from_frame(open_table(spark, layout.centroids), unit=True)
-    quantizer = ivf.Quantizer.from_frame(open_table(spark, layout.ranges), unit=True)
+    centroids, quantizer = _places(spark, published(spark, target)[1])
 
     def search(table, queries, k=NEIGHBOURS, **options):
         return ivf.refined_nearest(
@@ -216,12 +251,12 @@ def search_index(spark: SparkSession, target: str, nprobes: int = PROBES, factor
 def search_words(
     spark: SparkSession, target: str, queries: DataFrame, k: int = NEIGHBOURS, column: str = "content"
 ) -> DataFrame:
-    """Keyword search over the stored postings of a column."""
-    folder = Layout(target).words(column)
-    return keyword_search(
-        open_table(spark, f"{folder}/postings"),
-        open_table(spark, f"{folder}/terms"),
-        open_table(spark, f"{folder}/corpus"),
+    """Keyword search over the stored postings of a column; reads the buckets of the terms asked."""
+    _, parts = published(spark, target)
+    return search_blocks(
+        open_parts(spark, parts, blocks_name(column)),
+        open_parts(spark, parts, totals_name(column)),
+        open_parts(spark, parts, NUMBERS),
         queries,
         k,
         KEY,

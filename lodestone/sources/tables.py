@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,3 +53,33 @@ def insert_rows(
     held = open_table(spark, target)
     added = new_rows(held, rows, keys).select(*held.columns)
     added.write.mode("append").partitionBy(*partition_by).parquet(target)
+
+
+def published(spark: SparkSession, target: str) -> tuple[int, list[str]]:
+    """The number of a table's current version and the folders it is made of; 0 and none before the first."""
+    try:
+        versions = spark.read.schema("number long, parts array<string>").parquet(f"{target}/versions")
+        last = versions.orderBy(F.desc("number")).limit(2).collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, []
+    if len(last) == 2 and last[0].number == last[1].number:
+        raise ValueError(f"two writers published version {last[0].number} of {target}")
+    return (last[0].number, list(last[0].parts)) if last else (0, [])
+
+
+def publish(spark: SparkSession, target: str, parts: Sequence[str], after: int) -> None:
+    """Make ``parts`` the current version of a table, the one that follows ``after``.
+
+    The pointer is one file that appears as a whole, after all the parts are
+    written: until then, and for a reader that has opened the table, the version
+    before it stands.
+    """
+    row = spark.createDataFrame([(after + 1, list(parts))], "number long, parts array<string>")
+    row.coalesce(1).write.mode("append").parquet(f"{target}/versions")
+
+
+def open_parts(spark: SparkSession, parts: Sequence[str], name: str) -> DataFrame:
+    """What all parts of a version hold under ``name``."""
+    return spark.read.parquet(*[f"{part}/{name}" for part in parts])

@@ -9,11 +9,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from lodestone.functions.text import base_name, language_of
 from lodestone.operators.chunks import chunk_files
 from lodestone.operators.embedding import Embedder
-from lodestone.plans.jobs import vector_rows
-from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE
+from lodestone.plans.jobs import insert, vector_rows
+from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE, PARTITIONS
 from lodestone.session import checkpointed
 from lodestone.sources.files import name_pattern
-from lodestone.sources.tables import insert_rows
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -42,15 +41,17 @@ def insert_stream(
     checkpoint: str,
     chunk_size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
+    partitions: int = PARTITIONS,
 ) -> DataStreamWriter:
-    """Insert the lines of each micro-batch into an existing table.
+    """Insert the lines of each micro-batch into a table, with its indexes.
 
-    A batch that is replayed after a failure adds nothing, since only absent
-    rows are inserted. Chunk ids count within the batch.
+    The first batch makes the table if there is none. A batch that is replayed
+    after a failure adds nothing, since only absent rows are inserted and each
+    batch is published in one step. Ids follow those that the table holds.
     """
 
-    def insert(batch: DataFrame, _number: int) -> None:
+    def add(batch: DataFrame, _number: int) -> None:
         chunks = checkpointed(chunk_files(batch, ["path", "metadata"], chunk_size, overlap))
-        insert_rows(batch.sparkSession, target, vector_rows(chunks, embedder))
+        insert(batch.sparkSession, vector_rows(chunks, embedder), target, partitions=partitions)
 
-    return files.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
+    return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -172,24 +172,98 @@ def test_adding_to_a_loaded_table(spark):
 
 def test_files_that_arrive(spark, folder):
     target, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
-    B.create_table(spark, target)
 
     def run():
-        writer = insert_stream(arriving_files(spark, str(folder)), target, EMBEDDER, state)
+        writer = insert_stream(arriving_files(spark, str(folder)), target, EMBEDDER, state, partitions=2)
         query = writer.trigger(availableNow=True).start()
         assert query.awaitTermination(120)
 
     run()
-    first = B.open_table(spark, target).count()
+    first = jobs.open_lines(spark, target).count()
     assert first > 0
     run()
-    assert B.open_table(spark, target).count() == first
+    assert jobs.open_lines(spark, target).count() == first
     (folder / "later.txt").write_text("arrived later\n")
     run()
-    added = B.open_table(spark, target).where("metadata = 'later.txt'")
+    table = jobs.open_lines(spark, target)
+    added = table.where("metadata = 'later.txt'")
     assert [r.content for r in added.collect()] == ["arrived later"]
-    assert B.open_table(spark, target).count() == first + 1
+    assert table.count() == first + 1
     assert added.select(F.size("vector")).first()[0] == 64
+    assert added.first().id > table.where("metadata <> 'later.txt'").agg(F.max("id")).first()[0]
+    asked = spark.createDataFrame([(1, "arrived")], "query_id int, text string")
+    assert [r.path for r in jobs.search_words(spark, target, asked, 5).collect()] == [added.first().path]
+
+
+FILES = "path string, metadata string, language string, text string"
+
+
+def test_a_failed_load_or_insert_changes_nothing(spark, monkeypatch):
+    target = scratch_path(spark, "steps")
+    one = spark.createDataFrame([("/a.txt", "a.txt", "text", "one\ntwo")], FILES)
+    two = spark.createDataFrame([("/b.txt", "b.txt", "text", "three")], FILES)
+    jobs.load(spark, one, target, EMBEDDER, partitions=1)
+    asked = spark.createDataFrame([(1, "two three")], "query_id int, text string")
+
+    def state():
+        lines = sorted(r.content for r in jobs.open_lines(spark, target).collect())
+        return lines, sorted(r.path for r in jobs.search_words(spark, target, asked, 5).collect())
+
+    before = state()
+    assert before == (["one", "two"], ["/a.txt"])
+    rows = checkpointed(jobs.vector_rows(chunk_files(two, ["path", "metadata"]), EMBEDDER))
+    real = jobs.index_words
+    for broken in ("metadata", "content"):
+        def fail(spark, rows, numbers, part, column):
+            if column == broken:
+                raise RuntimeError("lost")
+            real(spark, rows, numbers, part, column)
+
+        monkeypatch.setattr(jobs, "index_words", fail)
+        for step in (lambda: jobs.load(spark, two, target, EMBEDDER, partitions=1), lambda: jobs.insert(spark, rows, target)):
+            with pytest.raises(RuntimeError):
+                step()
+            assert state() == before
+    monkeypatch.setattr(jobs, "index_words", real)
+    jobs.insert(spark, rows, target)
+    assert state() == (["one", "three", "two"], ["/a.txt", "/b.txt"])
+    jobs.load(spark, two, target, EMBEDDER, partitions=1)
+    assert state() == (["three"], ["/b.txt"])
+
+
+def test_stored_upsert(spark):
+    target = scratch_path(spark, "upserts")
+    one = spark.createDataFrame([("/a.txt", "a.txt", "text", "one\ntwo"), ("/b.txt", "b.txt", "text", "three")], FILES)
+    jobs.load(spark, one, target, EMBEDDER, partitions=1)
+    rows = jobs.vector_rows(chunk_files(one.where("path = '/b.txt'"), ["path", "metadata"]), EMBEDDER)
+    changed = rows.withColumn("content", F.lit("four")).withColumn("model", F.lit("other"))
+    keys = ["path", "chunk_number", "line_no"]
+    for _ in range(2):
+        table = jobs.upsert(spark, changed, target, keys, partitions=1)
+        assert sorted((r.content, r.model == "other") for r in table.collect()) == [("four", True), ("one", False), ("two", False)]
+    asked = spark.createDataFrame([(1, "three"), (2, "four")], "query_id int, text string")
+    assert [(r.query_id, r.path) for r in jobs.search_words(spark, target, asked, 5).collect()] == [(2, "/b.txt")]
+
+
+@pytest.mark.parametrize("tail", ["", "\n", "\r\n"])
+def test_files_by_rows_as_by_value(spark, tmp_path, tail):
+    line = "A sentence here. Another one! And a third, it goes on? " * 3
+    prose = "\n".join(line[: 7 * i % 160] + ("\r" if i % 5 == 0 else "") for i in range(2500))
+    code = "\n".join(("fn f%d() {" % i if i % 9 == 0 else "    body(%d); // é" % i) for i in range(4000))
+    (tmp_path / "prose.txt").write_bytes((prose + tail).encode())
+    (tmp_path / "marked.txt").write_bytes(b"\xef\xbb\xbf" + (prose[:9000] + tail).encode())
+    (tmp_path / "exact.txt").write_bytes(("x" * 500 + tail).encode())
+    (tmp_path / "code.rs").write_bytes((code + tail).encode())
+    (tmp_path / "none.txt").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        found = {}
+        for bound in (1 << 30, 0):
+            chunks = jobs.chunk_folder(spark, str(tmp_path), 500, 50, whole_bytes=bound)
+            found[bound] = sorted((r.metadata, r.chunk_number, r.chunk) for r in chunks.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found[0]) > 600 and found[0] == found[1 << 30]
 
 
 def test_a_log_larger_than_one_split(spark, tmp_path):
