@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from lodestone.llm.pieces import Pieces
 from lodestone.llm.tables import stored
 
 #: Stretches, and characters of them, that a worker remembers before it starts afresh; bounds memory, never the result.
-KEPT_STRETCHES = 200_000
+KEPT_STRETCHES = 400_000
 KEPT_CHARS = 8 << 20
 #: Bytes of text whose rows are aligned at a time.
 BLOCK = 1 << 20
@@ -53,13 +54,22 @@ def shared_groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list
     waiting = [(0, len(ends_a), 0, len(ends_b))]
     while waiting:
         a, stop_a, b, stop_b = waiting.pop()
-        cut = _near_middle(ends_a, ends_b, a, stop_a, b, stop_b)
-        if cut is None:
-            past_a.append(stop_a)
-            past_b.append(stop_b)
-        else:
-            waiting.append((cut[0], stop_a, cut[1], stop_b))
-            waiting.append((a, cut[0], b, cut[1]))
+        # the left half is followed at once, right halves wait
+        while stop_a - a > 1 and stop_b - b > 1:
+            middle = (a + stop_a) // 2 - 1
+            end = ends_a[middle]
+            at = bisect_left(ends_b, end, b, stop_b)
+            if ends_b[at] == end < ends_a[middle + 1] and (at + 1 == stop_b or ends_b[at + 1] > end):
+                cut_a, cut_b = middle + 1, at + 1
+            else:
+                cut = _near_middle(ends_a, ends_b, a, stop_a, b, stop_b)
+                if cut is None:
+                    break
+                cut_a, cut_b = cut
+            waiting.append((cut_a, stop_a, cut_b, stop_b))
+            stop_a, stop_b = cut_a, cut_b
+        past_a.append(stop_a)
+        past_b.append(stop_b)
     return past_a, past_b
 
 
@@ -69,8 +79,6 @@ def _near_middle(ends_a: list[int], ends_b: list[int], a: int, stop_a: int, b: i
     Ends of A are tried from the middle outwards, each by bisection in those of
     B: what is tried in vain is no more than the smaller of the two halves.
     """
-    if stop_a - a < 2 or stop_b - b < 2:
-        return None
     last, middle = ends_a[stop_a - 1], (a + stop_a) // 2 - 1
     for away in range(stop_a - a):
         for k in {middle + away, middle - away}:
@@ -171,14 +179,13 @@ class Aligner:
         ids_a, ids_b = self.pair.encode(new)
         n_a = np.fromiter(map(len, ids_a), np.int64, len(new))
         n_b = np.fromiter(map(len, ids_b), np.int64, len(new))
-        raw = [s.encode() for s in new]
+        of_a, of_b = self.pair.bytes_a.__getitem__, self.pair.bytes_b.__getitem__
         whole = [
-            b"".join([self.pair.bytes_a[i] for i in x]) == r and b"".join([self.pair.bytes_b[i] for i in y]) == r
-            for x, y, r in zip(ids_a, ids_b, raw)
+            b"".join(map(of_a, x)) == b"".join(map(of_b, y)) == s.encode() for x, y, s in zip(ids_a, ids_b, new)
         ]
         used = np.flatnonzero(whole)
-        flat_a = np.array([i for k in used for i in ids_a[k]], np.int64)
-        flat_b = np.array([i for k in used for i in ids_b[k]], np.int64)
+        flat_a = np.fromiter(chain.from_iterable(compress(ids_a, whole)), np.int64)
+        flat_b = np.fromiter(chain.from_iterable(compress(ids_b, whole)), np.int64)
         ends_a, ends_b = np.cumsum(self.pair.size_a[flat_a]), np.cumsum(self.pair.size_b[flat_b])
         group_a, group_b = shared_groups(ends_a.tolist(), ends_b.tolist())
         of_a, of_b = overlaps(ends_a, ends_b)
@@ -189,7 +196,7 @@ class Aligner:
         n_links[used] = np.diff(np.searchsorted(of_a, past_a, side="left"), prepend=0)
         names_a, names_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
         texts = [
-            ",".join(names_a[a:b]) + "|" + ",".join(names_b[c:d])
+            f"{names_a[a]}|{names_b[c]}" if b - a == 1 == d - c else ",".join(names_a[a:b]) + "|" + ",".join(names_b[c:d])
             for a, b, c, d in zip([0, *group_a], group_a, [0, *group_b], group_b)
         ]
         bounds = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
