@@ -20,6 +20,7 @@ from lodestone.operators.lines import error_text
 from lodestone.operators.ordering import running_total
 from lodestone.operators.packing import pack_pieces
 from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE
+from lodestone.session import stored
 
 LINE = r"[^\n]*\n|[^\n]+"
 SENTENCE = r"(?s).+?(?:[.!?]+[ \t\r\n]+|\z)"
@@ -330,17 +331,19 @@ def number_chunks(
     """Adds ``name``: the 0-based ordinal of the chunk over the whole load.
 
     Files follow each other by ``(slice_by, file)`` and chunks by their number.
-    ``slice_by`` splits the file list over tasks; by default a hash of the file
-    does, for a ``slice_by`` that rises with the file ids follow file order.
+    ``slice_by`` splits the file list over tasks and never falls as the file
+    rises; by default ranges of files do.
     """
+    counts = chunks.groupBy(file).agg(F.count(F.lit(1)).alias("_chunks"))
     if slice_by is None:
-        slice_by = F.pmod(F.xxhash64(file), F.lit(1024))
-    counts = (
-        chunks.groupBy(file)
-        .agg(F.count(F.lit(1)).alias("_chunks"))
-        .withColumn("_part", slice_by)
-        .withColumn("_all", F.lit(0))
-    )
+        # one row per file, dealt by ranges once and stored with the number of its range
+        counts = stored(
+            counts.repartitionByRange(F.col(file).asc_nulls_first()).withColumn("_part", F.spark_partition_id()),
+            "file-chunks",
+        )
+    else:
+        counts = counts.withColumn("_part", slice_by)
+    counts = counts.withColumn("_all", F.lit(0))
     starts = running_total(
         counts, ["_all"], [file], F.col("_part"), F.col("_chunks"), "_start"
     ).select(file, "_start")

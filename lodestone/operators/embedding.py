@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import split_lines
 from lodestone.schema import DIMENSION, EMBED_RESPONSE
-from lodestone.session import ship_package
+from lodestone.session import ship_package, stored
+
+#: A text of more than one row in so many is sent to the rows instead of being joined.
+COMMON_SHARE = 1000
 
 
 class Embedder(Protocol):
@@ -22,6 +25,8 @@ class Embedder(Protocol):
 
     model: str
     dimension: int
+    #: Whether a text costs a call of a model, so that no text should be embedded twice.
+    calls_model: bool
 
     def embed(self, df: DataFrame, text: str, vector: str) -> DataFrame: ...
 
@@ -29,6 +34,8 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """Unit-length hashed term counts; a text without terms becomes zeros."""
 
+    calls_model = False
+
     def __init__(self, dimension: int = DIMENSION, model: str = "hashed-terms"):
         self.dimension, self.model = dimension, model
 
@@ -52,6 +59,8 @@ class FunctionEmbedder:
     loaded per task and not per batch.
     """
 
+    calls_model = True
+
     def __init__(
         self,
         start: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]],
@@ -91,6 +100,45 @@ def embed_column(
     return embedder.embed(df, text, vector)
 
 
+def text_digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def embed_distinct(
+    df: DataFrame,
+    text: str,
+    embedder: Embedder,
+    vector: str = "vector",
+    tasks: int | None = None,
+    known: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the vector of each text, and the vectors by text: ``digest, vector``.
+
+    The model is called once for every distinct text that ``known`` (such vectors
+    of earlier calls) does not hold; its answers are stored before they are used,
+    so a lost executor repeats no call. Texts are told apart by their SHA-256. A
+    text of more than a thousandth of all rows, of which there can be no more
+    than a thousand, is not joined by key but sent to the rows.
+    """
+    keyed = stored(df.withColumn("_digest", text_digest(text)), "texts")
+    distinct = keyed.groupBy("_digest").agg(F.any_value(text).alias("_text"), F.count(F.lit(1)).alias("_rows"))
+    distinct = stored(distinct, "distinct-texts")
+    fresh, held = distinct, None
+    if known is not None:
+        known = known.select(F.col("digest").alias("_digest"), F.col("vector").alias(vector))
+        fresh = distinct.join(known, "_digest", "left_anti")
+        held = distinct.select("_digest", "_rows").join(known, "_digest")
+    made = embed_column(fresh, "_text", embedder, vector, tasks).select("_digest", "_rows", vector)
+    vectors = stored(made if held is None else made.unionByName(held.select("_digest", "_rows", vector)), "vectors")
+    share = F.lit(distinct.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0] / COMMON_SHARE)
+    common = F.broadcast(vectors.where(F.col("_rows") > share).select("_digest", vector))
+    rare = vectors.where(F.col("_rows") <= share).select("_digest", vector)
+    rows = keyed.join(common, "_digest").unionByName(
+        keyed.join(common.select("_digest"), "_digest", "left_anti").join(rare, "_digest")
+    )
+    return rows.drop("_digest"), vectors.select(F.col("_digest").alias("digest"), F.col(vector).alias("vector"))
+
+
 def embed_requests(
     chunks: DataFrame,
     model: str,

@@ -12,9 +12,12 @@ from lodestone.operators.embedding import Embedder, embed_column
 from lodestone.operators.filters import checked_queries, row_cap, with_content
 from lodestone.operators.ordering import top_k
 from lodestone.schema import NEIGHBOURS
+from lodestone.session import has_at_most, stored
 
 # What identifies a line of the vector table, in reading order.
 LINE_KEY = ("path", "chunk_number", "line_no")
+# Lines of one file that meet their queries in one task.
+LINES_PER_STRETCH = 65_536
 MODES = ("nearest", "file", "chunk", "all")
 
 
@@ -66,13 +69,34 @@ def _lines_of(
 ) -> DataFrame:
     """All lines that agree with a found line in ``on``, per query.
 
-    With ``cap`` only the first ones in reading order, with their ``rank``.
+    Few results are sent to the lines, which do not move. Otherwise both sides
+    meet by ``on`` and a stretch of it: lines fall into stretches by a hash of
+    their keys, as many per value of ``on`` as its lines fill, and a query is
+    repeated for those stretches alone. With ``cap`` only the first lines in
+    reading order, with their ``rank``.
     """
     wanted = found.where(F.col(on[0]).isNotNull()).select(query_id, *on).distinct()
-    if small:
-        wanted = F.broadcast(wanted)
     columns = list(dict.fromkeys([*on, *key, "content"]))
-    lines = with_content(table).select(*columns).join(wanted, list(on))
+    lines = with_content(table).select(*columns)
+    if small:
+        lines = lines.join(F.broadcast(wanted), list(on))
+    else:
+        wanted = stored(wanted, "wanted-files")
+        sizes = stored(
+            lines.join(wanted.select(*on).distinct(), list(on), "left_semi")
+            .groupBy(*on)
+            .agg((1 + F.floor(F.count(F.lit(1)) / LINES_PER_STRETCH)).cast("int").alias("_stretches")),
+            "file-sizes",
+        )
+        every = F.explode(F.sequence(F.lit(0), F.col("_stretches") - 1)).alias("_stretch")
+        wanted = wanted.join(sizes, list(on)).select(query_id, *on, every)
+        # only values of several stretches, few by their size, need their number at the lines
+        large = F.broadcast(sizes.where(F.col("_stretches") > 1)) if has_at_most(
+            sizes.where(F.col("_stretches") > 1), nn.BROADCAST_ROWS
+        ) else sizes.where(F.col("_stretches") > 1)
+        stretch = F.pmod(F.xxhash64(*key), F.coalesce("_stretches", F.lit(1))).cast("int")
+        lines = lines.join(large, list(on), "left").withColumn("_stretch", stretch).drop("_stretches")
+        lines = lines.join(wanted, [*on, "_stretch"]).drop("_stretch")
     order = list(dict.fromkeys([*on, *key]))
     if cap is None:
         return lines
@@ -86,11 +110,15 @@ def file_context(
     *,
     key: Sequence[str] = LINE_KEY,
     query_id: str = "query_id",
-    file: str = "metadata",
+    file: str = "path",
     cap: int | None = None,
     **options,
 ) -> DataFrame:
-    """All lines of every file that holds one of the nearest lines."""
+    """All lines of every file that holds one of the nearest lines.
+
+    Files are told apart by ``path``; ``file="metadata"`` takes all files of one
+    base name together.
+    """
     found = nearest_lines(
         table, queries, k, key=key, columns=(file,), query_id=query_id, **options
     )
@@ -105,7 +133,7 @@ def chunk_context(
     *,
     key: Sequence[str] = LINE_KEY,
     query_id: str = "query_id",
-    chunk: Sequence[str] = ("metadata", "chunk_number"),
+    chunk: Sequence[str] = ("path", "chunk_number"),
     cap: int | None = None,
     **options,
 ) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from lodestone.operators import ivf
 from lodestone.operators import prompts as P
 from lodestone.operators import retrieve as R
-from lodestone.operators.blocks import blocks_of, numbered_rows, search_blocks, text_rows, text_totals
+from lodestone.operators.blocks import BLOCKS, blocks_of, numbered_rows, search_blocks, text_rows, text_totals
 from lodestone.operators.chunks import chunk_files, chunk_log, chunk_rows, declaration_start, number_chunks
-from lodestone.operators.embedding import Embedder, checked_width, embed_column, load_time
+from lodestone.operators.embedding import Embedder, checked_width, embed_column, embed_distinct, load_time
 from lodestone.operators.generation import Generator, checked_json, generate, parse_reply, reply_text
 from lodestone.operators.lines import drop_noise, error_context, explode_lines
 from lodestone.operators.merge import INSERT_KEYS, UPSERT_KEYS, new_rows
@@ -32,7 +32,7 @@ from lodestone.schema import (
 )
 from lodestone.session import checkpointed, stored
 from lodestone.sources.files import name_pattern, read_ended_lines, read_files, read_lines, spread
-from lodestone.sources.tables import create_table, fitted, open_parts, open_table, publish, published
+from lodestone.sources.tables import create_table, fitted, load_folder, open_loads, open_table, publish, published
 
 KEY = list(R.LINE_KEY)
 
@@ -66,23 +66,39 @@ def chunk_folder(
     return chunks.unionByName(chunk_log(error_context(numbered, "path"), "path", ["metadata"], cap, overlap))
 
 
-def vector_rows(
+def embedded_rows(
     chunks: DataFrame,
     embedder: Embedder,
     slice_by: Column | None = None,
     tasks: int | None = None,
-) -> DataFrame:
-    """One row of the vector table per line of each chunk."""
+    known: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """One row of the vector table per line of each chunk, and the vectors by line for later loads.
+
+    Where a text costs a call of a model, each distinct line is embedded once,
+    and not at all if ``known`` has its vector.
+    """
     lines = explode_lines(
         number_chunks(chunks, "path", slice_by), "chunk", ["id", "path", "metadata", "chunk_number"]
     ).withColumnRenamed("line", "content")
-    made = embed_column(lines, "content", embedder, "vector", tasks)
+    if embedder.calls_model:
+        made, vectors = embed_distinct(lines, "content", embedder, "vector", tasks, known)
+    else:
+        made, vectors = embed_column(lines, "content", embedder, "vector", tasks), None
     made = made.withColumn("model", F.lit(embedder.model)).withColumn("created_at", load_time())
-    return fitted(checked_width(made, embedder.dimension), vector_table())
+    return fitted(checked_width(made, embedder.dimension), vector_table()), vectors
+
 
+def vector_rows(
+    chunks: DataFrame, embedder: Embedder, slice_by: Column | None = None, tasks: int | None = None
+) -> DataFrame:
+    """One row of the vector table per line of each chunk."""
+    return embedded_rows(chunks, embedder, slice_by, tasks)[0]
 
-LINES, CENTROIDS, RANGES, NUMBERS = "lines", "centroids", "ranges", "numbers"
+
+LINES, CENTROIDS, RANGES, NUMBERS, VECTORS = "lines", "centroids", "ranges", "numbers", "vectors"
 INDEXED = ("metadata", "content")
+VECTOR_ROWS = "digest binary, vector array<float>, model string"
 
 
 def blocks_name(column: str) -> str:
@@ -93,11 +109,6 @@ def totals_name(column: str) -> str:
     return f"words_{column}/totals"
 
 
-def _new_part(target: str) -> str:
-    """A fresh folder of a table; nothing reads it before it is published."""
-    return f"{target}/parts/{uuid.uuid4().hex}"
-
-
 def load(
     spark: SparkSession,
     source: str | DataFrame,
@@ -121,28 +132,77 @@ def load(
         chunks = chunk_folder(spark, source, chunk_size, overlap, strict)
     else:
         chunks = chunk_files(source, ["path", "metadata"], chunk_size, overlap)
-    chunks = stored(chunks, "chunks")
-    rows = stored(vector_rows(chunks, embedder, tasks=tasks), "rows")
-    return replace(spark, rows, target, partitions)
+    rows, vectors = embedded_rows(stored(chunks, "chunks"), embedder, None, tasks, _known(spark, target, embedder))
+    return replace(spark, stored(rows, "rows"), target, partitions, _named(vectors, embedder))
+
+
+def load_more(
+    spark: SparkSession,
+    source: DataFrame,
+    target: str,
+    embedder: Embedder,
+    chunk_size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    partitions: int = PARTITIONS,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Add files ``path, metadata, language, text`` to a table, see ``insert``; returns the table."""
+    chunks = stored(chunk_files(source, ["path", "metadata"], chunk_size, overlap), "chunks")
+    rows, vectors = embedded_rows(chunks, embedder, None, tasks, _known(spark, target, embedder))
+    return insert(spark, rows, target, partitions=partitions, vectors=_named(vectors, embedder))
+
+
+def _known(spark: SparkSession, target: str, embedder: Embedder) -> DataFrame | None:
+    """Vectors by line that a table holds from the same model."""
+    _, loads = published(spark, target)
+    if not loads or not embedder.calls_model:
+        return None
+    held = open_loads(spark, target, VECTORS, loads, VECTOR_ROWS)
+    same = (F.col("model") == embedder.model) & (F.size("vector") == embedder.dimension)
+    return held.where(same).dropDuplicates(["digest"])
+
+
+def _named(vectors: DataFrame | None, embedder: Embedder) -> DataFrame | None:
+    return None if vectors is None else vectors.withColumn("model", F.lit(embedder.model))
+
+
+def _write_vectors(spark: SparkSession, target: str, load: str, vectors: DataFrame | None) -> None:
+    """Write the vectors by line of a load; an empty table where no model was called."""
+    if vectors is None:
+        vectors = spark.createDataFrame([], VECTOR_ROWS)
+    create_table(spark, load_folder(target, VECTORS, load), vectors)
 
 
-def replace(spark: SparkSession, rows: DataFrame, target: str, partitions: int = PARTITIONS) -> DataFrame:
+def replace(
+    spark: SparkSession,
+    rows: DataFrame,
+    target: str,
+    partitions: int = PARTITIONS,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
     """Make the rows of ``vector_rows``, stored, the whole of a searchable table."""
     number, _ = published(spark, target)
-    part = _new_part(target)
+    load = uuid.uuid4().hex
     quantizer = ivf.Quantizer.fit(rows, "vector", unit=True)
     centroids = ivf.train_centroids(
         rows, "vector", partitions, SAMPLE_RATE, MAX_ITERATIONS, rows=quantizer.rows
     )
-    create_table(spark, f"{part}/{CENTROIDS}", centroids.frame(spark))
-    create_table(spark, f"{part}/{RANGES}", quantizer.frame(spark))
-    _write_part(spark, rows, part, centroids, quantizer, 0)
-    publish(spark, target, [part], number)
+    create_table(spark, load_folder(target, CENTROIDS, load), centroids.frame(spark))
+    create_table(spark, load_folder(target, RANGES, load), quantizer.frame(spark))
+    _write_load(spark, rows, target, load, centroids, quantizer, 0)
+    _write_vectors(spark, target, load, vectors)
+    publish(spark, target, [load], number)
     return open_lines(spark, target)
 
 
-def _write_part(
-    spark: SparkSession, rows: DataFrame, part: str, centroids: ivf.Centroids, quantizer: ivf.Quantizer, first: int
+def _write_load(
+    spark: SparkSession,
+    rows: DataFrame,
+    target: str,
+    load: str,
+    centroids: ivf.Centroids,
+    quantizer: ivf.Quantizer,
+    first: int,
 ) -> None:
     """Write rows by coarse partition with their codes, their numbers from ``first``, and their words.
 
@@ -152,20 +212,22 @@ def _write_part(
     placed = ivf.encode_vectors(
         ivf.assign_partitions(rows, centroids, "vector", "part"), quantizer, "vector", "codes"
     )
-    create_table(spark, f"{part}/{LINES}", placed.hint("rebalance", "part"), ["part"])
-    create_table(spark, f"{part}/{NUMBERS}", numbered_rows(rows, KEY, first))
-    numbers = open_table(spark, f"{part}/{NUMBERS}")
+    create_table(spark, load_folder(target, LINES, load), placed.hint("rebalance", "part"), ["part"])
+    create_table(spark, load_folder(target, NUMBERS, load), numbered_rows(rows, KEY, first))
+    numbers = open_table(spark, load_folder(target, NUMBERS, load))
     for column in INDEXED:
-        index_words(spark, rows, numbers, part, column)
+        index_words(spark, rows, numbers, target, load, column)
 
 
-def index_words(spark: SparkSession, rows: DataFrame, numbers: DataFrame, part: str, column: str) -> None:
+def index_words(
+    spark: SparkSession, rows: DataFrame, numbers: DataFrame, target: str, load: str, column: str
+) -> None:
     """Write the words of one text column: blocks of postings by bucket of terms, and the totals of the texts."""
     texts = text_rows(rows, numbers, column, KEY)
-    create_table(spark, f"{part}/{blocks_name(column)}", blocks_of(texts), ["bucket"])
-    blocks = open_table(spark, f"{part}/{blocks_name(column)}")
+    create_table(spark, load_folder(target, blocks_name(column), load), blocks_of(texts), ["bucket"])
+    blocks = open_loads(spark, target, blocks_name(column), [load], BLOCKS)
     shown = rows.where(F.col(column).isNotNull())
-    create_table(spark, f"{part}/{totals_name(column)}", text_totals(shown, blocks))
+    create_table(spark, load_folder(target, totals_name(column), load), text_totals(shown, blocks))
 
 
 def insert(
@@ -174,6 +236,7 @@ def insert(
     target: str,
     keys: Sequence[str] = INSERT_KEYS,
     partitions: int = PARTITIONS,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Add the rows of ``vector_rows`` that a table does not hold; returns the table.
 
@@ -183,21 +246,22 @@ def insert(
     of the key columns. All of it is seen in one step at the end; a call that
     failed may be repeated. A table that does not exist yet is made of the rows.
     """
-    number, parts = published(spark, target)
-    if not parts:
+    number, loads = published(spark, target)
+    if not loads:
         rows = stored(rows, "rows")
-        return rows if rows.isEmpty() else replace(spark, rows, target, partitions)
+        return rows if rows.isEmpty() else replace(spark, rows, target, partitions, vectors)
     held = open_lines(spark, target)
     added = stored(new_rows(held, rows, keys), "added")
     if not added.isEmpty():
         last = held.agg(F.max("id")).first()[0]
         ids = (F.col("id") + F.lit(0 if last is None else last + 1)).cast(held.schema["id"].dataType)
-        most = open_parts(spark, parts, NUMBERS).agg(F.max("row_no")).first()[0]
-        part = _new_part(target)
-        _write_part(
-            spark, added.withColumn("id", ids), part, *_places(spark, parts), 0 if most is None else most + 1
+        most = open_loads(spark, target, NUMBERS, loads).agg(F.max("row_no")).first()[0]
+        load = uuid.uuid4().hex
+        _write_load(
+            spark, added.withColumn("id", ids), target, load, *_places(spark, target, loads), most + 1
         )
-        publish(spark, target, [*parts, part], number)
+        _write_vectors(spark, target, load, vectors)
+        publish(spark, target, [*loads, load], number)
     return open_lines(spark, target)
 
 
@@ -212,25 +276,25 @@ def upsert(
 
     The table is written anew beside the old one and takes its place in one step.
     """
-    _, parts = published(spark, target)
-    if parts:
+    _, loads = published(spark, target)
+    if loads:
         held = fitted(open_lines(spark, target), vector_table())
         rows = merged(held, fitted(rows, vector_table()), keys)
     return replace(spark, stored(rows, "rows"), target, partitions)
 
 
-def _places(spark: SparkSession, parts: Sequence[str]) -> tuple[ivf.Centroids, ivf.Quantizer]:
-    """The partitions and code ranges of a table; its first part has them."""
-    centroids = ivf.Centroids.from_frame(open_table(spark, f"{parts[0]}/{CENTROIDS}"), unit=True)
-    return centroids, ivf.Quantizer.from_frame(open_table(spark, f"{parts[0]}/{RANGES}"), unit=True)
+def _places(spark: SparkSession, target: str, loads: Sequence[str]) -> tuple[ivf.Centroids, ivf.Quantizer]:
+    """The partitions and code ranges of a table; its first load has them."""
+    centroids = ivf.Centroids.from_frame(open_loads(spark, target, CENTROIDS, loads[:1]), unit=True)
+    return centroids, ivf.Quantizer.from_frame(open_loads(spark, target, RANGES, loads[:1]), unit=True)
 
 
 def open_lines(spark: SparkSession, target: str) -> DataFrame:
     """The lines of a table's current version."""
-    _, parts = published(spark, target)
-    if not parts:
+    _, loads = published(spark, target)
+    if not loads:
         raise FileNotFoundError(f"no table at {target}")
-    return open_parts(spark, parts, LINES)
+    return open_loads(spark, target, LINES, loads)
 
 
 def search_index(spark: SparkSession, target: str, nprobes: int = PROBES, factor: int = REFINE_FACTOR):
@@ -238,7 +302,7 @@ def search_index(spark: SparkSession, target: str, nprobes: int = PROBES, factor
 
     Takes the place of the exact search wherever one is expected.
     """
-    centroids, quantizer = _places(spark, published(spark, target)[1])
+    centroids, quantizer = _places(spark, target, published(spark, target)[1])
 
     def search(table, queries, k=NEIGHBOURS, **options):
         return ivf.refined_nearest(
@@ -252,11 +316,11 @@ def search_words(
     spark: SparkSession, target: str, queries: DataFrame, k: int = NEIGHBOURS, column: str = "content"
 ) -> DataFrame:
     """Keyword search over the stored postings of a column; reads the buckets of the terms asked."""
-    _, parts = published(spark, target)
+    _, loads = published(spark, target)
     return search_blocks(
-        open_parts(spark, parts, blocks_name(column)),
-        open_parts(spark, parts, totals_name(column)),
-        open_parts(spark, parts, NUMBERS),
+        open_loads(spark, target, blocks_name(column), loads, BLOCKS),
+        open_loads(spark, target, totals_name(column), loads),
+        open_loads(spark, target, NUMBERS, loads),
         queries,
         k,
         KEY,
@@ -336,7 +400,7 @@ def rag_batch(
         )
     else:
         found = query(table, queries, embedder, mode, k, cap, **options)
-        order = ["rank"] if "rank" in found.columns else ["metadata", *KEY]
+        order = ["rank"] if "rank" in found.columns else KEY
         context = R.context_string(found, order=order)
         bodies = prompt_batch(queries, system, model, context, P.chat_options())
     return bodies if start is None else answered(bodies, start)

@@ -328,3 +328,140 @@ def word_search(spark, folder):
     )
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return jobs.search_words(spark, target, queries, 10).withColumn("score", F.round("score", 6))
+
+
+def _letter_counts():
+    """A model whose vectors SQL can make as well: 8, characters, letters e, blanks."""
+    return lambda texts: [[8.0, len(x), x.count("e"), x.count(" ")] for x in texts]
+
+
+COUNTS = E.FunctionEmbedder(_letter_counts, 4, "letter-counts")
+VECTOR_SQL = (
+    "[8.0, length(line), length(line) - length(replace(line, 'e', '')), "
+    "length(line) - length(replace(line, ' ', ''))]::DOUBLE[]"
+)
+FILE_SQL = "'/data/' || source || '/f' || doc_id || '.txt'"
+# Lines of the loaded documents with their chunk's place among all chunks of ``{where}``.
+ALL_LINES = rf"""numbered AS (SELECT doc_id, chunk_number, chunk, {FILE_SQL} AS path,
+      row_number() OVER (ORDER BY {FILE_SQL}, chunk_number) - 1 AS id
+      FROM chunk JOIN documents USING (doc_id)),
+    line AS (SELECT path, id, CAST(chunk_number AS INTEGER) AS chunk_number, CAST(line_no AS INTEGER) AS line_no, line
+      FROM ({lines_sql("chunk", "numbered", "path, id, chunk_number")}))"""
+SHOWN_VECTOR = "v[1] AS v1, v[2] AS v2, v[3] AS v3, v[4] AS v4"
+
+
+def _shown_lines(loaded):
+    vector = [F.col("vector")[k].cast("double").alias(f"v{k + 1}") for k in range(4)]
+    whole = F.col("created_at") == F.date_trunc("second", "created_at")
+    now = F.current_timestamp().cast("timestamp_ntz")
+    recent = F.col("created_at").between(now - F.expr("INTERVAL 1 DAY"), now)
+    return loaded.select(
+        "path", "id", "chunk_number", "line_no", "content", "model", *vector, (whole & recent).alias("recent")
+    )
+
+
+@registered(
+    chunks_sql(
+        TEXT_BLOCKS,
+        "doc_id",
+        f""", {ALL_LINES}
+        SELECT path, id, chunk_number, line_no, line AS content, 'letter-counts' AS model, {SHOWN_VECTOR},
+          true AS recent FROM (SELECT *, {VECTOR_SQL} AS v FROM line)""",
+    )
+)
+def load_vectors(spark, folder):
+    """The load job with a called model: ids, vectors, model and time of every stored line."""
+    target = scratch_path(spark, "table")
+    return _shown_lines(jobs.load(spark, _document_files(spark, folder), target, COUNTS, partitions=4))
+
+
+@registered(
+    chunks_sql(
+        TEXT_BLOCKS,
+        "doc_id",
+        f""", {ALL_LINES},
+        held AS (SELECT DISTINCT path, id FROM line
+                 WHERE path IN (SELECT {FILE_SQL} FROM documents JOIN labels USING (doc_id))),
+        old AS (SELECT path, id, row_number() OVER (ORDER BY id) - 1 AS id_ FROM held)
+        SELECT path, coalesce(old.id_, line.id + 1 + (SELECT max(id_) FROM old)) AS id, chunk_number, line_no,
+          line AS content, 'letter-counts' AS model, {SHOWN_VECTOR}, true AS recent
+        FROM (SELECT *, {VECTOR_SQL} AS v FROM line) line LEFT JOIN old USING (path, id)""",
+    )
+)
+def load_then_insert(spark, folder):
+    """The labelled documents loaded, then all added: held lines stay, new ones follow."""
+    target = scratch_path(spark, "table")
+    files = _document_files(spark, folder)
+    marked = table(spark, folder, "labels").select(F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("metadata"))
+    jobs.load(spark, K.members(files, "metadata", marked), target, COUNTS, partitions=4)
+    return _shown_lines(jobs.load_more(spark, files, target, COUNTS))
+
+
+@registered(
+    chunks_sql(
+        TEXT_BLOCKS,
+        "doc_id",
+        f""", {ALL_LINES},
+        marked AS (SELECT {FILE_SQL} AS path FROM documents JOIN labels USING (doc_id))
+        SELECT path, id, chunk_number, line_no,
+          CASE WHEN path IN (SELECT path FROM marked) THEN 'checked ' || line ELSE line END AS content,
+          CASE WHEN path IN (SELECT path FROM marked) THEN 'checked' ELSE 'letter-counts' END AS model,
+          {SHOWN_VECTOR}, true AS recent
+        FROM (SELECT *, {VECTOR_SQL} AS v FROM line)""",
+    )
+)
+def upsert_stored(spark, folder):
+    """A stored table whose lines of labelled documents are put in place of the held ones."""
+    target = scratch_path(spark, "table")
+    loaded = jobs.load(spark, _document_files(spark, folder), target, COUNTS, partitions=4)
+    marked = table(spark, folder, "labels").select(F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("metadata"))
+    changed = K.members(loaded, "metadata", marked).withColumn(
+        "content", F.concat(F.lit("checked "), "content")
+    ).withColumn("model", F.lit("checked"))
+    return _shown_lines(jobs.upsert(spark, changed, target, jobs.KEY, partitions=4))
+
+
+NEAREST_LINES = f"""{ALL_LINES},
+    q AS (SELECT item_id AS query_id, {VECTOR_SQL} AS v FROM (SELECT item_id, text AS line FROM benchmark)),
+    v AS (SELECT *, {VECTOR_SQL} AS v FROM line),
+    d AS (SELECT q.query_id, v.*, list_cosine_distance(q.v, v.v) AS distance FROM q, v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id
+            ORDER BY distance, path, chunk_number, line_no) AS rank FROM d)"""
+
+
+@registered(
+    chunks_sql(
+        TEXT_BLOCKS,
+        "doc_id",
+        f""", {NEAREST_LINES}
+        SELECT query_id, rank, path, chunk_number, line_no, line AS content, round(distance, 6) AS distance
+        FROM r WHERE rank <= 30""",
+    )
+)
+def query_job(spark, folder):
+    """Load the documents, then the 30 nearest lines for every benchmark text."""
+    target = scratch_path(spark, "table")
+    loaded = jobs.load(spark, _document_files(spark, folder), target, COUNTS, partitions=4)
+    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = jobs.query(loaded, queries, COUNTS)
+    return found.select(
+        "query_id", "rank", "path", "chunk_number", "line_no", "content", F.round("_distance", 6).alias("distance")
+    )
+
+
+@registered(
+    chunks_sql(
+        TEXT_BLOCKS,
+        "doc_id",
+        f""", {NEAREST_LINES}
+        SELECT query_id, context, 'ok' AS status, length(context) AS characters FROM (
+          SELECT query_id, string_agg(line, ' ' ORDER BY rank) AS context FROM r WHERE rank <= 30 GROUP BY query_id)""",
+    )
+)
+def rag_job(spark, folder):
+    """Load, search, prompt and answer as one job: the context of every benchmark text."""
+    target = scratch_path(spark, "table")
+    loaded = jobs.load(spark, _document_files(spark, folder), target, COUNTS, partitions=4)
+    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    replies = jobs.rag_batch(loaded, queries, COUNTS, "You answer from the given content.", "small", lambda: stub_generator)
+    return replies.select("query_id", "context", "status", F.length("context").alias("characters"))

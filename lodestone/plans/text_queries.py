@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import base_name, extension, language_of
+from lodestone.operators import blocks as K
 from lodestone.operators import chunks as C
 from lodestone.operators import lines as L
 from lodestone.operators import postings as X
 from lodestone.plans.registry import registered, rounded, table, wide_table
 from lodestone.session import checkpointed, scratch_path
-from lodestone.sources.files import read_files, read_lines
+from lodestone.sources.files import read_ended_lines, read_files, read_lines
 
 CAP, OVERLAP = 2048, 256
 
@@ -66,6 +67,29 @@ def chunks_sql(blocks: str, key: str, tail: str) -> str:
     {tail}"""
 
 
+def packed_sql(blocks: str, key: str, tail: str) -> str:
+    """As ``chunks_sql``, for texts of many units: where a chunk ends and the next begins is joined, not searched."""
+    units = chunks_sql(blocks, key, "").split("sized AS")[0]
+    return rf"""{units}
+    b AS (SELECT {key}, i, u, length(u) AS l,
+            sum(length(u)) OVER (PARTITION BY {key} ORDER BY i) - length(u) AS s FROM unit),
+    bound AS (SELECT {key}, i, s FROM b UNION ALL SELECT {key}, max(i) + 1, max(s + l) FROM b GROUP BY {key}),
+    ends AS (SELECT b.{key}, b.i, e.i AS p FROM b ASOF JOIN bound e ON b.{key} = e.{key} AND b.s + {CAP} >= e.s),
+    room AS (SELECT x.{key}, x.i, x.p, y.s - least({OVERLAP}, {CAP} - y.l) AS t
+             FROM ends x LEFT JOIN b y ON x.{key} = y.{key} AND x.p = y.i),
+    nxt AS (SELECT r.{key}, r.i, r.p, greatest(r.i + 1, e.i) AS j
+            FROM (SELECT * FROM room WHERE t IS NOT NULL) r ASOF JOIN b e ON r.{key} = e.{key} AND r.t <= e.s
+            UNION ALL SELECT {key}, i, p, NULL FROM room WHERE t IS NULL),
+    span AS (SELECT {key}, i, p, j FROM nxt WHERE i = 1
+             UNION ALL SELECT m.{key}, m.i, m.p, m.j FROM span JOIN nxt m ON m.{key} = span.{key} AND m.i = span.j),
+    cut AS (SELECT x.{key}, x.f, regexp_replace(string_agg(b.u, '' ORDER BY b.i), '^\s+|\s+$', '', 'g') AS chunk
+            FROM (SELECT {key}, i AS f, unnest(range(i, p)) AS i FROM span) x
+            JOIN b ON b.{key} = x.{key} AND b.i = x.i GROUP BY x.{key}, x.f),
+    chunk AS (SELECT {key}, chunk, row_number() OVER (PARTITION BY {key} ORDER BY f) - 1 AS chunk_number
+              FROM cut WHERE chunk <> '')
+    {tail}"""
+
+
 TEXT_BLOCKS = r"SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS bs FROM documents"
 
 
@@ -207,6 +231,119 @@ def log_chunks_by_rows(spark, folder):
     return C.chunk_log(context, "user_id", [], CAP, OVERLAP)
 
 
+@registered(
+    packed_sql(
+        f"""WITH k AS (
+          SELECT line, row_number() OVER (ORDER BY ts) - 1 AS n
+          FROM (SELECT *, event_type || ' ' || props AS line FROM events)
+          WHERE NOT contains(lower(line), 'view')),
+        h AS (SELECT n AS hit_n FROM k WHERE {HITS})
+        SELECT 'events' AS file, list(k.line || chr(10) ORDER BY h.hit_n, k.n) AS bs
+        FROM h JOIN k ON k.n BETWEEN h.hit_n - 20 AND h.hit_n + 20 WHERE trim(k.line) <> ''""",
+        "file",
+        "SELECT file, chunk_number, chunk FROM chunk",
+    )
+)
+def log_chunks_long(spark, folder):
+    """All events as one log, by rows, whatever its number of hits and lines."""
+    lines = event_lines(spark, folder).withColumn("file", F.lit("events"))
+    numbered = L.drop_noise(lines, "file", "ts", F.date_trunc("day", "ts"), ["VIEW"])
+    return C.chunk_log(L.error_context(numbered, "file"), "file", [], CAP, OVERLAP)
+
+
+@registered(
+    packed_sql(
+        r"""SELECT source, regexp_extract_all(string_agg(text || chr(10), '' ORDER BY doc_id),
+              '[^\n]*\n|[^\n]+') AS bs FROM documents GROUP BY source""",
+        "source",
+        "SELECT source, chunk_number, chunk FROM chunk",
+    )
+)
+def text_chunks_by_rows(spark, folder):
+    """The documents of a source as one text file, read in splits and chunked without being one value."""
+    path = scratch_path(spark, "sources")
+    documents = table(spark, folder, "documents").select("source", "doc_id", "text")
+    dealt = documents.repartition("source").sortWithinPartitions("source", "doc_id")
+    dealt.select("source", "text").write.partitionBy("source").text(path)
+    lines = read_ended_lines(spark, path, ["text"]).withColumn(
+        "source", F.regexp_extract("path", "source=([^/]*)/", 1)
+    )
+    return C.chunk_rows(lines, "source", ["block", "row"], F.col("block"), [], CAP, OVERLAP)
+
+
+#: Source text made of a part, by language; K, N and S stand for its key, name and size.
+PART_CODE = {
+    "rust": "/// N\npub fn part_K() -> u32 {\n    S\n}\n",
+    "python": "@part\ndef part_K():\n    # N\n    return S\n",
+    "java": "    /* N */\n    public int partK() {\n        return S;\n    }\n",
+    "javascript": "// N\nexport function partK() {\n  return S;\n}\n",
+    "typescript": "// N\nexport interface partK {\n  size: S;\n}\n",
+    "tsx": "// N\nexport const partK = () => <p>S</p>;\n",
+    "go": "// N\nfunc partK() int {\n\treturn S\n}\n",
+    "scala": "  // N\n  case object partK {\n    val size = S\n  }\n",
+    "c": "/* N */\nint part_K(void)\n{\n    return size(S);\n}\n",
+    "cpp": "// N\nnamespace parts {\nint part_K(int a)\n{\n    return a + S;\n}\n}\n",
+}
+
+
+def _code_sql() -> str:
+    made, marks = [], []
+    for number, (language, code) in enumerate(PART_CODE.items()):
+        text = code.replace("\n", "\\n").replace("\t", "\\t")
+        made.append(f"WHEN {number} THEN E'{text}'")
+        body = C.DECLARATIONS[language].removeprefix("(?m)(?=").removesuffix(")").replace("[^;]*$", "[^;\\n]*$")
+        marks.append(f"WHEN '{language}' THEN regexp_replace(text, '(?m){body}', chr(1) || '\\0', 'g')")
+    names = ", ".join(f"'{name}'" for name in PART_CODE)
+    return packed_sql(
+        f"""WITH made AS (SELECT ([{names}])[p_partkey % 10 + 1] AS language, p_type, p_partkey,
+              replace(replace(replace(CASE p_partkey % 10 {" ".join(made)} END,
+                'K', p_partkey::VARCHAR), 'N', p_name), 'S', p_size::VARCHAR) AS code FROM part),
+            files AS (SELECT language || '/' || p_type AS file, language,
+              string_agg(code, chr(10) ORDER BY p_partkey) AS text FROM made GROUP BY language, p_type)
+            SELECT file, list_filter(string_split(CASE language {" ".join(marks)} END, chr(1)),
+              lambda x: x <> '') AS bs FROM files""",
+        "file",
+        "SELECT file, chunk_number, chunk FROM chunk",
+    )
+
+
+def _part_code(spark, folder):
+    """Rows ``file, language, p_partkey, code``: every part as a declaration in one of ten languages."""
+    parts = table(spark, folder, "part")
+    which = F.expr(f"CAST(p_partkey % {len(PART_CODE)} + 1 AS INT)")
+    language = F.element_at(F.array(*map(F.lit, PART_CODE)), which)
+    code = F.element_at(F.array(*map(F.lit, PART_CODE.values())), which)
+    for letter, value in (("K", "p_partkey"), ("N", "p_name"), ("S", "p_size")):
+        code = F.replace(code, F.lit(letter), F.col(value).cast("string"))
+    file = F.concat(language, F.lit("/"), "p_type")
+    return parts.select(file.alias("file"), language.alias("language"), "p_partkey", code.alias("code"))
+
+
+@registered(_code_sql())
+def code_chunks(spark, folder):
+    """Source files in ten languages, one value each, chunked at declarations."""
+    part = F.floor(F.col("p_partkey") / 4096)
+    files = L.join_lines(_part_code(spark, folder), "file", ["p_partkey"], part, "code")
+    files = files.withColumn("language", F.split("file", "/")[0])
+    return C.chunk_code(files, keep=["file"], cap=CAP, overlap=OVERLAP)
+
+
+@registered(_code_sql())
+def code_chunks_by_rows(spark, folder):
+    """The same files line by line, none of them ever one value."""
+    made = _part_code(spark, folder)
+    # every part of a file but its last is followed by an empty line
+    last = made.groupBy("file").agg(F.max("p_partkey").alias("_last"))
+    more = F.col("p_partkey") < F.col("_last")
+    made = made.join(last, "file").withColumn(
+        "code", F.when(more, F.concat("code", F.lit("\n"))).otherwise(F.col("code"))
+    )
+    cut = F.regexp_extract_all("code", F.lit(C.LINE), F.lit(0))
+    lines = made.select("file", "language", "p_partkey", F.posexplode(cut).alias("n", "line"))
+    part, boundary = F.floor(F.col("p_partkey") / 4096), C.declaration_start(F.col("language"))
+    return C.chunk_rows(lines, "file", ["p_partkey", "n"], part, [], CAP, OVERLAP, boundary)
+
+
 PATHS = """'/data/' || source || '/f' || doc_id || '.' || CASE lang
       WHEN 'en' THEN 'txt' WHEN 'fr' THEN 'rs' WHEN 'de' THEN 'PY' ELSE 'h' END"""
 
@@ -314,8 +451,7 @@ def term_stats(spark, folder):
     return X.term_stats(X.term_counts(documents, "text", "doc_id"))
 
 
-@registered(
-    f"""WITH {_terms_sql("text", "documents", "doc_id")},
+RANKED = f"""WITH {_terms_sql("text", "documents", "doc_id")},
     c AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
     f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
     q AS (SELECT DISTINCT item_id AS query_id,
@@ -328,7 +464,9 @@ def term_stats(spark, folder):
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
           FROM s)
     SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
-)
+
+
+@registered(RANKED)
 def bm25(spark, folder):
     documents = table(spark, folder, "documents")
     index = checkpointed(X.term_counts(documents, "text", "doc_id"))
@@ -337,3 +475,33 @@ def bm25(spark, folder):
     corpus = X.corpus_stats(documents, "text", stats)
     found = X.keyword_search(index, stats, corpus, queries, 10, "doc_id")
     return found.select("query_id", "doc_id", rounded("score", "score"), "rank")
+
+
+def _blocks(spark, folder):
+    """The documents, their numbers and their words in blocks."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    rows = checkpointed(K.numbered_rows(documents, ["doc_id"]))
+    return documents, rows, K.blocks_of(K.text_rows(documents, rows, "text", ["doc_id"]))
+
+
+@registered(RANKED)
+def bm25_blocks(spark, folder):
+    """The same ranking from postings in blocks, of which only those are expanded that may matter."""
+    documents, rows, blocks = _blocks(spark, folder)
+    target = scratch_path(spark, "blocks")
+    blocks.write.partitionBy("bucket").parquet(target)
+    blocks = spark.read.parquet(target)
+    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    totals = K.text_totals(documents.where("text IS NOT NULL"), blocks)
+    found = K.search_blocks(blocks, totals, rows, queries, 10, ["doc_id"])
+    return found.select("query_id", "doc_id", rounded("score", "score"), "rank")
+
+
+@registered(
+    f"""WITH {_terms_sql("text", "documents", "doc_id")}
+    SELECT doc_id, term, tf, first_pos, last_pos FROM p"""
+)
+def postings_blocks(spark, folder):
+    """The postings of the documents, expanded from their blocks."""
+    _, rows, blocks = _blocks(spark, folder)
+    return _shown_postings(K.expanded(blocks, places=True).join(rows, "row_no"), "doc_id")

@@ -323,7 +323,7 @@ def file_context(spark, folder):
     lines = lines_with_vectors(spark, folder)
     queries = mean_queries(table(spark, folder, "embeddings"))
     found = R.retrieve(
-        lines, queries, "file", 4, cap=None, key=["vec_id"], vector="embedding"
+        lines, queries, "file", 4, cap=None, key=["vec_id"], vector="embedding", file="metadata"
     )
     return found.select("query_id", "metadata", "vec_id", "content")
 
@@ -340,7 +340,7 @@ def file_context_capped(spark, folder):
     lines = lines_with_vectors(spark, folder)
     queries = mean_queries(table(spark, folder, "embeddings"))
     found = R.retrieve(
-        lines, queries, "file", 4, cap=ROW_CAP, key=["vec_id"], vector="embedding"
+        lines, queries, "file", 4, cap=ROW_CAP, key=["vec_id"], vector="embedding", file="metadata"
     )
     return found.select("query_id", "metadata", "vec_id", "rank")
 

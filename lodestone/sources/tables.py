@@ -56,9 +56,9 @@ def insert_rows(
 
 
 def published(spark: SparkSession, target: str) -> tuple[int, list[str]]:
-    """The number of a table's current version and the folders it is made of; 0 and none before the first."""
+    """The number of a table's current version and the loads it is made of; 0 and none before the first."""
     try:
-        versions = spark.read.schema("number long, parts array<string>").parquet(f"{target}/versions")
+        versions = spark.read.schema("number long, loads array<string>").parquet(f"{target}/versions")
         last = versions.orderBy(F.desc("number")).limit(2).collect()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
@@ -66,20 +66,28 @@ def published(spark: SparkSession, target: str) -> tuple[int, list[str]]:
         return 0, []
     if len(last) == 2 and last[0].number == last[1].number:
         raise ValueError(f"two writers published version {last[0].number} of {target}")
-    return (last[0].number, list(last[0].parts)) if last else (0, [])
+    return (last[0].number, list(last[0].loads)) if last else (0, [])
 
 
-def publish(spark: SparkSession, target: str, parts: Sequence[str], after: int) -> None:
-    """Make ``parts`` the current version of a table, the one that follows ``after``.
+def publish(spark: SparkSession, target: str, loads: Sequence[str], after: int) -> None:
+    """Make ``loads`` the current version of a table, the one that follows ``after``.
 
-    The pointer is one file that appears as a whole, after all the parts are
+    The pointer is one file that appears as a whole, after all the loads are
     written: until then, and for a reader that has opened the table, the version
     before it stands.
     """
-    row = spark.createDataFrame([(after + 1, list(parts))], "number long, parts array<string>")
+    row = spark.createDataFrame([(after + 1, list(loads))], "number long, loads array<string>")
     row.coalesce(1).write.mode("append").parquet(f"{target}/versions")
 
 
-def open_parts(spark: SparkSession, parts: Sequence[str], name: str) -> DataFrame:
-    """What all parts of a version hold under ``name``."""
-    return spark.read.parquet(*[f"{part}/{name}" for part in parts])
+def load_folder(target: str, name: str, load: str) -> str:
+    """Where one load keeps the part ``name`` of a table."""
+    return f"{target}/{name}/load={load}"
+
+
+def open_loads(spark: SparkSession, target: str, name: str, loads: Sequence[str], schema: str | None = None) -> DataFrame:
+    """The part ``name`` of a table, from all of ``loads``; ``schema`` where it may hold no row."""
+    reader = spark.read.option("basePath", f"{target}/{name}")
+    if schema is not None:
+        reader = reader.schema(f"{schema}, load string")
+    return reader.parquet(*[load_folder(target, name, load) for load in loads]).drop("load")

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lodestone.functions.text import base_name, language_of
-from lodestone.operators.chunks import chunk_files
 from lodestone.operators.embedding import Embedder
-from lodestone.plans.jobs import insert, vector_rows
+from lodestone.plans.jobs import load_more
 from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE, PARTITIONS
-from lodestone.session import checkpointed
 from lodestone.sources.files import name_pattern
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -51,7 +49,6 @@ def insert_stream(
     """
 
     def add(batch: DataFrame, _number: int) -> None:
-        chunks = checkpointed(chunk_files(batch, ["path", "metadata"], chunk_size, overlap))
-        insert(batch.sparkSession, vector_rows(chunks, embedder), target, partitions=partitions)
+        load_more(batch.sparkSession, batch, target, embedder, chunk_size, overlap, partitions)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

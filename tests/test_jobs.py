@@ -7,7 +7,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunks import chunk_files
-from lodestone.operators.embedding import HashingEmbedder
+from lodestone.operators import retrieve as R
+from lodestone.operators.embedding import FunctionEmbedder, HashingEmbedder
 from lodestone.operators.lines import drop_noise
 from lodestone.operators.generation import stub_generator
 from lodestone.plans import jobs
@@ -106,8 +107,10 @@ def test_load_and_query(spark, loaded):
     top = lambda rows: sorted((r.query_id, r["rank"], round(r._distance, 6)) for r in rows)
     assert top(indexed) == top(exact)
 
-    files = jobs.query(table, queries, EMBEDDER, "file", k=1).where("query_id = 'p'")
+    files = jobs.query(table, queries, EMBEDDER, "file", k=1, file="metadata").where("query_id = 'p'")
     assert [r.content for r in files.orderBy(*jobs.KEY).collect()] == ["mod apples;", "", "fn pick() {}", "mod pears;"]
+    files = jobs.query(table, queries, EMBEDDER, "file", k=1).where("query_id = 'p'")
+    assert [r.content for r in files.orderBy(*jobs.KEY).collect()] == ["mod pears;"]
     chunks = jobs.query(table, queries, EMBEDDER, "chunk", k=1, chunk=["path", "chunk_number"])
     assert [r.content for r in chunks.where("query_id = 'p'").collect()] == ["mod pears;"]
     everything = jobs.query(table, queries, EMBEDDER, "all", cap=5)
@@ -214,10 +217,10 @@ def test_a_failed_load_or_insert_changes_nothing(spark, monkeypatch):
     rows = checkpointed(jobs.vector_rows(chunk_files(two, ["path", "metadata"]), EMBEDDER))
     real = jobs.index_words
     for broken in ("metadata", "content"):
-        def fail(spark, rows, numbers, part, column):
+        def fail(spark, rows, numbers, target, load, column):
             if column == broken:
                 raise RuntimeError("lost")
-            real(spark, rows, numbers, part, column)
+            real(spark, rows, numbers, target, load, column)
 
         monkeypatch.setattr(jobs, "index_words", fail)
         for step in (lambda: jobs.load(spark, two, target, EMBEDDER, partitions=1), lambda: jobs.insert(spark, rows, target)):
@@ -245,6 +248,51 @@ def test_stored_upsert(spark):
     assert [(r.query_id, r.path) for r in jobs.search_words(spark, target, asked, 5).collect()] == [(2, "/b.txt")]
 
 
+CALLS = "calls.txt"
+
+
+def test_distinct_lines_are_embedded_once(spark, tmp_path):
+    """Model calls equal distinct lines, over loads too, and rows are as without."""
+    log = str(tmp_path / CALLS)
+
+    def start():
+        def model(texts):
+            with open(log, "a") as out:
+                out.writelines(f"{len(t)}:{t}\n" for t in texts)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    embedder = FunctionEmbedder(start, 2, "lengths")
+    one = spark.createDataFrame([("/a", "a", "text", "x\nyy\nx\n\nx"), ("/b", "b", "text", "yy\nzzz")], FILES)
+    two = spark.createDataFrame([("/c", "c", "text", "zzz\nx\nnew one\n\n" + "yy\n" * 4000)], FILES)
+    target = scratch_path(spark, "distinct")
+    jobs.load(spark, one, target, embedder, partitions=1)
+    table = jobs.load_more(spark, two, target, embedder)
+    said = sorted(open(log).read().splitlines())
+    assert said == sorted(["1:x", "2:yy", "0:", "3:zzz", "7:new one"])
+    rows = [(r.path, r.chunk_number, r.line_no, r.content, list(r.vector)) for r in table.collect()]
+    plain = jobs.vector_rows(chunk_files(one.union(two), ["path", "metadata"]), embedder).collect()
+    assert sorted(rows) == sorted((r.path, r.chunk_number, r.line_no, r.content, [float(len(r.content)), 1.0]) for r in plain)
+    other = FunctionEmbedder(start, 2, "other model")
+    jobs.load_more(spark, two, target, other)
+    assert len(open(log).read().splitlines()) == 15
+
+
+def test_context_of_large_files(spark, loaded, monkeypatch):
+    """Lines and queries that meet by stretches of a file give what sending the queries gives."""
+    table, _ = loaded
+    queries = spark.createDataFrame([("q", "temperature randomness"), ("p", "pears")], "query_id string, text string")
+    shape = lambda df: sorted((r.query_id, r.path, r.chunk_number, r.line_no, r.content) for r in df.collect())
+    for file in ("path", "metadata"):
+        wanted = shape(jobs.query(table, queries, EMBEDDER, "file", k=2, file=file))
+        monkeypatch.setattr(R.nn, "few_results", lambda queries, k: False)
+        for bound in (65_536, 1):
+            monkeypatch.setattr(R, "LINES_PER_STRETCH", bound)
+            assert shape(jobs.query(table, queries, EMBEDDER, "file", k=2, file=file)) == wanted
+        monkeypatch.undo()
+
+
 @pytest.mark.parametrize("tail", ["", "\n", "\r\n"])
 def test_files_by_rows_as_by_value(spark, tmp_path, tail):
     line = "A sentence here. Another one! And a third, it goes on? " * 3
