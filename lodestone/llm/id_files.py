@@ -86,16 +86,33 @@ class WordCoder(PieceCoder):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # strings that the library takes out of the raw text before any other step
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that depend on the text around them")
+        self.added = {token.content: number for number, token in added.items()}
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.added_pattern = re.compile(f"({'|'.join(longest)})") if longest else None
         self.piece_ids: dict[str, list[int]] = {}
         super().__init__(KEPT_WORDS)
 
     def cut(self, text: str) -> Iterable[str]:
+        if self.added_pattern is not None and self.added_pattern.search(text):
+            words: list[str] = []
+            for k, part in enumerate(self.added_pattern.split(text)):
+                words += [part] if k % 2 else self.words(part)
+            return words
+        return self.words(text)
+
+    def words(self, text: str) -> Iterable[str]:
         if SEPARATORS.search(text):
             return [word for word in SPACES.split(text) if word]
         return text.split()
 
     def parts(self, word: str) -> list[str]:
-        """The pieces of a word as the model takes them."""
+        """The pieces of a word as the model takes them; an added token is one piece."""
+        if word in self.added:
+            return [word]
         plain = PLAIN_WORD.fullmatch(word)
         if plain is None:
             normal = self.tokenizer.normalizer.normalize_str(word)
@@ -116,7 +133,9 @@ class WordCoder(PieceCoder):
             for piece in self.parts(word):
                 ids = known.get(piece)
                 if ids is None:
-                    ids = known[piece] = [token.id for token in model.tokenize(piece)]
+                    own = self.added.get(piece)
+                    ids = [token.id for token in model.tokenize(piece)] if own is None else [own]
+                    known[piece] = ids
                 out += ids
             counts.append(len(out) - size)
         return np.array(out, np.int32), np.array(counts, np.int64)

@@ -81,12 +81,12 @@ def test_pack_and_unpack():
 
 def test_words_equal_the_library():
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     coder = id_files.WordCoder(WORDS)
     texts = [t for _, t, *_ in awkward() if t and len(t) < 10_000]
     texts += [f"ab{chr(c)}cd {chr(c)}Ef{chr(c)}́ x" for c in [*range(1, 0x300), 0x1680, 0x2003, 0x202F, 0x3000, 0x200B]]
     texts += [w + p for w in ("Straße", "ÉCOLE", "Œuvre", "µm") for p in ("", ".", "...", "!?", "'s", "—", "a1")]
     ids, bounds = coder.encode(texts)
+    texts += ["a <|endoftext|> b", "A<|ENDOFTEXT|>b", "x<|startoftext|><|endoftext|>y z", "<|endoftext|", "q\u3000<|endoftext|>.", "<|endoftext|>"]
     for k, found in enumerate(library.encode_batch(texts, add_special_tokens=False)):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == found.ids
 
@@ -94,7 +94,6 @@ def test_words_equal_the_library():
 def test_files_of_awkward_rows(spark, monkeypatch):
     monkeypatch.setattr(id_files, "BLOCK_IDS", 50)
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     found = id_files.write_texts(crowded(frame(spark)), WORDS, 1, scratch_path(spark, "files")).collect()
     rows = sorted(((d, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for d, t, *_ in awkward()), key=lambda r: (r[0] is not None, r[0] or 0))
     start, wanted = 0, []
