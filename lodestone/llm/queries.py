@@ -110,8 +110,8 @@ def _url_sql() -> str:
     rules = ", ".join(f"('{verdict}', '{rule}')" for verdict, rule in URL_RULES)
     unit, start = url_filter.UNIT, url_filter.UNIT * (100 - url_filter.WALKS) // 100
     steps = []
-    for name, seeds, source, target in (("t", "allowed = n", "src", "dst"), ("d", "allowed = 0", "dst", "src")):
-        steps.append(f"{name}s AS (SELECT host, {start}::BIGINT AS score FROM seeds WHERE {seeds})")
+    for name, seeds, source, target in (("t", "allowed", "src", "dst"), ("d", "(n - allowed)", "dst", "src")):
+        steps.append(f"{name}s AS (SELECT host, {start}::BIGINT * {seeds} // n AS score FROM seeds WHERE {seeds} > 0)")
         steps.append(
             f"{name}e AS (SELECT src, dst, count(*) OVER (PARTITION BY {source}) AS degree FROM links)"
         )

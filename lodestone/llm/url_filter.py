@@ -1,6 +1,7 @@
 """URL filter: rules by host and path, and trust that spreads over links.
 
-Hosts that rules allow are trusted, hosts that rules block are not. Trust walks
+A host is trusted by the share of its ruled pages that rules allow and
+distrusted by the share that they block; a host may be both. Trust walks
 along links (personalised PageRank from the allowed hosts), distrust walks
 against them (who links to blocked hosts is suspect). Scores are whole numbers,
 so that sums do not depend on their order.
@@ -76,13 +77,15 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread(links: DataFrame, seeds: DataFrame, source: str, target: str) -> DataFrame:
-    """Personalised PageRank of ``seeds`` (``host``) over ``links`` from ``source`` to ``target``: ``host, score``.
+    """Personalised PageRank of ``seeds`` (``host, share, n``) over ``links`` from ``source`` to ``target``: ``host, score``.
+
+    A seed starts with ``share`` of ``n`` parts of what a full seed has.
 
     Rounds go on until no score changes. From the seeds alone no score ever
     falls and all are bounded, and as scores are whole numbers, that point is
     reached; equal sums then mean equal scores.
     """
-    start = seeds.select("host", F.lit(UNIT * (100 - WALKS) // 100).cast("long").alias("score"))
+    start = seeds.select("host", F.expr(f"{UNIT * (100 - WALKS) // 100}L * share div n").alias("score"))
     if no_rows(links):
         return start
     degree = links.groupBy(source).agg(F.count("*").alias("degree"))
@@ -106,7 +109,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     The longest rule that fits decides; ``rule`` is null where none fits, and the
     verdict is then block where the host's distrust exceeds its trust and
-    ``LEAST_DISTRUST``, else allow. A null url or one without ``://`` has an empty
+    ``LEAST_DISTRUST``, else allow; pages of the same host without a rule follow
+    the rules of the others, and links carry both to further hosts. A null url or one without ``://`` has an empty
     host and path, no rule, and is allowed. Repeated rows are judged each.
     """
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -121,8 +125,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     )
     links = stored(host_links(pages), "host-links")
     by_host = stored(by_host, "seeds")
-    trust = spread(links, by_host.filter("allowed = n"), "src", "dst")
-    distrust = spread(links, by_host.filter("allowed = 0"), "dst", "src")
+    trust = spread(links, by_host.filter("allowed > 0").selectExpr("host", "allowed AS share", "n"), "src", "dst")
+    distrust = spread(links, by_host.filter("allowed < n").selectExpr("host", "n - allowed AS share", "n"), "dst", "src")
     scores = (
         trust.withColumnRenamed("score", "trust")
         .join(distrust.withColumnRenamed("score", "distrust"), "host", "full")

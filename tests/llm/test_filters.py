@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import awkward, crowded, frame
 
 from lodestone.llm import language_id, license_scan, mixing, quality, url_filter
@@ -162,6 +163,30 @@ def test_url_rules_and_trust(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_hosts_with_both_verdicts_seed_in_proportion(spark):
+    rows = [
+        (1, "http://a.example.com/fr/1", None),
+        (2, "http://a.example.com/de/1", None),
+        (2, "http://a.example.com/de/1", None),
+        (3, "http://a.example.com/other", None),
+        (4, "http://b.net/", '<a href="http://a.example.com/">x</a>'),
+        (5, "http://c.example.com/fr/" + "x" * 100_000, None),
+        (6, "http://c.example.com/de/", None),
+        (7, "http://c.example.com/else", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
+        {name: F.lit("x") for name in ("host", "rule", "trust", "score", "n", "allowed")}
+    )
+    found = url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).collect()
+    assert len(found) == len(rows)
+    by_page = {r.page_id: r for r in found}
+    assert (by_page[3].verdict, by_page[4].verdict, by_page[7].verdict) == ("block", "block", "allow")
+    assert (by_page[7].trust, by_page[7].distrust) == (75_000_000, 75_000_000)
+    # a third of the host's ruled pages is allowed; distrust goes to what links to it
+    assert (by_page[3].trust, by_page[3].distrust) == (50_000_000, 100_000_000)
+    assert (by_page[4].trust, by_page[4].distrust) == (0, 85_000_000)
+
+
 def test_distrust_walks_until_nothing_changes(spark):
     """A chain of 12 hosts to a blocked one, and a cycle whose scores rise for far more than 8 rounds."""
     chain = ["bad.com/de/"] + [f"h{k}.net/" for k in range(1, 14)]
