@@ -288,6 +288,24 @@ def collect_queries(
     return QuerySet(ids.take(pa.array(usable)), vectors)
 
 
+def few_queries(
+    queries: DataFrame, query_id: str, query_vector: str, k: int, max_bytes: int = QUERY_BYTES
+) -> list[QuerySet] | None:
+    """The query vectors by their widths, from one read; None where they are many or exceed ``max_bytes``."""
+    asked = queries.where(F.col(query_vector).isNotNull() & (F.size(query_vector) > 0))
+    table = asked.select(query_id, query_vector).limit(FIRST_QUERIES + 1).toArrow()
+    if table.num_rows > FIRST_QUERIES:
+        return None
+    ids, vectors = (pa.concat_arrays(c.chunks) if c.num_chunks else c.combine_chunks() for c in table.columns)
+    found = []
+    for width in np.unique(np.diff(vectors.offsets.to_numpy())) if len(vectors) else []:
+        usable, matrix = vectors_of(vectors, int(width))
+        if len(usable) > max(1, max_bytes // (int(width) * 16 + k * 64)):
+            return None
+        found.append(QuerySet(ids.take(pa.array(usable)), matrix))
+    return found
+
+
 def scan_nearest(
     table: DataFrame,
     queries: QuerySet,
@@ -468,6 +486,13 @@ def nearest(
     keys = [key] if isinstance(key, str) else list(key)
     search = Search(k, metric, min_distance, max_distance)
     schema = _result_schema(table, queries, keys, query_id)
+    few = few_queries(queries, query_id, query_vector, k, max_query_bytes) if dimension is None else None
+    if few:
+        parts = [scan_nearest(table, held, search, schema, keys, vector, query_id) for held in few]
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.union(part)
+        return top_k(found, [query_id], [DISTANCE, *keys], k)
     widths = widths_of(queries, query_vector) if dimension is None else [dimension]
     found = table.sparkSession.createDataFrame([], schema)
     for number, width in enumerate(widths):

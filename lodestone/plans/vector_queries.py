@@ -288,6 +288,22 @@ def index_search(spark, folder):
     )
 
 
+@registered(_top("list_cosine_distance", 30))
+def index_search_all(spark, folder):
+    """Codes of all partitions, re-ranked with full vectors: the exact answer."""
+    embeddings = table(spark, folder, "embeddings")
+    centroids = ivf.train_centroids(embeddings, "embedding", PARTS)
+    quantizer = ivf.Quantizer.fit(embeddings, "embedding")
+    placed = ivf.assign_partitions(embeddings, centroids, "embedding")
+    placed = ivf.encode_vectors(placed, quantizer, "embedding")
+    return _shown(
+        ivf.refined_nearest(
+            placed, quantizer, mean_queries(embeddings), 30, centroids=centroids, nprobes=PARTS,
+            key="vec_id", vector="embedding",
+        )
+    )
+
+
 def lines_with_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors with the text and file name of the document of the same number."""
     documents = table(spark, folder, "documents").select(
