@@ -97,7 +97,7 @@ class WordCoder(PieceCoder):
         super().__init__(KEPT_WORDS)
 
     def cut(self, text: str) -> Iterable[str]:
-        if self.added_pattern is not None and self.added_pattern.search(text):
+        if any(map(text.__contains__, self.added)):
             words: list[str] = []
             for k, part in enumerate(self.added_pattern.split(text)):
                 words += [part] if k % 2 else self.words(part)
