@@ -71,13 +71,13 @@ def packed_sql(blocks: str, key: str, tail: str) -> str:
     """As ``chunks_sql``, for texts of many units: where a chunk ends and the next begins is joined, not searched."""
     units = chunks_sql(blocks, key, "").split("sized AS")[0]
     return rf"""{units}
-    b AS (SELECT {key}, i, u, length(u) AS l,
+    b AS MATERIALIZED (SELECT {key}, i, u, length(u) AS l,
             sum(length(u)) OVER (PARTITION BY {key} ORDER BY i) - length(u) AS s FROM unit),
     bound AS (SELECT {key}, i, s FROM b UNION ALL SELECT {key}, max(i) + 1, max(s + l) FROM b GROUP BY {key}),
     ends AS (SELECT b.{key}, b.i, e.i AS p FROM b ASOF JOIN bound e ON b.{key} = e.{key} AND b.s + {CAP} >= e.s),
     room AS (SELECT x.{key}, x.i, x.p, y.s - least({OVERLAP}, {CAP} - y.l) AS t
              FROM ends x LEFT JOIN b y ON x.{key} = y.{key} AND x.p = y.i),
-    nxt AS (SELECT r.{key}, r.i, r.p, greatest(r.i + 1, e.i) AS j
+    nxt AS MATERIALIZED (SELECT r.{key}, r.i, r.p, greatest(r.i + 1, e.i) AS j
             FROM (SELECT * FROM room WHERE t IS NOT NULL) r ASOF JOIN b e ON r.{key} = e.{key} AND r.t <= e.s
             UNION ALL SELECT {key}, i, p, NULL FROM room WHERE t IS NULL),
     span AS (SELECT {key}, i, p, j FROM nxt WHERE i = 1
