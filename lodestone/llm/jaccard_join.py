@@ -51,12 +51,19 @@ REGION_ITEMS = 2_000_000
 CLASSES = 256
 #: Members of a region whose profiles are compared; all members of a larger one stay.
 COMPARED = 2000
+#: Large regions up to which their pivots are sent to the tasks; 8 bytes each.
+SENT_PIVOTS = 1_000_000
 #: Documents with a region up to which their ids are sent to the scan of the texts.
 SENT_DOCS = 500_000
 #: Bits of a packed pivot that name the node; the bits above hold how central it is.
 NODE_BITS = 55
 
 
+def _mark() -> Column:
+    """Tells the texts of one id apart; never null."""
+    return F.xxhash64("text").alias("mark")
+
+
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -162,39 +169,40 @@ def windowed(member: DataFrame, nodes: DataFrame, percent: int, partitions: int)
     """The rows of ``member`` that have a possible partner in their region, and the pivots of those regions."""
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, passing = None, [], False
-
-        def rows(found: list[tuple[int, int]], pivot: int) -> pa.RecordBatch:
+        key, held = None, []
+
+        def survivors() -> pa.RecordBatch:
+            found = []
+            if len(held) > 1:
+                profiles = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), CLASSES)
+                keep = partners(profiles, np.array([h[1] for h in held], np.int64), percent)
+                if keep.any():
+                    keep |= np.array([h[0] == key for h in held])
+                found = [h[:2] for h, k in zip(held, keep.tolist()) if k]
             node, size = zip(*found) if found else ((), ())
             columns = [pa.array(node, pa.int64()), pa.array(size, pa.int64())]
-            columns.append(pa.array([pivot] * len(found), pa.int64()))
+            columns.append(pa.array([key] * len(found), pa.int64()))
             return pa.RecordBatch.from_arrays(columns, ["node", "n", "pivot"])
 
-        def survivors() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            profiles = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), CLASSES)
-            keep = partners(profiles, np.array([h[1] for h in held], np.int64), percent)
-            if keep.any():
-                keep |= np.array([h[0] == key for h in held])
-            return [h[:2] for h, k in zip(held, keep.tolist()) if k]
-
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[3] != key:
                     if held:
-                        yield rows([h[:2] for h in held] if passing else survivors(), key)
-                    key, held, passing = row[3], [], False
+                        yield survivors()
+                    key, held = row[3], []
                 held.append(row[:3])
-                if len(held) > COMPARED:
-                    yield rows([h[:2] for h in held], key)
-                    held, passing = [], True
         if held:
-            yield rows([h[:2] for h in held] if passing else survivors(), key)
-
-    known = member.join(nodes.select("node", "profile"), "node").select("node", "n", "profile", "pivot")
+            yield survivors()
+
+    sizes = member.groupBy("pivot").agg(F.count("*").alias("members"))
+    large = stored(sizes.filter(F.col("members") > COMPARED).select("pivot"), "large-pivots")
+    # a large region is not compared here, so its members need no profile and meet in no task
+    side = F.broadcast(large) if has_at_most(large, SENT_PIVOTS) else large
+    passed = member.join(side, "pivot", "left_semi").select("node", "n", "pivot")
+    small = member.join(side, "pivot", "left_anti")
+    known = small.join(nodes.select("node", "profile"), "node").select("node", "n", "profile", "pivot")
     dealt = known.repartition(partitions, "pivot").sortWithinPartitions("pivot")
-    return dealt.mapInArrow(check, "node long, n long, pivot long")
+    return dealt.mapInArrow(check, "node long, n long, pivot long").unionByName(passed)
 
 
 def regions(nodes: DataFrame) -> DataFrame:
@@ -289,6 +297,7 @@ def _joined(rows: DataFrame, keys: list[str], percent: int, partitions: int) ->
 
     def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray, bool]] = []
+        seen: set[tuple[int, bool]] = set()
         key = None
 
         def flush() -> tuple[list[int], list[int]]:
@@ -313,8 +322,11 @@ def _joined(rows: DataFrame, keys: list[str], percent: int, partitions: int) ->
                         more = flush()
                         a += more[0]
                         b += more[1]
-                    held, key = [], this
-                held.append((nodes[k], values[bounds[k] : bounds[k + 1]], seeks[k]))
+                    held, seen, key = [], set(), this
+                # a repeated row may have sent its set from several tasks
+                if (nodes[k], seeks[k]) not in seen:
+                    seen.add((nodes[k], seeks[k]))
+                    held.append((nodes[k], values[bounds[k] : bounds[k + 1]], seeks[k]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if held:
             a, b = flush()
@@ -326,7 +338,7 @@ def _joined(rows: DataFrame, keys: list[str], percent: int, partitions: int) ->
 
 def _star(members: DataFrame, percent: int) -> DataFrame:
     """``members`` of large regions with ``linked``, whether the pivot links them."""
-    pivots = members.filter("node = pivot").select("pivot", F.col("items").alias("centre"))
+    pivots = members.filter("node = pivot").select("pivot", F.col("items").alias("centre")).dropDuplicates(["pivot"])
     common = F.size(F.array_intersect("items", "centre"))
     linked = 100 * common >= percent * (F.size("items") + F.size("centre") - common)
     return members.join(pivots, "pivot").withColumn("linked", linked).drop("centre")
@@ -342,16 +354,26 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
         F.collect_list(F.struct("pivot", "blocks")).alias("regions")
     )
     wanted = stored(
-        wanted.join(nodes, "node").select("node", "regions", "digest", F.col("doc_id").alias("_doc_id")), "wanted"
+        wanted.join(nodes, "node").select(
+            "node", "regions", "digest", F.col("one.doc_id").alias("_doc_id"), F.col("one.mark").alias("_mark")
+        ),
+        "wanted",
     )
     side = F.broadcast(wanted) if has_at_most(wanted, SENT_DOCS) else wanted
-    own = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    # by id and text, as many texts may have one id or none
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("mark") == F.col("_mark"))
+    own = docs.select("doc_id", "text", _mark()).join(side, same)
 
     def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for block in text_blocks(batches, "text", BLOCK):
             sets = list(shingle_sets(block.column(0), words))
-            # an id may stand for several texts; the digest tells which is meant
-            keep = [k for k, d in enumerate(block.column(2).to_pylist()) if _digest(sets[k]) == d]
+            keep = []
+            for k, (node, digest) in enumerate(zip(block.column(1).to_pylist(), block.column(2).to_pylist())):
+                # a repeated row names the same node again; the digest tells texts of one mark apart
+                if node not in sent and _digest(sets[k]) == digest:
+                    sent.add(node)
+                    keep.append(k)
             ends = np.cumsum([0, *(len(sets[k]) for k in keep)])
             flat = np.concatenate([sets[k] for k in keep]) if keep else np.zeros(0, np.int64)
             rows = pa.array(keep, pa.int64())
@@ -387,12 +409,12 @@ def _classified(docs: DataFrame, words: int, percent: int, name: Column) -> Data
     ``least`` is null where the text has no words.
     """
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    held = stored(prefixes(docs, words, percent), "prefixes")
+    held = stored(prefixes(docs.withColumn("mark", _mark()), words, percent), "prefixes")
     nodes = (
         held.filter("n > 0")
         .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("doc_id"),
+            F.min(F.struct("doc_id", "mark")).alias("one"),
             F.first("n").alias("n"),
             F.first("prefix").alias("prefix"),
             F.first("central").alias("central"),

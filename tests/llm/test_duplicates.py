@@ -122,3 +122,18 @@ def test_repeated_passages_of_awkward_rows(spark):
     found = substring_dedup.repeated_passages(frame(spark)).collect()
     assert {1, 2, 4, 13} <= {r.doc_id for r in found}
     assert not {5, 6, 7, 8, 9, 10, 15, 16} & {r.doc_id for r in found}
+
+
+def test_near_duplicates_of_many_rows_without_an_id(spark):
+    def text(k):
+        return " ".join(f"own{k // 2}word{i}" for i in range(20)) + f" end{k}"
+
+    # pairs of near copies, all without an id, and one text that fills a third of the rows
+    rows = [(None, text(k), "en", "a") for k in range(3000)] + [(7, text(0), "en", "a")] * 1500
+    found = jaccard_join.near_duplicates(frame(spark, rows), 4, 85).collect()
+    assert len(found) == len(rows)
+    assert sum(r.doc_id == 7 and r.component_id == 7 for r in found) == 1500
+    # the texts of the first pair share the component that has an id
+    assert sum(r.doc_id is None and r.component_id == 7 for r in found) == 2
+    kept = jaccard_join.keep_distinct(frame(spark, rows), 4, 85).collect()
+    assert sum(r.doc_id is None for r in kept) == 1499 and sum(r.doc_id == 7 for r in kept) == 1500
