@@ -55,14 +55,21 @@ def masked_ends(data: np.ndarray, bounds: np.ndarray, bits: int, longest: int) -
     return ends
 
 
-def peak_ends(data: np.ndarray, bounds: np.ndarray, reach: int) -> np.ndarray:
-    """Where chunks end: the hash is the largest within ``reach`` bytes on either side, or a document ends.
+def word_gear(words: np.ndarray) -> np.ndarray:
+    """At every word a hash of it and the word before, made from 64-bit digests as ``gear`` is from bytes."""
+    out = (words.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    out[1:] += out[:-1].copy() << np.uint32(1)
+    return out
+
 
-    Peaks are more than ``reach`` bytes apart and seldom much farther than twice
+def peak_ends(hashed: np.ndarray, bounds: np.ndarray, before: int, reach: int) -> np.ndarray:
+    """Where chunks end: the hash is the largest within ``reach`` places on either side, or a document ends.
+
+    ``hashed`` has a number per place, made of ``before`` places that end there.
+    Peaks are more than ``reach`` places apart and seldom much farther than twice
     that, so a short passage holds whole chunks wherever it stands. Equal hashes
     are peaks each: a text that repeats one word is cut at every repetition.
     """
-    hashed = gear(data)
     size = len(hashed)
     ends = np.zeros(0, np.int64)
     if size > 2 * reach:
@@ -77,7 +84,7 @@ def peak_ends(data: np.ndarray, bounds: np.ndarray, reach: int) -> np.ndarray:
         middle = hashed[reach : size - reach]
         peaks = (middle >= top[: len(middle)]) & (middle >= top[reach + 1 : reach + 1 + len(middle)])
         ends = np.flatnonzero(peaks) + reach + 1
-        ends = _inside(data, bounds, ends, WINDOW + reach, reach)
+        ends = _inside(hashed, bounds, ends, before + reach, reach)
     ends = np.unique(np.concatenate([ends, bounds[1:]]))
     return ends[ends > 0]
 
@@ -91,13 +98,22 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chunk_digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of every chunk, as signed numbers."""
+    """A 64-bit digest of every chunk of bytes, as signed numbers."""
+    return _digests(MIX[data], ends)
+
+
+def word_chunk_digests(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of every chunk of words, which are given by their own digests."""
+    return _digests(words.view(np.uint64), ends)
+
+
+def _digests(numbers: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(ends):
         return np.zeros(0, np.int64)
     starts = starts_of(ends)
     sizes = ends - starts
     powers = np.multiply.accumulate(np.full(int(sizes.max()), BASE, np.uint64))
-    terms = MIX[data] * powers[np.arange(len(data)) - np.repeat(starts, sizes)]
+    terms = numbers * powers[np.arange(len(numbers)) - np.repeat(starts, sizes)]
     out = np.add.reduceat(terms, starts) + sizes.astype(np.uint64)
     for shift in (29, 32):
         out ^= out >> np.uint64(shift)

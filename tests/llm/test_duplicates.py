@@ -1,9 +1,13 @@
 import hashlib
+import random
+import re
+from collections import defaultdict
 
+import numpy as np
 import pytest
-from helpers import PROSE, awkward, crowded, frame, linked_components, plain
+from helpers import PROSE, WORD, awkward, crowded, frame, linked_components, plain
 
-from lodestone.llm import components, exact_dedup, jaccard_join, substring_dedup
+from lodestone.llm import chunking, components, exact_dedup, jaccard_join, substring_dedup
 
 
 def wanted_copies():
@@ -119,9 +123,70 @@ def test_repeated_passages(spark):
 
 
 def test_repeated_passages_of_awkward_rows(spark):
-    found = substring_dedup.repeated_passages(frame(spark)).collect()
-    assert {1, 2, 4, 13} <= {r.doc_id for r in found}
-    assert not {5, 6, 7, 8, 9, 10, 15, 16} & {r.doc_id for r in found}
+    rows = awkward() + [(30, "und so weiter " * 40, "de", "a"), (31, "und so weiter " * 30, "de", "a")]
+    wanted = passages_by_hand(rows)
+    assert {1, 2, 4, 13, 30, 31} <= {w[0] for w in wanted}
+    assert not {5, 6, 7, 8, 9, 10, 12, 15, 16} & {w[0] for w in wanted}
+    for docs in (frame(spark, rows).coalesce(1), crowded(frame(spark, rows)).repartition(4)):
+        found = substring_dedup.repeated_passages(docs)
+        assert plain(found.select("doc_id", "start_byte", "end_byte", "n_words").collect()) == plain(wanted)
+
+
+def passages_by_hand(rows: list[tuple], least: int = 25) -> list[tuple]:
+    """(doc_id, start_byte, end_byte, n_words) of every passage, from cuts found word by word."""
+    chunked = []
+    holders = defaultdict(set)
+    for x, (_, text, *_) in enumerate(rows):
+        spans = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", (text or "").encode())]
+        words = [(text or "").encode()[a:b] for a, b in spans]
+        marks = [
+            int(chunking.chunk_digests(np.frombuffer(w, np.uint8), np.array([len(w)]))[0]) % 2**64 >> 32 for w in words
+        ]
+        hashed = [0, *((now + 2 * old) % 2**32 for old, now in zip(marks, marks[1:]))]
+        cuts = [i + 1 for i in range(3, len(words) - 2) if hashed[i] == max(hashed[i - 2 : i + 3])]
+        ends = sorted({*cuts, len(words)} - {0})
+        own = [(a, b, tuple(words[a:b])) for a, b in zip([0, *ends], ends)]
+        chunked.append((spans, own))
+        for _, _, chunk in own:
+            holders[chunk].add(x)
+    out = []
+    for (doc_id, *_), (spans, own) in zip(rows, chunked):
+        run = []
+        for a, b, chunk in [*own, (0, 0, None)]:
+            if len(holders.get(chunk, ())) > 1:
+                run.append((a, b))
+                continue
+            if run and run[-1][1] - run[0][0] >= least:
+                out.append((doc_id, spans[run[0][0]][0], spans[run[-1][1] - 1][1], run[-1][1] - run[0][0]))
+            run = []
+    return out
+
+
+@pytest.mark.parametrize("hot_share", [1000, 10**9])
+@pytest.mark.parametrize("letters", [1, 2, 3, 7])
+def test_repeated_passages_of_short_and_long_words(spark, monkeypatch, letters, hot_share):
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", hot_share)
+    dice = random.Random(letters)
+
+    def words(n):
+        return ["".join(dice.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=letters)) for _ in range(n)]
+
+    rows = [(1000 + k, " ".join(words(150)), "en", "a") for k in range(40)]
+    for k in range(40):
+        passage = words(50)
+        for copy in range(2):
+            text = [*words(dice.randrange(60)), *passage, *words(dice.randrange(60))]
+            rows.append((2 * k + copy, "\n ".join(text) if copy else " ".join(text), "en", "b"))
+    found = substring_dedup.repeated_passages(frame(spark, rows).repartition(3)).collect()
+    assert plain((r.doc_id, r.start_byte, r.end_byte, r.n_words) for r in found) == plain(passages_by_hand(rows))
+    texts = {r[0]: r[1] for r in rows}
+    assert all(len(WORD.findall(texts[r.doc_id][r.start_byte : r.end_byte])) == r.n_words for r in found)
+    # every document with a passage is found; with words of one letter, chance repeats join what lies beside it
+    assert set(range(80)) <= {r.doc_id for r in found}
+    if letters > 2:
+        assert {r.doc_id for r in found} == set(range(80))
+    kept = {r.doc_id // 2 for r in found if r.kept and r.doc_id < 1000}
+    assert letters < 3 or kept == set(range(40))
 
 
 def test_near_duplicates_of_many_rows_without_an_id(spark):
