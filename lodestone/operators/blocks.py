@@ -12,16 +12,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.operators.joins import join_same
-from lodestone.operators.ordering import numbered, top_k
-from lodestone.operators.postings import B, K1, QUERY_TERMS, postings, query_terms
+from lodestone.operators.ordering import numbered, running_offsets, top_k
+from lodestone.operators.postings import B, K1, QUERY_TERMS, query_terms, terms
 from lodestone.session import has_at_most, ship_package, stored
 
 #: Buckets of terms, the folders of a stored index.
@@ -30,8 +33,12 @@ BUCKETS = 64
 BLOCK = 256
 #: Rows that one task numbers at a time.
 NUMBERED_ROWS = 1 << 20
+#: Terms of which a task makes blocks at a time.
+PIECE_TERMS = 1 << 21
 #: Row numbers that meet by equality when rows look for the blocks that hold them.
 SPAN = 1 << 16
+#: Terms in the texts of a stretch of rows whose scores one task adds up at a time.
+SPAN_POSTINGS = 1 << 22
 #: Postings, for each row asked for, that are expanded first to learn what score a row needs.
 SEEDS = 4
 #: Scores are compared with this slack, as sums differ in their last digits with their order.
@@ -41,6 +48,7 @@ BLOCKS = (
     "bucket int, term string, first long, last long, n int, total_tf long, max_tf long, least_terms int, "
     "rows binary, tfs binary, sizes binary, places binary"
 )
+UNDEALT = BLOCKS.removeprefix("bucket int, ")
 
 
 def packed_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,61 +91,167 @@ def numbered_rows(table: DataFrame, key: Sequence[str], first: int = 0) -> DataF
     )
 
 
+def placed_rows(table: DataFrame, first: int = 0) -> DataFrame:
+    """``table``, stored, with ``row_no`` from ``first``, without gaps; no row is shuffled."""
+    rows = stored(table.withColumn("_place", F.monotonically_increasing_id()), "placed")
+    task = F.shiftright("_place", 33)
+    starts = running_offsets(rows.withColumn("_all", F.lit(0)), ["_all"], task, F.lit(1)).drop("_all")
+    here = rows.withColumn("_slice", task)
+    number = F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + first
+    # one row for each task that wrote
+    placed = here.join(F.broadcast(starts), "_slice").withColumn("row_no", number.cast("long"))
+    return placed.drop("_slice", "_before", "_place")
+
+
 def text_rows(table: DataFrame, rows: DataFrame, text: str, key: Sequence[str]) -> DataFrame:
     """``row_no`` and ``text`` of the rows that have one."""
     shown = table.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("text"))
     return join_same(shown, rows, list(key)).select("row_no", "text")
 
 
+def _starts(code: np.ndarray, block: int) -> np.ndarray:
+    """Where a block starts, of postings in the order of their term's ``code``."""
+    heads = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    since = np.arange(len(code)) - np.repeat(heads, np.diff(np.append(heads, len(code))))
+    return np.flatnonzero(since % block == 0)
+
+
+def _gaps(row: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    gaps = np.diff(row, prepend=0)
+    gaps[starts] = 0
+    return gaps
+
+
+def _laid(n: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where the gaps, counts, lengths and steps of pieces of ``n`` postings lie among all their numbers."""
+    first = np.cumsum(3 * n + steps) - (3 * n + steps)
+    gaps = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    more = np.repeat(n, n)
+    last = np.repeat(first + 3 * n - (np.cumsum(steps) - steps), steps) + np.arange(steps.sum())
+    return gaps, gaps + more, gaps + 2 * more, last
+
+
+def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows ``row_no`` and their terms, in order, of some million terms at a time."""
+    held, count = [], 0
+    for batch in batches:
+        ends = batch.column(1).offsets.to_numpy().astype(np.int64)
+        first = 0
+        while first < batch.num_rows:
+            room = max(PIECE_TERMS - count, 1)
+            past = max(first + 1, int(np.searchsorted(ends, ends[first] + room, "right")) - 1)
+            held.append(batch.slice(first, past - first))
+            count += int(ends[past] - ends[first])
+            first = past
+            if first < batch.num_rows or count >= PIECE_TERMS:
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """The postings of rows ``row_no`` and their terms, up to ``block`` of a term and a stretch of rows together."""
+    for table in _stretches(batches):
+        row = table.column(0).to_numpy()
+        if (row[1:] < row[:-1]).any():
+            table = table.take(pc.array_sort_indices(table.column(0)))
+            row = table.column(0).to_numpy()
+        sizes = pc.list_value_length(table.column(1)).to_numpy().astype(np.int64)
+        coded = pc.list_flatten(table.column(1)).combine_chunks().dictionary_encode()
+        if not len(coded):
+            continue
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        at = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        codes, of = codes[order], of[order]
+        heads = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])]))
+        steps = np.diff(at, prepend=0)
+        steps[heads] = at[heads]
+        tf, of, codes = np.diff(np.append(heads, len(codes))), of[heads], codes[heads]
+        row, starts = row[of], _starts(codes, block)
+        n = np.diff(np.append(starts, len(codes)))
+        many = np.add.reduceat(tf, starts)
+        numbers = np.empty(int((3 * n + many).sum()), np.int64)
+        for place, values in zip(_laid(n, many), (_gaps(row, starts), tf, sizes[of], steps)):
+            numbers[place] = values
+        data, widths = packed_numbers(numbers)
+        ends = np.concatenate([[0], np.cumsum(widths)])[np.concatenate([[0], np.cumsum(3 * n + many)])]
+        columns = [coded.dictionary.take(pa.array(codes[starts])), pa.array(row[starts]), pa.array(n.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*columns, _binary(data, ends)], ["term", "first", "n", "data"])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and where each value ends."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    held = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return held, ends[1:] - ends[0]
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """All numbers of a column of ``packed_numbers``."""
+    return unpacked_numbers(_bytes(column)[0])
+
+
+def _rows_of(first: np.ndarray, n: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Row numbers of blocks from their gaps."""
+    total = np.cumsum(gaps)
+    return np.repeat(first - total[np.cumsum(n) - n], n) + total
+
+
+def _merged(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks from the pieces of terms."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        term, first, n, data = batch.columns
+        coded, n = term.dictionary_encode(), n.to_numpy().astype(np.int64)
+        held, ends = _bytes(data)
+        numbers, upto = unpacked_numbers(held), np.cumsum(held < 128)[ends - 1]
+        gaps, tf, size, steps = (numbers[place] for place in _laid(n, np.diff(upto, prepend=0) - 3 * n))
+        code, row = np.repeat(coded.indices.to_numpy(), n), _rows_of(first.to_numpy(), n, gaps)
+        if ((code[1:] == code[:-1]) & (row[1:] < row[:-1])).any():
+            order = np.lexsort((row, code))
+            begins = (np.cumsum(tf) - tf)[order]
+            code, row, tf, size = code[order], row[order], tf[order], size[order]
+            steps = steps[np.repeat(begins - (np.cumsum(tf) - tf), tf) + np.arange(len(steps))]
+        starts = _starts(code, block)
+        bounds, places = np.append(starts, len(row)), np.concatenate([[0], np.cumsum(tf)])
+        columns = [coded.dictionary.take(pa.array(code[starts])), pa.array(row[starts]), pa.array(row[bounds[1:] - 1])]
+        columns += [pa.array(np.diff(bounds).astype(np.int32)), pa.array(np.add.reduceat(tf, starts))]
+        columns += [pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(size, starts).astype(np.int32))]
+        for values, cut in ((_gaps(row, starts), bounds), (tf, bounds), (size, bounds), (steps, places[bounds])):
+            packed, sizes = packed_numbers(values)
+            columns.append(_binary(packed, np.concatenate([[0], np.cumsum(sizes)])[cut]))
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in UNDEALT.split(", ")])
+
+
 def blocks_of(texts: DataFrame, tasks: int | None = None, block: int = BLOCK) -> DataFrame:
-    """The blocks of ``texts`` (``row_no, text``), each bucket and term in row order.
+    """The blocks of ``texts`` (``row_no, text``).
 
-    Postings are dealt by ranges of bucket, term and row, so that a term of a
-    third of all postings lies in as many tasks as its share asks for.
+    A task puts together the postings of its own rows; only these pieces, some
+    bytes per posting, are shuffled. Pieces as large as a block are dealt by their
+    row as well as their term, so that a term of a third of all postings lies in
+    as many tasks as its share asks for.
     """
-    ship_package(texts.sparkSession)
-    flat = stored(
-        postings(texts, "text", "row_no").select(
-            F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"),
-            "term",
-            "row_no",
-            F.col("tf").cast("long").alias("tf"),
-            F.col("row_terms").cast("int").alias("row_terms"),
-            "positions",
-        ),
-        "postings",
+    spark = texts.sparkSession
+    ship_package(spark)
+    split = texts.where(F.col("text").isNotNull()).select(F.col("row_no").cast("long"), terms(F.col("text")).alias("_terms"))
+    made = split.mapInArrow(lambda batches: _pieces(batches, block), "term string, first long, n int, data binary")
+    slices = 1 + 2 * (tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))) // BUCKETS
+    near = F.when(F.col("n") >= block, F.floor(F.col("first") / SPAN))
+    dealt = made.select(
+        F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("term", near), F.lit(slices)).alias("_slice"),
+        "*",
     )
-    keys = ["bucket", "term", "row_no"]
-    dealt = flat.repartitionByRange(*keys) if tasks is None else flat.repartitionByRange(tasks, *keys)
-
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket, term, row, tf, size, places = batch.columns
-            row, tf, size = row.to_numpy(), tf.to_numpy(), size.to_numpy()
-            code = term.dictionary_encode().indices.to_numpy()
-            heads = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            since = np.arange(len(row)) - np.repeat(heads, np.diff(np.append(heads, len(row))))
-            starts = np.flatnonzero(since % block == 0)
-            bounds = np.append(starts, len(row))
-            gaps = np.diff(row, prepend=0)
-            gaps[starts] = 0
-            offsets = places.offsets.to_numpy().astype(np.int64)
-            at = places.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
-            offsets -= offsets[0]
-            steps = np.diff(at, prepend=0)
-            steps[offsets[:-1]] = at[offsets[:-1]]
-            columns = [bucket.take(pa.array(starts)), term.take(pa.array(starts))]
-            columns += [pa.array(row[starts]), pa.array(row[bounds[1:] - 1])]
-            columns += [pa.array(np.diff(bounds).astype(np.int32)), pa.array(np.add.reduceat(tf, starts))]
-            columns += [pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(size, starts))]
-            for values, cut in ((gaps, bounds), (tf, bounds), (size, bounds), (steps, offsets[bounds])):
-                data, sizes = packed_numbers(values)
-                columns.append(_binary(data, np.concatenate([[0], np.cumsum(sizes)])[cut]))
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
-
-    return dealt.sortWithinPartitions(*keys).mapInArrow(build, BLOCKS)
+    keys = ["bucket", "_slice"]
+    dealt = dealt.repartition(*keys) if tasks is None else dealt.repartition(tasks, *keys)
+    dealt = dealt.sortWithinPartitions("bucket", "term", "first").drop(*keys)
+    merged = dealt.mapInArrow(lambda batches: _merged(batches, block), UNDEALT)
+    return merged.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "*")
 
 
 def _expand(batches: Iterable[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
@@ -145,15 +259,9 @@ def _expand(batches: Iterable[pa.RecordBatch], places: bool) -> Iterator[pa.Reco
         if not batch.num_rows:
             continue
         first, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        numbers = []
-        for k in range(3, batch.num_columns):
-            column = batch.column(k)
-            _, offsets, data = column.buffers()
-            ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-            numbers.append(unpacked_numbers(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]))
+        numbers = [_numbers(batch.column(k)) for k in range(3, batch.num_columns)]
         of = np.repeat(np.arange(len(n)), n)
-        total = np.cumsum(numbers[0])
-        row = first[of] + total - np.repeat(total[np.cumsum(n) - n], n)
+        row = _rows_of(first, n, numbers[0])
         columns = [batch.column(0).take(pa.array(of)), pa.array(first[of]), pa.array(row), pa.array(numbers[1])]
         columns.append(pa.array(numbers[2].astype(np.int32)))
         names = ["term", "first", "row_no", "tf", "row_terms"]
@@ -195,6 +303,101 @@ def gain(tf: Column, terms: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * terms / mean))
 
 
+def _sums(blocks: DataFrame, strong: DataFrame, mean: float | None, k: int, query_id: str) -> DataFrame:
+    """``query_id, row_no, score``: sums over the strong terms, of all rows that may be among the best ``k``.
+
+    Postings of the terms, not their sums by query, are shuffled, by stretches of
+    rows. A task has the postings of one stretch at a time and adds them up query
+    by query; what cannot be among the best of its stretch stays there.
+    ``strong`` are as many terms of queries as a task may hold.
+    """
+    asked = strong.where(F.col(query_id).isNotNull()).collect()
+    code = {term: c for c, term in enumerate(sorted({r.term for r in asked}))}
+    number: dict = {}
+    need, queries = np.full(len(code), np.inf), []
+    for r in asked:
+        if r[query_id] not in number:
+            number[r[query_id]] = len(number)
+            queries.append((r.least, r.weak_top, []))
+        queries[number[r[query_id]]][2].append((code[r.term], r.idf))
+        least = (r.least - r.all_top + r.top) / r.idf
+        need[code[r.term]] = min(need[code[r.term]], least - SLACK * abs(least))
+    # a stretch of rows has some millions of postings, whatever the length of its texts
+    span = max(1 << 8, min(SPAN, 1 << int(np.log2(SPAN_POSTINGS / max(mean or 1, 1)))))
+
+    def gains(tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("term").dictionary_encode()
+            codes = np.array([code.get(t, -1) for t in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+            bounds = gains(batch.column("max_tf").to_numpy(), batch.column("least_terms").to_numpy())
+            here = (codes >= 0) & (bounds >= need[codes])
+            if not here.any():
+                continue
+            batch, codes = batch.filter(pa.array(here)), codes[here]
+            n = batch.column("n").to_numpy()
+            gaps, tf, size = (_numbers(batch.column(name)) for name in ("rows", "tfs", "sizes"))
+            row = _rows_of(batch.column("first").to_numpy(), n, gaps)
+            of, at = np.repeat(np.arange(len(n)), n), row // span
+            starts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1])]))
+            bounds = np.append(starts, len(row))
+            columns = [pa.array(at[starts]), pa.array(codes[of[starts]]), pa.array(np.diff(bounds).astype(np.int32))]
+            steps = np.diff(row, prepend=0)
+            steps[starts] = row[starts] - at[starts] * span
+            for values in (steps, tf, size):
+                data, sizes = packed_numbers(values)
+                columns.append(_binary(data, np.concatenate([[0], np.cumsum(sizes)])[bounds]))
+            yield pa.RecordBatch.from_arrays(columns, ["span", "code", "n", "rows", "tfs", "sizes"])
+
+    def best(at: int, held: list[tuple]) -> pa.RecordBatch:
+        codes, rows, values = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(codes, kind="stable")
+        codes, rows, values = codes[order], rows[order], values[order]
+        cuts = np.searchsorted(codes, np.arange(len(code) + 1))
+        found: list[tuple] = []
+        for q, (least, weak, terms_) in enumerate(queries):
+            total = np.zeros(span)
+            for c, idf in terms_:
+                total[rows[cuts[c] : cuts[c + 1]]] += idf * values[cuts[c] : cuts[c + 1]]
+            named = np.flatnonzero(total)
+            score = total[named]
+            if len(score) > k:
+                least = max(least, np.partition(score, len(score) - k)[len(score) - k] * (1 - SLACK))
+            kept = score + weak >= least
+            found.append((np.full(int(kept.sum()), q, np.int32), named[kept] + at * span, score[kept]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["_q", "row_no", "score"])
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            spans, n = batch.column("span").to_numpy(), batch.column("n").to_numpy()
+            steps, tf, size = (_numbers(batch.column(name)) for name in ("rows", "tfs", "sizes"))
+            row, value = _rows_of(np.zeros(len(n), np.int64), n, steps), gains(tf, size)
+            row += np.repeat(steps[np.cumsum(n) - n], n)
+            codes, ends = np.repeat(batch.column("code").to_numpy(), n), np.concatenate([[0], np.cumsum(n)])
+            starts = np.flatnonzero(np.concatenate([[True], spans[1:] != spans[:-1]]))
+            for first, past in zip(starts, np.append(starts[1:], len(spans))):
+                if held and spans[first] != at:
+                    yield best(at, held)
+                    held = []
+                at, cut = int(spans[first]), slice(ends[first], ends[past])
+                held.append((codes[cut], row[cut], value[cut]))
+        if held:
+            yield best(at, held)
+
+    spark = blocks.sparkSession
+    ship_package(spark)
+    names = ["term", "first", "n", "max_tf", "least_terms", "rows", "tfs", "sizes"]
+    wanted = blocks.join(F.broadcast(strong.select("term").distinct()), "term", "left_semi").select(*names)
+    pieces = wanted.mapInArrow(dealt, "span long, code int, n int, rows binary, tfs binary, sizes binary")
+    sums = pieces.repartition("span").sortWithinPartitions("span").mapInArrow(added, "_q int, row_no long, score double")
+    ids = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField(query_id, strong.schema[query_id].dataType)])
+    named = spark.createDataFrame([(q, held) for held, q in number.items()], ids)
+    return sums.join(F.broadcast(named), "_q").select(query_id, "row_no", "score")
+
+
 @dataclass(frozen=True)
 class Ranking:
     """The best rows, and which blocks had to be expanded for them out of ``directory``, all blocks of the terms."""
@@ -221,6 +424,7 @@ def rank_blocks(
     up where another term names a row. Of the other terms, blocks are left out
     whose bound, with those of all other terms, stays below it. Every row whose
     score reaches the k-th best is found, so ties can be cut by any order.
+    Queries of more terms than may be sent are summed in several passes.
     """
     size = totals.agg(F.sum("rows").alias("rows"), F.sum("terms").alias("terms")).select(
         F.struct("rows", F.try_divide("terms", "rows").alias("mean")).alias("s")
@@ -284,9 +488,17 @@ def rank_blocks(
     open_ = directory.join(send(strong), "term").where(
         F.col("idf") * bound + F.col("all_top") - F.col("top") >= F.col("least")
     )
-    strong_blocks = stored(open_.select(query_id, "term", "first", "idf"), "open-blocks")
-    sums = scored(these(strong_blocks.select("term", "first").distinct()), strong_blocks, ["term", "first"])
+    strong_blocks = open_.select(query_id, "term", "first", "idf")
+    # sums of the strong terms, and from them a better score that the k-th best row reaches
+    mean = totals.agg(F.try_divide(F.sum("terms"), F.sum("rows"))).first()[0]
+    parts = 1 + asked.count() // QUERY_TERMS
+    of_part = F.pmod(F.xxhash64(query_id), F.lit(parts))
+    summed = [_sums(there, strong.where(of_part == part), mean, k, query_id) for part in range(parts)]
+    sums = stored(reduce(DataFrame.unionByName, summed), "sums")
+    kth = top_k(sums, [query_id], [F.desc("score"), "row_no"], k).where(F.col("rank") == k)
+    reached = kth.select(query_id, (F.col("score") * (1 - SLACK)).alias("_reached"))
     limits = lists.groupBy(query_id).agg(F.first("least").alias("least"), F.first("weak_top").alias("weak_top"))
+    limits = limits.join(reached, query_id, "left").withColumn("least", F.greatest("least", "_reached"))
     candidates = stored(
         sums.join(send(limits), query_id).where(F.col("score") + F.col("weak_top") >= F.col("least")).select(
             query_id, "row_no", "score"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import ivf
 from lodestone.operators import prompts as P
 from lodestone.operators import retrieve as R
-from lodestone.operators.blocks import BLOCKS, blocks_of, numbered_rows, search_blocks, text_rows, text_totals
+from lodestone.operators.blocks import BLOCKS, blocks_of, placed_rows, search_blocks, text_totals
 from lodestone.operators.chunks import chunk_files, chunk_log, chunk_rows, declaration_start, number_chunks
 from lodestone.operators.embedding import Embedder, checked_width, embed_column, embed_distinct, load_time
 from lodestone.operators.generation import Generator, checked_json, generate, parse_reply, reply_text
@@ -133,7 +133,7 @@ def load(
     else:
         chunks = chunk_files(source, ["path", "metadata"], chunk_size, overlap)
     rows, vectors = embedded_rows(stored(chunks, "chunks"), embedder, None, tasks, _known(spark, target, embedder))
-    return replace(spark, stored(rows, "rows"), target, partitions, _named(vectors, embedder))
+    return replace(spark, rows, target, partitions, _named(vectors, embedder))
 
 
 def load_more(
@@ -180,7 +180,8 @@ def replace(
     partitions: int = PARTITIONS,
     vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Make the rows of ``vector_rows``, stored, the whole of a searchable table."""
+    """Make the rows of ``vector_rows`` the whole of a searchable table."""
+    rows = rows if "row_no" in rows.columns else placed_rows(rows)
     number, _ = published(spark, target)
     load = uuid.uuid4().hex
     quantizer = ivf.Quantizer.fit(rows, "vector", unit=True)
@@ -189,7 +190,7 @@ def replace(
     )
     create_table(spark, load_folder(target, CENTROIDS, load), centroids.frame(spark))
     create_table(spark, load_folder(target, RANGES, load), quantizer.frame(spark))
-    _write_load(spark, rows, target, load, centroids, quantizer, 0)
+    _write_load(spark, rows, target, load, centroids, quantizer)
     _write_vectors(spark, target, load, vectors)
     publish(spark, target, [load], number)
     return open_lines(spark, target)
@@ -202,28 +203,29 @@ def _write_load(
     load: str,
     centroids: ivf.Centroids,
     quantizer: ivf.Quantizer,
-    first: int,
 ) -> None:
-    """Write rows by coarse partition with their codes, their numbers from ``first``, and their words.
+    """Write numbered rows by coarse partition with their codes, their numbers, and their words.
 
     Rows are brought together by partition for files of even size; a partition
     that holds far more than the others is split over several tasks.
     """
     placed = ivf.encode_vectors(
-        ivf.assign_partitions(rows, centroids, "vector", "part"), quantizer, "vector", "codes"
+        ivf.assign_partitions(rows.drop("row_no"), centroids, "vector", "part"), quantizer, "vector", "codes"
     )
     create_table(spark, load_folder(target, LINES, load), placed.hint("rebalance", "part"), ["part"])
-    create_table(spark, load_folder(target, NUMBERS, load), numbered_rows(rows, KEY, first))
-    numbers = open_table(spark, load_folder(target, NUMBERS, load))
+    create_table(spark, load_folder(target, NUMBERS, load), rows.select(*KEY, "row_no"))
     for column in INDEXED:
-        index_words(spark, rows, numbers, target, load, column)
+        index_words(spark, rows.drop("row_no"), rows, target, load, column)
 
 
 def index_words(
     spark: SparkSession, rows: DataFrame, numbers: DataFrame, target: str, load: str, column: str
 ) -> None:
-    """Write the words of one text column: blocks of postings by bucket of terms, and the totals of the texts."""
-    texts = text_rows(rows, numbers, column, KEY)
+    """Write the words of one text column: blocks of postings by bucket of terms, and the totals of the texts.
+
+    ``numbers`` are the rows with their ``row_no``, so that no text has to look for its number.
+    """
+    texts = numbers.select("row_no", F.col(column).alias("text"))
     create_table(spark, load_folder(target, blocks_name(column), load), blocks_of(texts), ["bucket"])
     blocks = open_loads(spark, target, blocks_name(column), [load], BLOCKS)
     shown = rows.where(F.col(column).isNotNull())
@@ -248,18 +250,16 @@ def insert(
     """
     number, loads = published(spark, target)
     if not loads:
-        rows = stored(rows, "rows")
-        return rows if rows.isEmpty() else replace(spark, rows, target, partitions, vectors)
+        rows = placed_rows(rows)
+        return rows.drop("row_no") if rows.isEmpty() else replace(spark, rows, target, partitions, vectors)
     held = open_lines(spark, target)
-    added = stored(new_rows(held, rows, keys), "added")
+    most = open_loads(spark, target, NUMBERS, loads).agg(F.max("row_no")).first()[0]
+    added = placed_rows(new_rows(held, rows, keys), most + 1)
     if not added.isEmpty():
         last = held.agg(F.max("id")).first()[0]
         ids = (F.col("id") + F.lit(0 if last is None else last + 1)).cast(held.schema["id"].dataType)
-        most = open_loads(spark, target, NUMBERS, loads).agg(F.max("row_no")).first()[0]
         load = uuid.uuid4().hex
-        _write_load(
-            spark, added.withColumn("id", ids), target, load, *_places(spark, target, loads), most + 1
-        )
+        _write_load(spark, added.withColumn("id", ids), target, load, *_places(spark, target, loads))
         _write_vectors(spark, target, load, vectors)
         publish(spark, target, [*loads, load], number)
     return open_lines(spark, target)
@@ -280,7 +280,7 @@ def upsert(
     if loads:
         held = fitted(open_lines(spark, target), vector_table())
         rows = merged(held, fitted(rows, vector_table()), keys)
-    return replace(spark, stored(rows, "rows"), target, partitions)
+    return replace(spark, rows, target, partitions)
 
 
 def _places(spark: SparkSession, target: str, loads: Sequence[str]) -> tuple[ivf.Centroids, ivf.Quantizer]:

@@ -479,9 +479,8 @@ def bm25(spark, folder):
 
 def _blocks(spark, folder):
     """The documents, their numbers and their words in blocks."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    rows = checkpointed(K.numbered_rows(documents, ["doc_id"]))
-    return documents, rows, K.blocks_of(K.text_rows(documents, rows, "text", ["doc_id"]))
+    documents = K.placed_rows(table(spark, folder, "documents").select("doc_id", "text"))
+    return documents, documents.select("doc_id", "row_no"), K.blocks_of(documents.select("row_no", "text"))
 
 
 @registered(RANKED)

@@ -30,7 +30,7 @@ def create_table(
     """Create or replace a table; without rows it starts empty."""
     if rows is None:
         rows = spark.createDataFrame([], vector_table())
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(target)
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(target)
 
 
 def open_table(spark: SparkSession, target: str, schema: T.StructType | None = None) -> DataFrame:

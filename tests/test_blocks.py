@@ -95,3 +95,34 @@ def test_no_texts(spark):
     assert blocks.count() == 0 and tuple(B.text_totals(none, blocks).first()) == (0, 0)
     queries = spark.createDataFrame(QUERIES, "query_id int, text string")
     assert B.search_blocks(blocks, B.text_totals(none, blocks), rows, queries, 3, ["row_key"]).count() == 0
+
+
+def test_long_queries_keep_few_rows(spark, index):
+    """Each of many words names many rows; no more than the best of a stretch leave their task."""
+    rows, blocks, totals = index
+    asked = " ".join(["the of", *WORDS[:60]])
+    queries = spark.createDataFrame([(1, asked), (2, asked + " w70")], "query_id int, text string")
+    assert B.rank_blocks(blocks, totals, queries, 3).best.count() < 100
+
+
+def test_queries_in_several_passes(spark, table, index, monkeypatch):
+    rows, blocks, totals = index
+    queries = spark.createDataFrame(QUERIES, "query_id int, text string")
+    shape = lambda df: sorted((r.query_id, r["rank"], r.row_key, round(r.score, 8)) for r in df.collect())
+    wanted = shape(B.search_blocks(blocks, totals, rows, queries, 7, ["row_key"]))
+    monkeypatch.setattr(B, "QUERY_TERMS", 4)
+    assert shape(B.search_blocks(blocks, totals, rows, queries, 7, ["row_key"])) == wanted
+
+
+def test_rows_numbered_where_they_are(spark, table):
+    placed = B.placed_rows(table, 1000)
+    assert sorted(r.row_no for r in placed.collect()) == list(range(1000, 1000 + len(ROWS)))
+    assert "SortMergeJoin" not in placed._jdf.queryExecution().toString()
+    blocks = B.blocks_of(placed.select("row_no", "text"), 3, 16)
+    names = "row_key term tf row_terms positions".split()
+    shape = lambda df: sorted((r.row_key, r.term, r.tf, r.row_terms, list(r.positions)) for r in df.select(*names).collect())
+    found = B.expanded(blocks, places=True).join(placed.select("row_key", "row_no"), "row_no")
+    assert shape(found) == shape(X.postings(table, "text"))
+    # what is shuffled are pieces of many postings, dealt without a look at all of them first
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning" in plan
