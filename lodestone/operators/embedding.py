@@ -120,17 +120,20 @@ def embed_distinct(
     text of more than a thousandth of all rows, of which there can be no more
     than a thousand, is not joined by key but sent to the rows.
     """
-    keyed = stored(df.withColumn("_digest", text_digest(text)), "texts")
-    distinct = keyed.groupBy("_digest").agg(F.any_value(text).alias("_text"), F.count(F.lit(1)).alias("_rows"))
-    distinct = stored(distinct, "distinct-texts")
+    texts = stored(df, "texts")
+    keyed = texts.withColumn("_digest", text_digest(text))
+    # grouped by the text itself, of which each task then sends one row; its digest is made afterwards
+    distinct = texts.groupBy(F.coalesce(F.col(text), F.lit("")).alias("_text")).agg(F.count(F.lit(1)).alias("_rows"))
+    distinct = distinct.withColumn("_digest", text_digest("_text"))
     fresh, held = distinct, None
     if known is not None:
+        distinct = stored(distinct, "distinct-texts")
         known = known.select(F.col("digest").alias("_digest"), F.col("vector").alias(vector))
         fresh = distinct.join(known, "_digest", "left_anti")
         held = distinct.select("_digest", "_rows").join(known, "_digest")
     made = embed_column(fresh, "_text", embedder, vector, tasks).select("_digest", "_rows", vector)
     vectors = stored(made if held is None else made.unionByName(held.select("_digest", "_rows", vector)), "vectors")
-    share = F.lit(distinct.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0] / COMMON_SHARE)
+    share = F.lit(vectors.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0] / COMMON_SHARE)
     common = F.broadcast(vectors.where(F.col("_rows") > share).select("_digest", vector))
     rare = vectors.where(F.col("_rows") <= share).select("_digest", vector)
     rows = keyed.join(common, "_digest").unionByName(

@@ -69,3 +69,18 @@ def test_width_and_time(spark):
     times = spark.range(3).select(E.load_time().alias("t")).distinct()
     assert times.schema["t"].dataType.typeName() == "timestamp_ntz"
     assert times.count() == 1 and times.first().t.microsecond == 0
+
+
+def test_equal_lines_are_counted_without_sorting_them(spark, monkeypatch):
+    """Lines are grouped by hash, and no digest is stored beside each."""
+    seen, real = [], E.stored
+    monkeypatch.setattr(E, "stored", lambda df, name: seen.append((name, df.columns, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    df = spark.createDataFrame([(k, f"line {k % 7}" if k % 5 else None) for k in range(300)], "i int, text string")
+    embedder = E.FunctionEmbedder(lambda: lambda texts: [[len(t), 1.0] for t in texts], 2, "size")
+    rows, vectors = E.embed_distinct(df, "text", embedder)
+    assert sorted((r.i, r.text, r.vector) for r in rows.where("text IS NOT NULL").collect()) == sorted(
+        (r.i, r.text, [6.0, 1.0]) for r in df.where("text IS NOT NULL").collect()
+    )
+    assert rows.count() == 300 and vectors.count() == 8
+    assert not any("SortAggregate" in plan or "ObjectHashAggregate" in plan for _, _, plan in seen)
+    assert not any("_digest" in columns for name, columns, _ in seen if name == "texts")
