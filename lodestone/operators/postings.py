@@ -14,6 +14,8 @@ TERM = r"[\p{L}\p{N}]+"
 
 # Query terms small enough to send to every task.
 QUERY_TERMS = 200_000
+# Bytes of text whose terms one task counts at a time.
+COUNTED_BYTES = 16 << 20
 # Constants of the ranking formula.
 K1, B = 1.2, 0.75
 
@@ -28,13 +30,15 @@ def term_counts(df: DataFrame, text: str, key: str | Sequence[str] = "row_key")
 
     Texts are shuffled by row key before they are taken apart: a text is
     smaller than its terms, and counting then needs no shuffle, nor does
-    anything later that groups by row key.
+    anything later that groups by row key. A task counts the terms of so many
+    bytes of text, whatever the size of the table.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    texts = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"))
+    size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1 + size // COUNTED_BYTES)
     split = (
-        df.where(F.col(text).isNotNull())
-        .select(*keys, F.col(text).alias("_text"))
-        .repartition(*keys)
+        texts.repartition(tasks, *keys)
         .select(*keys, terms(F.col("_text")).alias("_terms"))
     )
     # Exploding an expression keeps Catalyst from adding a filter on the terms

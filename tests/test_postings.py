@@ -74,3 +74,11 @@ def test_keyword_search(spark, monkeypatch):
         for r in sorted(found, key=lambda r: r["rank"]):
             got.setdefault(r.query_id, []).append((-r.score, r.row_key))
         assert got == {q: brute(t)[:2] for q, t in asked.items() if brute(t)}
+
+
+def test_a_task_counts_a_bounded_stretch_of_text(spark, monkeypatch):
+    few = X.term_counts(frame(spark), "text")
+    monkeypatch.setattr(X, "COUNTED_BYTES", 2)
+    many = X.term_counts(frame(spark), "text")
+    assert many.rdd.getNumPartitions() > few.rdd.getNumPartitions()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
