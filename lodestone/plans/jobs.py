@@ -254,7 +254,7 @@ def insert(
         return rows.drop("row_no") if rows.isEmpty() else replace(spark, rows, target, partitions, vectors)
     held = open_lines(spark, target)
     most = open_loads(spark, target, NUMBERS, loads).agg(F.max("row_no")).first()[0]
-    added = placed_rows(new_rows(held, rows, keys), most + 1)
+    added = placed_rows(new_rows(held, rows, keys), 0 if most is None else most + 1)
     if not added.isEmpty():
         last = held.agg(F.max("id")).first()[0]
         ids = (F.col("id") + F.lit(0 if last is None else last + 1)).cast(held.schema["id"].dataType)
