@@ -35,6 +35,8 @@ BLOCK = 256
 NUMBERED_ROWS = 1 << 20
 #: Terms of which a task makes blocks at a time.
 PIECE_TERMS = 1 << 21
+#: Bytes of text whose postings one task puts into blocks.
+BLOCKED_BYTES = 32 << 20
 #: Row numbers that meet by equality when rows look for the blocks that hold them.
 SPAN = 1 << 16
 #: Terms in the texts of a stretch of rows whose scores one task adds up at a time.
@@ -55,14 +57,20 @@ def packed_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole numbers from 0 as bytes of seven bits, the last of a number below 128; and how many bytes each takes."""
     values = values.astype(np.uint64)
     sizes = np.ones(len(values), np.int64)
+    most = int(values.max()) if len(values) else 0
+    if most < 128:
+        return values.astype(np.uint8), sizes
     for k in range(1, 10):
-        sizes += values >= np.uint64(1) << np.uint64(7 * k)
+        if most >> 7 * k:
+            sizes += values >= np.uint64(1) << np.uint64(7 * k)
     starts = np.cumsum(sizes) - sizes
     out = np.zeros(int(sizes.sum()), np.uint8)
-    for k in range(int(sizes.max()) if len(sizes) else 0):
-        more = sizes > k
+    out[starts] = (values & np.uint64(127)).astype(np.uint8) | np.where(sizes > 1, 128, 0).astype(np.uint8)
+    more = np.flatnonzero(sizes > 1)
+    for k in range(1, int(sizes.max())):
         part = values[more] >> np.uint64(7 * k) & np.uint64(127)
         out[starts[more] + k] = part.astype(np.uint8) | np.where(sizes[more] > k + 1, 128, 0).astype(np.uint8)
+        more = more[sizes[more] > k + 1]
     return out, sizes
 
 
@@ -162,7 +170,8 @@ def _pieces(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.Record
         if not len(coded):
             continue
         codes = coded.indices.to_numpy()
-        order = np.argsort(codes, kind="stable")
+        # by code and place: one sort of numbers is faster than a stable one of places
+        order = np.sort(codes.astype(np.int64) << 32 | np.arange(len(codes))) & (1 << 32) - 1
         of = np.repeat(np.arange(len(sizes)), sizes)
         at = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
         codes, of = codes[order], of[order]
@@ -234,13 +243,17 @@ def blocks_of(texts: DataFrame, tasks: int | None = None, block: int = BLOCK) ->
     A task puts together the postings of its own rows; only these pieces, some
     bytes per posting, are shuffled. Pieces as large as a block are dealt by their
     row as well as their term, so that a term of a third of all postings lies in
-    as many tasks as its share asks for.
+    as many tasks as its share asks for. A task sorts the pieces of so many bytes
+    of text, whatever the size of the table and however well the pieces compress.
     """
     spark = texts.sparkSession
     ship_package(spark)
+    if tasks is None:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        tasks = max(spark.sparkContext.defaultParallelism, 1 + size // BLOCKED_BYTES)
     split = texts.where(F.col("text").isNotNull()).select(F.col("row_no").cast("long"), terms(F.col("text")).alias("_terms"))
     made = split.mapInArrow(lambda batches: _pieces(batches, block), "term string, first long, n int, data binary")
-    slices = 1 + 2 * (tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))) // BUCKETS
+    slices = 1 + 16 * tasks // BUCKETS
     near = F.when(F.col("n") >= block, F.floor(F.col("first") / SPAN))
     dealt = made.select(
         F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"),
@@ -248,7 +261,7 @@ def blocks_of(texts: DataFrame, tasks: int | None = None, block: int = BLOCK) ->
         "*",
     )
     keys = ["bucket", "_slice"]
-    dealt = dealt.repartition(*keys) if tasks is None else dealt.repartition(tasks, *keys)
+    dealt = dealt.repartition(tasks, *keys)
     dealt = dealt.sortWithinPartitions("bucket", "term", "first").drop(*keys)
     merged = dealt.mapInArrow(lambda batches: _merged(batches, block), UNDEALT)
     return merged.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "*")

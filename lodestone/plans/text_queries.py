@@ -488,7 +488,7 @@ def bm25_blocks(spark, folder):
     """The same ranking from postings in blocks, of which only those are expanded that may matter."""
     documents, rows, blocks = _blocks(spark, folder)
     target = scratch_path(spark, "blocks")
-    blocks.write.partitionBy("bucket").parquet(target)
+    blocks.write.option("compression", "zstd").partitionBy("bucket").parquet(target)
     blocks = spark.read.parquet(target)
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     totals = K.text_totals(documents.where("text IS NOT NULL"), blocks)

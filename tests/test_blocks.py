@@ -56,6 +56,17 @@ def test_blocks_hold_the_postings(spark, table, index):
     assert tuple(totals.first()) == (3002, sum(len(t.split()) for _, t in ROWS[:3000]))
 
 
+def test_a_task_blocks_so_many_bytes_of_text(spark, table, index, monkeypatch):
+    rows, blocks, _ = index
+    monkeypatch.setattr(B, "BLOCKED_BYTES", 5000)
+    made = B.blocks_of(B.text_rows(table, rows, "text", ["row_key"]), block=16)
+    assert made.rdd.getNumPartitions() == 1 + sum(len(t or "") for _, t in ROWS) // 5000
+    held = made.cache()
+    assert held.select(F.spark_partition_id()).distinct().count() > 8
+    stats = lambda df: sorted(map(tuple, df.collect()))
+    assert stats(B.block_stats(held)) == stats(B.block_stats(blocks))
+
+
 QUERIES = [(1, "the w120"), (2, "the of"), (3, "w3 w250 of nothing"), (4, "nothing"), (5, "w1 w2 w3 w4 the of the"), (6, ""), (7, None), (8, "w299")]
 
 
