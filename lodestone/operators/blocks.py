@@ -41,6 +41,10 @@ BLOCKED_BYTES = 32 << 20
 SPAN = 1 << 16
 #: Terms in the texts of a stretch of rows whose scores one task adds up at a time.
 SPAN_POSTINGS = 1 << 22
+#: Rows whose keys a task holds at a time while postings get them.
+KEYED_ROWS = 1 << 12
+#: Postings of a batch that gets keys.
+KEYED_POSTINGS = 1 << 18
 #: Postings, for each row asked for, that are expanded first to learn what score a row needs.
 SEEDS = 4
 #: Scores are compared with this slack, as sums differ in their last digits with their order.
@@ -297,6 +301,86 @@ def expanded(blocks: DataFrame, places: bool = False) -> DataFrame:
     return blocks.select(*names).mapInArrow(lambda batches: _expand(batches, places), schema)
 
 
+def _cut(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Blocks in pieces, each of one stretch of ``span`` rows; rows are counted from its first."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = batch.column(2).to_numpy().astype(np.int64)
+        gaps, tf, size, steps = (_numbers(batch.column(k)) for k in range(3, 7))
+        row = _rows_of(batch.column(1).to_numpy(), n, gaps)
+        of, at = np.repeat(np.arange(len(n)), n), row // span
+        starts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1])]))
+        bounds, places = np.append(starts, len(row)), np.concatenate([[0], np.cumsum(tf)])
+        gaps = _gaps(row, starts)
+        gaps[starts] = row[starts] - at[starts] * span
+        columns = [pa.array(at[starts]), batch.column(0).take(pa.array(of[starts])), pa.array(np.diff(bounds).astype(np.int32))]
+        for values, cut in ((gaps, bounds), (tf, bounds), (size, bounds), (steps, places[bounds])):
+            packed, sizes = packed_numbers(values)
+            columns.append(_binary(packed, np.concatenate([[0], np.cumsum(sizes)])[cut]))
+        yield pa.RecordBatch.from_arrays(columns, ["span", "term", "n", "rows", "tfs", "sizes", "places"])
+
+
+def _with_keys(batches: Iterable[pa.RecordBatch], keys: Sequence[str], span: int) -> Iterator[pa.RecordBatch]:
+    """Postings with the keys of their rows; of every stretch the keys come first, then its pieces."""
+    at, held, numbers, ordered = None, [], None, None
+    for batch in batches:
+        spans, named = batch.column("span").to_numpy(), batch.column("n").is_null().to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], (spans[1:] != spans[:-1]) | (named[1:] != named[:-1])]))
+        for first, past in zip(starts, np.append(starts[1:], len(spans))):
+            if spans[first] != at:
+                at, held, numbers = spans[first], [], None
+            if named[first]:
+                held.append(batch.slice(first, past - first).select(["row_no", *keys]))
+                continue
+            if not held:
+                continue
+            if numbers is None:
+                ordered = pa.Table.from_batches(held).sort_by("row_no").combine_chunks()
+                numbers = ordered.column("row_no").to_numpy()
+            ends = np.cumsum(batch.column("n").slice(first, past - first).to_numpy(zero_copy_only=False))
+            while first < past:
+                many = max(1, int(np.searchsorted(ends, KEYED_POSTINGS, "right")))
+                part = batch.slice(first, min(many, past - first))
+                # the gap before a piece's first row is its place in the stretch
+                n = part.column("n").to_numpy().astype(np.int64)
+                begin = at * span + _numbers(part.column("rows"))[np.cumsum(n) - n]
+                pieces = [part.column("term"), pa.array(begin), part.column("n")]
+                pieces += [part.column(name) for name in ("rows", "tfs", "sizes", "places")]
+                names = ["term", "first", "n", "rows", "tfs", "sizes", "places"]
+                for made in _expand([pa.RecordBatch.from_arrays(pieces, names)], True):
+                    row = made.column("row_no").to_numpy()
+                    place = np.minimum(np.searchsorted(numbers, row), len(numbers) - 1)
+                    known = numbers[place] == row
+                    columns = [ordered.column(key).chunk(0).take(pa.array(place)) for key in keys]
+                    columns += [made.column(name) for name in ("term", "tf", "row_terms", "positions")]
+                    made = pa.RecordBatch.from_arrays(columns, [*keys, "term", "tf", "row_terms", "positions"])
+                    yield made if known.all() else made.filter(pa.array(known))
+                ends = ends[part.num_rows :] - ends[part.num_rows - 1]
+                first += part.num_rows
+
+
+def keyed_postings(blocks: DataFrame, rows: DataFrame, key: Sequence[str], span: int = KEYED_ROWS) -> DataFrame:
+    """The postings of blocks by the ``key`` of their rows: ``key, term, tf, row_terms, positions``.
+
+    ``rows`` hold ``key`` and ``row_no``, which is never null. Pieces of blocks meet the keys of
+    their stretch of rows; postings are expanded there and not shuffled.
+    """
+    spark = blocks.sparkSession
+    ship_package(spark)
+    names = ["term", "first", "n", "rows", "tfs", "sizes", "places"]
+    schema = "span long, term string, n int, rows binary, tfs binary, sizes binary, places binary"
+    pieces = blocks.select(*names).mapInArrow(lambda batches: _cut(batches, span), schema)
+    named = rows.select(F.floor(F.col("row_no") / span).alias("span"), "row_no", *key)
+    last = rows.agg(F.max("row_no") - F.min("row_no")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, 1 + last // span)
+    met = named.unionByName(pieces, allowMissingColumns=True).repartition(tasks, "span")
+    met = met.sortWithinPartitions("span", F.col("n").isNotNull())
+    made = T.StructType([rows.schema[name] for name in key]).add("term", "string").add("tf", "long")
+    made = made.add("row_terms", "integer").add("positions", T.ArrayType(T.IntegerType()))
+    return met.mapInArrow(lambda batches: _with_keys(batches, key, span), made)
+
+
 def block_stats(blocks: DataFrame) -> DataFrame:
     """Rows and occurrences per term, from the directory alone."""
     return blocks.groupBy("term").agg(

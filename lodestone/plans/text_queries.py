@@ -503,4 +503,4 @@ def bm25_blocks(spark, folder):
 def postings_blocks(spark, folder):
     """The postings of the documents, expanded from their blocks."""
     _, rows, blocks = _blocks(spark, folder)
-    return _shown_postings(K.expanded(blocks, places=True).join(rows, "row_no"), "doc_id")
+    return _shown_postings(K.keyed_postings(blocks, rows, ["doc_id"]), "doc_id")

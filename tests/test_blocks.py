@@ -56,6 +56,20 @@ def test_blocks_hold_the_postings(spark, table, index):
     assert tuple(totals.first()) == (3002, sum(len(t.split()) for _, t in ROWS[:3000]))
 
 
+def test_postings_get_their_keys_without_a_shuffle_of_postings(spark, table, index, monkeypatch):
+    rows, blocks, _ = index
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    monkeypatch.setattr(B, "KEYED_POSTINGS", 50)
+    names = "row_key term tf row_terms positions".split()
+    shape = lambda df: sorted((r.row_key, r.term, r.tf, r.row_terms, list(r.positions)) for r in df.select(*names).collect())
+    found = B.keyed_postings(blocks, rows, ["row_key"], 64)
+    assert shape(found) == shape(X.postings(table, "text"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hash") == 1
+    some = rows.where("row_key % 3 = 0")
+    assert shape(B.keyed_postings(blocks, some, ["row_key"], 64)) == shape(X.postings(table.where("row_key % 3 = 0"), "text"))
+
+
 def test_a_task_blocks_so_many_bytes_of_text(spark, table, index, monkeypatch):
     rows, blocks, _ = index
     monkeypatch.setattr(B, "BLOCKED_BYTES", 5000)
