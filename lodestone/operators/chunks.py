@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import trim_space
+from lodestone.functions.text import is_blank, trim_space
 from lodestone.operators.joins import join_same
 from lodestone.operators.lines import error_text
-from lodestone.operators.ordering import running_total
+from lodestone.operators.ordering import running_offsets, running_total
 from lodestone.operators.packing import pack_pieces
 from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE
 from lodestone.session import stored
@@ -274,8 +275,22 @@ def chunk_rows(
         F.col("_unit.u").alias("_piece"),
         F.when(F.col("_opens").isNotNull(), first & (F.col("_opens") | (F.col("_unit.i") > 0))).alias("_opens"),
     )
-    placed = running_total(laid, [file], [*order, "_at"], F.col("_part"), F.length("_piece"), "_start")
-    return pack_pieces(placed, file, keep, cap, overlap, slice_chars)
+    # where a piece starts in its part is stored with it; where a part starts follows from what is stored,
+    # so that the rows are made once
+    earlier = W.partitionBy(file, "_part").orderBy(*order, "_at").rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(F.length("_piece")).over(earlier), F.lit(0)).alias("_inside")
+    held = stored(
+        laid.select(
+            file, *keep, "_part", inside, "_piece", F.length("_piece").alias("_length"), "_opens",
+            is_blank(F.col("_piece")).alias("_blank"),
+        ),
+        "pieces",
+    )
+    offsets = running_offsets(held, [file], F.col("_part"), F.col("_length")).where(F.col("_before") > 0)
+    offsets = offsets.withColumnRenamed("_slice", "_part")
+    start = (F.coalesce("_before", F.lit(0)) + F.col("_inside")).cast("long")
+    placed = join_same(held, offsets, [file, "_part"], how="left").withColumn("_start", start)
+    return pack_pieces(placed.drop("_part", "_inside", "_before"), file, keep, cap, overlap, slice_chars)
 
 
 def chunk_log(

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestone.functions.text import is_blank, trim_space
+from lodestone.functions.text import trim_space
 from lodestone.operators.joins import join_same
 from lodestone.session import ship_package, stored
 
@@ -175,9 +176,10 @@ def pack_pieces(
 
     ``pieces`` hold ``file``, ``keep`` (the same in all rows of a file),
     ``_start`` (character offset in the file), ``_piece`` (text, none longer than
-    ``cap``; the pieces of a file tile it) and ``_opens`` (whether it begins a
-    block; null in files without blocks). Chunks lose their outer white space,
-    blank ones are left out. They are read twice, so they are stored first.
+    ``cap``; the pieces of a file tile it), its ``_length``, ``_opens`` (whether it
+    begins a block; null in files without blocks) and ``_blank`` (whether it has no
+    word). Chunks lose their outer white space, blank ones are left out. Pieces are
+    read twice, so they should be stored.
     """
     spark = pieces.sparkSession
     ship_package(spark)
@@ -188,18 +190,15 @@ def pack_pieces(
         F.when((number > 0) & (inside < 4 * cap), number - 1),
         F.when(width - inside <= 2 * cap, number + 1),
     ]
-    held = stored(
-        pieces.select(
-            file,
-            *keep,
-            "_start",
-            "_piece",
-            F.length("_piece").alias("_length"),
-            F.col("_opens").cast("boolean").alias("_opens"),
-            is_blank(F.col("_piece")).alias("_blank"),
-            F.explode(F.array_compact(F.array(number, *near))).alias("_slice"),
-        ),
-        "pieces",
+    held = pieces.select(
+        file,
+        *keep,
+        "_start",
+        "_piece",
+        "_length",
+        F.col("_opens").cast("boolean").alias("_opens"),
+        "_blank",
+        F.explode(F.array_compact(F.array(number, *near))).alias("_slice"),
     )
     key = held.schema[file]
     tables_type = T.StructType([key]).add("_slice", "long").add("_entry", "long").add("_exit", "long").add("_chunks", "long")
@@ -211,22 +210,33 @@ def pack_pieces(
         columns += [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
         return pa.Table.from_arrays(columns, tables_type.names)
 
+    # a file of one slice is entered at its start; only longer ones need ways through their slices
+    files = stored(held.groupBy(file).agg(F.max("_slice").alias("_last")), "chunk-files")
+    zero = F.lit(0).cast("long")
+    short = files.where("_last = 0").select(file, zero.alias("_slice"), zero.alias("_entry"), zero.alias("_number"))
     sizes = held.select(file, "_slice", "_start", "_length", "_opens", "_blank")
+    sizes = join_same(sizes, files.where("_last > 0").select(file), [file], how="left_semi")
     tables = stored(sizes.groupBy(file, "_slice").applyInArrow(ways, tables_type), "chunk-ways")
-    entries = _entries(tables, file)
+    entries = short.unionByName(_entries(tables, file))
     kept = [held.schema[c] for c in (file, *keep)]
     chunks_type = T.StructType(kept).add("chunk_number", "integer").add("chunk", "string")
 
-    def cut(table: pa.Table) -> pa.Table:
+    def cut(table: pa.Table, entered: pa.Table) -> pa.Table:
+        if not table.num_rows or not entered.num_rows:
+            return nothing
         own = Slice(table, table.column("_slice")[0].as_py(), width, cap, overlap)
         texts = table.column("_piece").to_pylist()
         texts = [texts[k] for k in own.order.tolist()]
-        spans = own.chunks(table.column("_entry")[0].as_py())
-        before = table.column("_number")[0].as_py()
+        spans = own.chunks(entered.column("_entry")[0].as_py())
+        before = entered.column("_number")[0].as_py()
         columns = _columns(table, [file, *keep], len(spans))
         columns.append(pa.array(range(before, before + len(spans)), pa.int32()))
         columns.append(pa.array(["".join(texts[a:b]) for a, b in spans], pa.string()))
         return pa.Table.from_arrays(columns, chunks_type.names)
 
-    found = join_same(held, entries, [file, "_slice"]).groupBy(file, "_slice").applyInArrow(cut, chunks_type)
+    # a slice and the place at which it is entered come together by their key, without a join before
+    here = [file, "_slice"]
+    nothing = to_arrow_schema(chunks_type).empty_table()
+    texts = held.select(file, *keep, "_start", "_length", "_opens", "_blank", "_piece", "_slice")
+    found = texts.groupBy(*here).cogroup(entries.groupBy(*here)).applyInArrow(cut, chunks_type)
     return found.withColumn("chunk", trim_space(F.col("chunk")))

@@ -243,3 +243,28 @@ def test_rows_without_a_file(spark):
     assert C.chunk_rows(rows, "path", ["n"], F.lit(0)).count() == 0
     one = spark.createDataFrame([(None, 0, "a line\n")], "path string, n int, line string")
     assert [tuple(r) for r in C.chunk_rows(one, "path", ["n"], F.lit(0)).collect()] == [(None, 0, "a line")]
+
+
+def test_rows_are_made_once_and_short_files_need_no_ways(spark, monkeypatch):
+    texts = [(f"f{k}", f"{k} " + "some words. " * (k % 7) + "\nanother line\n") for k in range(20)]
+    rows, kept = rows_of(spark, texts), {}
+    store = C.stored
+
+    def noted(df, name):
+        kept.setdefault(name, []).append(store(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(C, "stored", noted)
+    monkeypatch.setattr(packing, "stored", noted)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(line):
+        read.add(1)
+        return line
+
+    lines = rows.withColumn("line", counted.asNondeterministic()("line"))
+    found = C.chunk_rows(lines, "path", ["n"], F.lit(0), [], 40, 10)
+    assert found.count() > 20
+    assert read.value == rows.count()
+    assert kept["chunk-ways"][0].isEmpty() and kept["chunk-files"][0].count() == 20
