@@ -21,7 +21,7 @@ from lodestone.operators.lines import error_text
 from lodestone.operators.ordering import running_offsets, running_total
 from lodestone.operators.packing import pack_pieces
 from lodestone.schema import CHUNK_OVERLAP, CHUNK_SIZE
-from lodestone.session import stored
+from lodestone.session import has_at_most, stored
 
 LINE = r"[^\n]*\n|[^\n]+"
 SENTENCE = r"(?s).+?(?:[.!?]+[ \t\r\n]+|\z)"
@@ -30,6 +30,9 @@ WORD = r"[^ \t\r\n]+[ \t\r\n]*|[ \t\r\n]+"
 # Line numbers of hits whose context one task sorts at a time.
 HITS_PER_SORT = 4096
 
+# Starts of parts of files that are few enough to send to every task.
+SENT_STARTS = 200_000
+
 # Where a declaration starts, by language: the text is cut before each match.
 DECLARATIONS = {
     "rust": r"(?m)(?=^(?:pub(?:\([a-z]+\))? |async |unsafe )*(?:fn|struct|enum|trait|impl|mod|const|static|type|macro_rules!)\b)",
@@ -287,9 +290,11 @@ def chunk_rows(
         "pieces",
     )
     offsets = running_offsets(held, [file], F.col("_part"), F.col("_length")).where(F.col("_before") > 0)
-    offsets = offsets.withColumnRenamed("_slice", "_part")
+    # one row for each part but a file's first; unless they are very many they are sent, so that no text is shuffled for them
+    offsets = stored(offsets.withColumnRenamed("_slice", "_part"), "part-starts")
+    small = has_at_most(offsets, SENT_STARTS)
     start = (F.coalesce("_before", F.lit(0)) + F.col("_inside")).cast("long")
-    placed = join_same(held, offsets, [file, "_part"], how="left").withColumn("_start", start)
+    placed = join_same(held, offsets, [file, "_part"], small, "left").withColumn("_start", start)
     return pack_pieces(placed.drop("_part", "_inside", "_before"), file, keep, cap, overlap, slice_chars)
 
 
