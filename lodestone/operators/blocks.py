@@ -61,20 +61,25 @@ def packed_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole numbers from 0 as bytes of seven bits, the last of a number below 128; and how many bytes each takes."""
     values = values.astype(np.uint64)
     sizes = np.ones(len(values), np.int64)
-    most = int(values.max()) if len(values) else 0
-    if most < 128:
+    large = np.flatnonzero(values >= 128)
+    if not len(large):
         return values.astype(np.uint8), sizes
+    # most numbers take one byte; only the others are looked at again
+    kept = values[large]
+    more = np.ones(len(large), np.int64)
     for k in range(1, 10):
-        if most >> 7 * k:
-            sizes += values >= np.uint64(1) << np.uint64(7 * k)
+        if int(kept.max()) >> 7 * k:
+            more += kept >= np.uint64(1) << np.uint64(7 * k)
+    sizes[large] = more
     starts = np.cumsum(sizes) - sizes
     out = np.zeros(int(sizes.sum()), np.uint8)
-    out[starts] = (values & np.uint64(127)).astype(np.uint8) | np.where(sizes > 1, 128, 0).astype(np.uint8)
-    more = np.flatnonzero(sizes > 1)
-    for k in range(1, int(sizes.max())):
-        part = values[more] >> np.uint64(7 * k) & np.uint64(127)
-        out[starts[more] + k] = part.astype(np.uint8) | np.where(sizes[more] > k + 1, 128, 0).astype(np.uint8)
-        more = more[sizes[more] > k + 1]
+    out[starts] = values.astype(np.uint8) & 127
+    place = starts[large]
+    for k in range(1, int(more.max())):
+        out[place + k - 1] |= 128
+        out[place + k] = (kept >> np.uint64(7 * k)).astype(np.uint8) & 127
+        here = more > k + 1
+        place, kept, more = place[here], kept[here], more[here]
     return out, sizes
 
 
@@ -83,9 +88,17 @@ def unpacked_numbers(data: np.ndarray) -> np.ndarray:
     if not len(data):
         return np.zeros(0, np.int64)
     last = np.flatnonzero(data < 128)
+    if len(last) == len(data):
+        return data.astype(np.int64)
     starts = np.concatenate([[0], last[:-1] + 1])
-    place = np.arange(len(data)) - np.repeat(starts, last - starts + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
+    out = (data[starts] & 127).astype(np.int64)
+    large = np.flatnonzero(last > starts)
+    for k in range(1, 10):
+        out[large] |= (data[starts[large] + k] & 127).astype(np.int64) << 7 * k
+        large = large[last[large] - starts[large] > k]
+        if not len(large):
+            break
+    return out
 
 
 def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -173,12 +186,14 @@ def _pieces(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.Record
         coded = pc.list_flatten(table.column(1)).combine_chunks().dictionary_encode()
         if not len(coded):
             continue
-        codes = coded.indices.to_numpy()
         # by code and place: one sort of numbers is faster than a stable one of places
-        order = np.sort(codes.astype(np.int64) << 32 | np.arange(len(codes))) & (1 << 32) - 1
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        at = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
-        codes, of = codes[order], of[order]
+        order = coded.indices.to_numpy().astype(np.int64) << 32
+        order |= np.arange(len(order))
+        order.sort()
+        codes = (order >> 32).astype(np.int32)
+        order &= (1 << 32) - 1
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        at = order - (np.cumsum(sizes) - sizes)[of]
         heads = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])]))
         steps = np.diff(at, prepend=0)
         steps[heads] = at[heads]
@@ -264,9 +279,10 @@ def blocks_of(texts: DataFrame, tasks: int | None = None, block: int = BLOCK) ->
         F.pmod(F.xxhash64("term", near), F.lit(slices)).alias("_slice"),
         "*",
     )
-    keys = ["bucket", "_slice"]
-    dealt = dealt.repartition(tasks, *keys)
-    dealt = dealt.sortWithinPartitions("bucket", "term", "first").drop(*keys)
+    # slices of a bucket follow each other, so that a task writes to few buckets
+    task = F.floor((F.col("bucket") * slices + F.col("_slice")) * tasks / (BUCKETS * slices)).cast("int")
+    dealt = dealt.repartitionById(tasks, task).drop("bucket", "_slice")
+    dealt = dealt.sortWithinPartitions("term", "first")
     merged = dealt.mapInArrow(lambda batches: _merged(batches, block), UNDEALT)
     return merged.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "*")
 

@@ -41,7 +41,7 @@ class HashingEmbedder:
 
     def embed(self, df: DataFrame, text: str, vector: str) -> DataFrame:
         steps = [
-            RegexTokenizer(inputCol="_text", outputCol="_terms", pattern=r"[^\p{L}\p{N}]+"),
+            RegexTokenizer(inputCol="_text", outputCol="_terms", pattern=r"[^a-z0-9\p{L}\p{N}]+"),
             HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=self.dimension),
             Normalizer(inputCol="_counts", outputCol="_unit", p=2.0),
         ]

@@ -8,10 +8,11 @@ their table, which is best written with ``partitionBy("part")``.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
@@ -162,18 +163,46 @@ def assign_partitions(
 
     @F.arrow_udf("int")
     def closest(column: pa.Array) -> pa.Array:
-        held = shared.value
-        rows, vectors = _known(column, held.matrix.shape[1], held.unit)
-        parts = np.zeros(len(column), np.int32)
-        known = np.zeros(len(column), bool)
-        if len(rows):
-            parts[rows] = held.nearest(vectors)
-            known[rows] = True
-        return pa.array(parts, pa.int32(), mask=~known)
+        return _parts(shared.value, *_known(column, shared.value.matrix.shape[1], shared.value.unit), len(column))
 
     return table.withColumn(name, closest(F.col(vector)))
 
 
+def _parts(held: Centroids, rows: np.ndarray, vectors: np.ndarray, size: int) -> pa.Array:
+    parts = np.zeros(size, np.int32)
+    known = np.zeros(size, bool)
+    if len(rows):
+        parts[rows] = held.nearest(vectors)
+        known[rows] = True
+    return pa.array(parts, pa.int32(), mask=~known)
+
+
+def _ranges(batches: Iterable[pa.RecordBatch], unit: bool, dimension: int | None) -> Iterator[pa.RecordBatch]:
+    """Smallest and largest value per dimension of the vectors of a task, and how many they are."""
+    low = high = None
+    count = 0
+    for batch in batches:
+        column = batch.column(0)
+        widths = np.unique(pc.list_value_length(column).drop_null().to_numpy()) if dimension is None else [dimension]
+        for width in widths:
+            rows, vectors = nn.vectors_of(column, int(width))
+            good = ~np.isnan(vectors).any(axis=1)
+            if unit:
+                good &= (vectors != 0).any(axis=1)
+            vectors = vectors[good]
+            if not vectors.size:
+                continue
+            if low is None:
+                low, high = vectors.min(axis=0), vectors.max(axis=0)
+            elif len(low) != width:
+                raise ValueError("vectors of several widths")
+            low, high = np.minimum(low, vectors.min(axis=0)), np.maximum(high, vectors.max(axis=0))
+            count += len(vectors)
+    if count:
+        columns = [np.arange(len(low), dtype=np.int32), low, high, np.full(len(low), count)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["dim", "low", "high", "n"])
+
+
 @dataclass(frozen=True)
 class Quantizer:
     """Byte codes over the range of each dimension.
@@ -195,16 +224,21 @@ class Quantizer:
         unit: bool = False,
         dimension: int | None = None,
     ) -> Quantizer:
-        """Smallest and largest value per dimension and the rows, in one aggregate."""
-        points = _whole(table, vector, unit, dimension).select(
-            array_to_vector(F.col(vector).cast("array<double>")).alias("_point")
+        """Smallest and largest value per dimension and the rows, in one pass.
+
+        A task sends one row per dimension. Vectors are those that ``_whole`` keeps.
+        """
+        ship_package(table.sparkSession)
+        ranges = table.select(F.col(vector).cast("array<double>")).mapInArrow(
+            lambda batches: _ranges(batches, unit, dimension), "dim int, low double, high double, n long"
         )
-        if points.isEmpty():
+        found = ranges.groupBy("dim").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        rows = found.orderBy("dim").collect()
+        if not rows:
             raise ValueError("no vectors to index")
-        summary = points.select(
-            Summarizer.metrics("min", "max", "count").summary(F.col("_point")).alias("s")
-        ).first()["s"]
-        return cls(summary["min"].toArray(), summary["max"].toArray(), unit, summary["count"])
+        if len({r["n"] for r in rows}) > 1:
+            raise ValueError("vectors of several widths")
+        return cls(np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows]), unit, rows[0]["n"])
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         width = self.high - self.low
@@ -237,19 +271,46 @@ def encode_vectors(
 
     @F.arrow_udf("array<smallint>")
     def coded(column: pa.Array) -> pa.Array:
-        held = shared.value
-        width = len(held.low)
-        rows, vectors = _known(column, width, held.unit)
-        known = np.zeros(len(column), bool)
-        known[rows] = True
-        offsets = np.zeros(len(column) + 1, np.int32)
-        offsets[1:] = np.cumsum(known) * width
-        codes = pa.array(held.encode(vectors).ravel(), pa.int16())
-        return pa.ListArray.from_arrays(pa.array(offsets), codes, mask=pa.array(~known))
+        return _codes(shared.value, *_known(column, len(shared.value.low), shared.value.unit), len(column))
 
     return table.withColumn(name, coded(F.col(vector)))
 
 
+def _codes(held: Quantizer, rows: np.ndarray, vectors: np.ndarray, size: int) -> pa.Array:
+    known = np.zeros(size, bool)
+    known[rows] = True
+    offsets = np.zeros(size + 1, np.int32)
+    offsets[1:] = np.cumsum(known) * len(held.low)
+    codes = pa.array(held.encode(vectors).ravel(), pa.int16())
+    return pa.ListArray.from_arrays(pa.array(offsets), codes, mask=pa.array(~known))
+
+
+def place_and_encode(
+    table: DataFrame,
+    centroids: Centroids,
+    quantizer: Quantizer,
+    vector: str = "vector",
+    part: str = "part",
+    codes: str = "codes",
+) -> DataFrame:
+    """``assign_partitions`` and ``encode_vectors`` in one step, so that vectors go to Python once."""
+    if (centroids.unit, centroids.matrix.shape[1]) != (quantizer.unit, len(quantizer.low)):
+        raise ValueError("centroids and codes are of other vectors")
+    ship_package(table.sparkSession)
+    shared = table.sparkSession.sparkContext.broadcast((centroids, quantizer))
+
+    @F.arrow_udf("part int, codes array<smallint>")
+    def made(column: pa.Array) -> pa.Array:
+        places, ranges = shared.value
+        known = _known(column, len(ranges.low), places.unit)
+        columns = [_parts(places, *known, len(column)), _codes(ranges, *known, len(column))]
+        return pa.StructArray.from_arrays(columns, ["part", "codes"])
+
+    # called once for both columns: the optimizer copies only what it takes for deterministic
+    found = table.withColumn("_made", made.asNondeterministic()(F.col(vector)))
+    return found.withColumn(part, F.col("_made.part")).withColumn(codes, F.col("_made.codes")).drop("_made")
+
+
 def _search(
     table, queries, search, keys, vector, query_id, query_vector, max_query_bytes,
     centroids=None, nprobes=PROBES, part="part", decode=None,

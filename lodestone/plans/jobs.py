@@ -96,6 +96,9 @@ def vector_rows(
     return embedded_rows(chunks, embedder, slice_by, tasks)[0]
 
 
+#: Files that a load may make of its lines, so that they need not be brought together by partition.
+LINE_FILES = 4096
+
 LINES, CENTROIDS, RANGES, NUMBERS, VECTORS = "lines", "centroids", "ranges", "numbers", "vectors"
 INDEXED = ("metadata", "content")
 VECTOR_ROWS = "digest binary, vector array<float>, model string"
@@ -206,13 +209,15 @@ def _write_load(
 ) -> None:
     """Write numbered rows by coarse partition with their codes, their numbers, and their words.
 
-    Rows are brought together by partition for files of even size; a partition
-    that holds far more than the others is split over several tasks.
+    A task writes its rows to the folders of their partitions, without a shuffle.
+    Where that would make very many files, rows are brought together by partition
+    first; a partition that holds far more than the others is then split over
+    several tasks.
     """
-    placed = ivf.encode_vectors(
-        ivf.assign_partitions(rows.drop("row_no"), centroids, "vector", "part"), quantizer, "vector", "codes"
-    )
-    create_table(spark, load_folder(target, LINES, load), placed.hint("rebalance", "part"), ["part"])
+    placed = ivf.place_and_encode(rows.drop("row_no"), centroids, quantizer)
+    if rows.rdd.getNumPartitions() * len(centroids.numbers) > LINE_FILES:
+        placed = placed.hint("rebalance", "part")
+    create_table(spark, load_folder(target, LINES, load), placed, ["part"])
     create_table(spark, load_folder(target, NUMBERS, load), rows.select(*KEY, "row_no"))
     for column in INDEXED:
         index_words(spark, rows.drop("row_no"), rows, target, load, column)

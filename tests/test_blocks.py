@@ -151,3 +151,22 @@ def test_rows_numbered_where_they_are(spark, table):
     # what is shuffled are pieces of many postings, dealt without a look at all of them first
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "hashpartitioning" in plan
+
+
+def test_a_task_writes_to_few_buckets(spark):
+    texts = spark.range(400).select(
+        F.col("id").alias("row_no"), F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(20)]).alias("text")
+    )
+    made = B.blocks_of(texts, tasks=16).select(F.spark_partition_id().alias("task"), "bucket")
+    counts = made.groupBy("task").agg(F.count_distinct("bucket").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(counts) == 16 and sum(c.n for c in counts) <= B.BUCKETS + 16
+    assert max(c.rows for c in counts) < 2 * 8000 / 16
+
+
+def test_packed_numbers_of_all_widths():
+    rng = np.random.default_rng(0)
+    for bits in range(1, 63):
+        values = np.where(rng.random(200) < 0.7, rng.integers(0, 100, 200), rng.integers(0, 1 << bits, 200))
+        data, sizes = B.packed_numbers(values)
+        assert sizes.tolist() == [max(1, -(-int(v).bit_length() // 7)) for v in values]
+        assert (B.unpacked_numbers(data) == values).all()

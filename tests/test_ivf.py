@@ -117,3 +117,25 @@ def test_partition_numbers_may_have_gaps(spark):
     asked = spark.createDataFrame([("q", [0.0, 3.0])], "query_id string, vector array<double>")
     assert collected(ivf.probed_nearest(placed, centroids, asked, 5, 1)) == {"q": [(2, 1)]}
     assert sorted(r.part for r in centroids.frame(spark).collect()) == [0, 5]
+
+
+def test_places_and_codes_in_one_step(spark):
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(50)]
+    rows += [(50, None), (51, [0.0] * 4), (52, [1.0, 2.0]), (53, [1.0, None, 2.0, 3.0]), (54, [1.0, float("nan"), 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "i int, vector array<float>")
+    quantizer = ivf.Quantizer.fit(df, unit=True, dimension=4)
+    whole = np.array([np.float32(v) for i, v in rows if i < 50])
+    assert (quantizer.low == whole.min(0)).all() and (quantizer.high == whole.max(0)).all() and quantizer.rows == 50
+    centroids = ivf.Centroids(np.eye(4), True)
+    made = ivf.place_and_encode(df, centroids, quantizer)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    steps = ivf.encode_vectors(ivf.assign_partitions(df, centroids), quantizer)
+    assert sorted(made.collect(), key=lambda r: r.i)[:54] == sorted(steps.collect(), key=lambda r: r.i)[:54]
+    with pytest.raises(ValueError):
+        ivf.place_and_encode(df, ivf.Centroids(np.eye(4)), quantizer)
+
+
+def test_ranges_of_several_widths_fail(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0],)], "vector array<float>")
+    with pytest.raises(Exception, match="several widths"):
+        ivf.Quantizer.fit(df)

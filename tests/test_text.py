@@ -21,6 +21,15 @@ def test_blank_and_trim(spark):
     assert values(spark, texts, X.trim_space) == ["", "", "", "a"]
 
 
+def test_every_space_is_trimmed(spark):
+    spaces = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and (c.isspace() and not "\x1c" <= c <= "\x1f")]
+    assert sorted(spaces) == sorted(X.SPACES)
+    pattern = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    texts = [c + "a b" + c + c for c in map(chr, [*range(1, 0x300), *range(0x1600, 0x3100), 0xFEFF])] + ["\r\n a \n\n", X.SPACES]
+    assert values(spark, texts, X.trim_space) == values(spark, texts, pattern)
+    assert "regexp_replace" not in str(X.trim_space(F.col("t")))
+
+
 def test_paths(spark):
     paths = ["/x/a.rs", "b.RS", "c.h", "d.png", "e", "x/mod.rs", ".gitignore", "/x/", "t.tar.log"]
     assert values(spark, paths, X.language_of) == [
