@@ -7,12 +7,13 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import split_lines
+from lodestone.operators.postings import terms
 from lodestone.schema import DIMENSION, EMBED_RESPONSE
 from lodestone.session import ship_package, stored
 
@@ -41,15 +42,14 @@ class HashingEmbedder:
 
     def embed(self, df: DataFrame, text: str, vector: str) -> DataFrame:
         steps = [
-            RegexTokenizer(inputCol="_text", outputCol="_terms", pattern=r"[^a-z0-9\p{L}\p{N}]+"),
             HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=self.dimension),
             Normalizer(inputCol="_counts", outputCol="_unit", p=2.0),
         ]
-        made = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+        made = df.withColumn("_terms", terms(F.coalesce(F.col(text), F.lit(""))))
         for step in steps:
             made = step.transform(made)
         made = made.withColumn(vector, vector_to_array(F.col("_unit"), "float32"))
-        return made.drop("_text", "_terms", "_counts", "_unit")
+        return made.drop("_terms", "_counts", "_unit")
 
 
 class FunctionEmbedder:

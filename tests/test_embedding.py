@@ -84,3 +84,21 @@ def test_equal_lines_are_counted_without_sorting_them(spark, monkeypatch):
     assert rows.count() == 300 and vectors.count() == 8
     assert not any("SortAggregate" in plan or "ObjectHashAggregate" in plan for _, _, plan in seen)
     assert not any("_digest" in columns for name, columns, _ in seen if name == "texts")
+
+
+def test_hashed_terms_are_those_of_the_ml_library(spark):
+    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    texts = ["", None, " -- ", "a", "Ab abc ABCD abcde abcdef abcdefg abcdefgh a a", "İIΣ Σx été \U0001f600\U00010400b x2²", "w" * 999]
+    texts += [f"a{chr(c)}B {chr(c)}" for c in [*range(1, 0xD800, 7), *range(0xE000, 0x1F000, 11)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    plain = df.withColumn("text", F.coalesce("t", F.lit("")))
+    plain = RegexTokenizer(inputCol="text", outputCol="w", pattern=r"[^\p{L}\p{N}]+").transform(plain)
+    plain = HashingTF(inputCol="w", outputCol="c", numFeatures=50).transform(plain)
+    plain = Normalizer(inputCol="c", outputCol="u").transform(plain)
+    wanted = plain.select("i", vector_to_array("u", "float32").alias("v"))
+    made = E.HashingEmbedder(50).embed(df, "t", "v").select("i", "v")
+    assert made.exceptAll(wanted).count() == 0 and made.count() == len(texts)
+    # no function of its own takes texts apart row by row: one hashes, one scales, one gives the array
+    assert made._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") >= 1
