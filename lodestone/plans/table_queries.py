@@ -187,14 +187,14 @@ def embed_requests(spark, folder):
 
 
 def _answered_requests(spark, folder):
-    """Documents as requests, with responses that lack a vector for the last line."""
+    """Documents as requests, with responses that lack a vector for the last line; a text without lines has none."""
     documents = wide_table(spark, folder, "documents").select("doc_id", "source", "text")
     asked = E.embed_requests(
         documents.withColumn("number", F.lit(None).cast("int")), "hashed", "text", "source", "number"
     )
     lines = F.col("request.input")
     vectors = F.transform(
-        F.slice(lines, 1, F.size(lines) - 1),
+        F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))),
         lambda x, i: F.array(F.length(x).cast("float"), i.cast("float")),
     )
     response = F.to_json(

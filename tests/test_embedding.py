@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_postings import terms
 
 from lodestone.operators import embedding as E
+from lodestone.plans import table_queries as Q
 
 TEXTS = ["The end of the road", "", None, "42 Über über", " -- "]
 
@@ -102,3 +103,19 @@ def test_hashed_terms_are_those_of_the_ml_library(spark):
     assert made.exceptAll(wanted).count() == 0 and made.count() == len(texts)
     # no function of its own takes texts apart row by row: one hashes, one scales, one gives the array
     assert made._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") >= 1
+
+
+def documents(spark, folder, texts):
+    rows = [(i, text, "s") for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+ODD_TEXTS = ["", "a\nbc\nd", None, "one", "\n", "x\r\n\ny\n"]
+
+
+def test_pairs_of_documents_without_lines(spark, tmp_path):
+    found = Q.embed_pairs(spark, documents(spark, tmp_path, ODD_TEXTS)).collect()
+    assert sorted((r.doc_id, r.line_no, r.content, r.first, r.second) for r in found) == [
+        (1, 0, "a", 1.0, 0.0), (1, 1, "bc", 2.0, 1.0), (5, 0, "x", 1.0, 0.0), (5, 1, "", 0.0, 1.0),
+    ]
