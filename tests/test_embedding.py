@@ -119,3 +119,8 @@ def test_pairs_of_documents_without_lines(spark, tmp_path):
     assert sorted((r.doc_id, r.line_no, r.content, r.first, r.second) for r in found) == [
         (1, 0, "a", 1.0, 0.0), (1, 1, "bc", 2.0, 1.0), (5, 0, "x", 1.0, 0.0), (5, 1, "", 0.0, 1.0),
     ]
+
+
+def test_rejects_of_documents_without_lines(spark, tmp_path):
+    found = Q.embed_rejects(spark, documents(spark, tmp_path, ODD_TEXTS)).collect()
+    assert sorted(r.doc_id for r in found) == [0, 2, 3, 4]
