@@ -47,6 +47,8 @@ KEYED_ROWS = 1 << 12
 KEYED_POSTINGS = 1 << 18
 #: Postings, for each row asked for, that are expanded first to learn what score a row needs.
 SEEDS = 4
+#: Rows that are sent to every task to be joined there.
+SENT_ROWS = 200_000
 #: Scores are compared with this slack, as sums differ in their last digits with their order.
 SLACK = 1e-9
 DIRECTORY = ("bucket", "term", "first", "last", "n", "max_tf", "least_terms")
@@ -511,6 +513,17 @@ def _sums(blocks: DataFrame, strong: DataFrame, mean: float | None, k: int, quer
     return sums.join(F.broadcast(named), "_q").select(query_id, "row_no", "score")
 
 
+def _met(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which is sent to the tasks if its rows are few.
+
+    Otherwise both are shuffled, whatever the size of their files: a stored row
+    may take two bytes there and a hundred in the driver, which would send it.
+    ``right`` must be cheap to read, as its rows are counted first.
+    """
+    sent = F.broadcast(right) if has_at_most(right, SENT_ROWS) else right.hint("merge")
+    return left.join(sent, list(keys), how)
+
+
 @dataclass(frozen=True)
 class Ranking:
     """The best rows, and which blocks had to be expanded for them out of ``directory``, all blocks of the terms."""
@@ -544,31 +557,31 @@ def rank_blocks(
     ).scalar()
     asked = stored(query_terms(queries, query_id, text), "query-terms")
     small = has_at_most(asked, QUERY_TERMS)
-    send = F.broadcast if small else (lambda df: df)
+    send = F.broadcast if small else (lambda df: df.hint("merge"))
     buckets = asked.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("b")).distinct()
     there = blocks.where(F.col("bucket").isin([r.b for r in buckets.collect()]))
-    directory = stored(
-        there.select(*DIRECTORY).join(send(asked.select("term").distinct()), "term"), "directory"
-    )
+    asked_terms = send(asked.select("term").distinct())
+    directory = stored(there.select(*DIRECTORY).join(asked_terms, "term"), "directory")
+    asked_blocks = there.join(asked_terms, "term", "left_semi")
     bound = gain(F.col("max_tf"), F.col("least_terms"), size["mean"])
     per_term = directory.groupBy("term").agg(F.sum("n").alias("rows_n"), F.max(bound).alias("gain"))
     n = F.col("rows_n")
     idf = F.log(1 + (size["rows"] - n + 0.5) / (n + 0.5))
     lists = stored(
-        asked.join(per_term, "term").withColumn("idf", idf).select(
+        asked.join(send(per_term), "term").withColumn("idf", idf).select(
             query_id, "term", "idf", (F.col("idf") * F.col("gain")).alias("top")
         ),
         "query-lists",
     )
 
     def scored(part: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-        found = expanded(part).join(send(weights), list(keys))
+        found = _met(expanded(part), weights, keys)
         value = F.col("idf") * gain(F.col("tf"), F.col("row_terms"), size["mean"])
         return found.groupBy(query_id, "row_no").agg(F.sum(value).alias("score"))
 
     def these(keys: DataFrame) -> DataFrame:
         """The blocks named by ``term`` and ``first``, with their contents."""
-        return there.join(send(keys), ["term", "first"], "left_semi")
+        return _met(asked_blocks, keys, ["term", "first"], "left_semi")
 
     # the blocks with the highest bounds; their partial sums are scores that some rows reach at least
     promising = top_k(
@@ -584,7 +597,7 @@ def rank_blocks(
         .select(query_id, "term", "first", "idf"),
         "seed-blocks",
     )
-    seed_blocks = seeds.select("term", "first").distinct()
+    seed_blocks = stored(seeds.select("term", "first").distinct(), "seeds-read")
     partial = scored(these(seed_blocks), seeds, ["term", "first"])
     kth = top_k(partial, [query_id], [F.desc("score"), "row_no"], k).where(F.col("rank") == k)
     least = kth.select(query_id, (F.col("score") * (1 - SLACK)).alias("least"))
@@ -624,13 +637,14 @@ def rank_blocks(
     ).withColumn("span", F.floor(F.col("row_no") / SPAN))
     spans = F.explode(F.sequence(F.floor(F.col("first") / SPAN), F.floor(F.col("last") / SPAN))).alias("span")
     laid = directory.select("term", "first", "last", spans)
-    held = wanted.join(laid, ["term", "span"]).where("row_no BETWEEN first AND last")
+    held = _met(wanted, laid, ["term", "span"]).where("row_no BETWEEN first AND last")
     held = stored(held.select(query_id, "term", "first", "row_no", "idf"), "looked-up")
-    found = expanded(these(held.select("term", "first").distinct())).join(held, ["term", "first", "row_no"])
+    held_blocks = stored(held.select("term", "first").distinct(), "looked-up-blocks")
+    found = _met(expanded(these(held_blocks)), held, ["term", "first", "row_no"])
     value = F.col("idf") * gain(F.col("tf"), F.col("row_terms"), size["mean"])
     more = found.select(query_id, "row_no", value.alias("score"))
     best = candidates.unionByName(more).groupBy(query_id, "row_no").agg(F.round(F.sum("score"), digits).alias("score"))
-    names = strong_blocks.select("term", "first").union(held.select("term", "first")).union(seed_blocks)
+    names = strong_blocks.select("term", "first").union(held_blocks).union(seed_blocks)
     read = directory.join(names.distinct(), ["term", "first"], "left_semi")
     return Ranking(best, read, directory)
 
@@ -650,6 +664,6 @@ def search_blocks(
     best = rank_blocks(blocks, totals, queries, k, query_id, text, digits).best
     # ties with the k-th stay until the keys are known; ranks without gaps let them all pass
     tied = W.partitionBy(query_id).orderBy(F.desc("score"))
-    best = best.withColumn("_place", F.rank().over(tied)).where(F.col("_place") <= k).drop("_place")
-    named = rows.select(*key, "row_no").join(best, "row_no").drop("row_no")
+    best = stored(best.withColumn("_place", F.rank().over(tied)).where(F.col("_place") <= k).drop("_place"), "best-rows")
+    named = _met(rows.select(*key, "row_no"), best, ["row_no"]).drop("row_no")
     return top_k(named.select(query_id, *key, "score"), [query_id], [F.desc("score"), *key], k)

@@ -170,3 +170,32 @@ def test_packed_numbers_of_all_widths():
         data, sizes = B.packed_numbers(values)
         assert sizes.tolist() == [max(1, -(-int(v).bit_length() // 7)) for v in values]
         assert (B.unpacked_numbers(data) == values).all()
+
+
+def sent(plan):
+    """What stands below the broadcasts of a plan, a text for each."""
+    lines, found = plan.splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" +-:*|"))
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            past = next((k for k in range(at + 1, len(lines)) if depth(lines[k]) <= depth(line)), len(lines))
+            found.append("\n".join(lines[at:past]))
+    return found
+
+
+def test_what_grows_with_the_table_is_not_sent(spark, table, index, monkeypatch):
+    """Rows and blocks take few bytes in files; the driver would have to hold them unpacked."""
+    rows, blocks, totals = index
+    rows = B.stored(rows, "numbers")
+    queries = spark.createDataFrame(QUERIES, "query_id int, text string")
+    shape = lambda df: sorted((r.query_id, r["rank"], r.row_key, round(r.score, 8)) for r in df.collect())
+    found = B.search_blocks(blocks, totals, rows, queries, 7, ["row_key"])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert not any("row_key#" in part for part in sent(plan(found)))
+    plans, real = {}, B.stored
+    monkeypatch.setattr(B, "stored", lambda df, name: plans.__setitem__(name, plan(df)) or real(df, name))
+    monkeypatch.setattr(B, "SENT_ROWS", 4)
+    many = B.search_blocks(blocks, totals, rows, queries, 7, ["row_key"])
+    assert shape(many) == shape(found)
+    assert not sent(plan(many))
+    assert not any("first#" in part for name in ("looked-up", "best-rows") for part in sent(plans[name]))
